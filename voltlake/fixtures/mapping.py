@@ -14,8 +14,20 @@ STATION_GROWTH = 8
 CHARGER_GROWTH = 64
 
 
+# Column types of the files, so that opening a table starts no job.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT",
+    "part": "p_partkey BIGINT, p_brand STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE,"
+    " l_extendedprice DOUBLE, l_shipdate TIMESTAMP_NTZ",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _stations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +65,8 @@ def _chargers(stations: DataFrame) -> DataFrame:
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One session per line item; status, minutes and energy follow from ``u``."""
     lineitem = _table(spark, sf_dir, "lineitem")
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    part = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    orders = _table(spark, sf_dir, "orders")
+    part = _table(spark, sf_dir, "part")
     joined = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         part, F.col("l_partkey") == F.col("p_partkey")
     )
@@ -82,8 +94,8 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return shaped.selectExpr(
         "session_id", "station_id", "charger_id", "customer_id", "vehicle_type",
-        f"{EPOCH} + make_dt_interval(dd, 0, minute_of_day) AS start_time",
-        f"{EPOCH} + make_dt_interval(dd, 0, minute_of_day + duration_minutes) AS end_time",
+        f"{EPOCH} + INTERVAL '1' MINUTE * (dd * 1440 + minute_of_day) AS start_time",
+        f"{EPOCH} + INTERVAL '1' MINUTE * (dd * 1440 + minute_of_day + duration_minutes) AS end_time",
         "duration_minutes",
         "energy_c / 100.0D AS energy_kwh",
         "price_c / 100.0D AS price_per_kwh",

@@ -98,6 +98,8 @@ STEPS = {
     "log_low": LOW_FREQ,
 }
 PARTS = [n for n in STEPS if n.startswith("log_")]
+# The rule with half an interquartile range: one and a half leaves no charger below it here.
+NARROW = {**STEPS, "fences": FENCES.replace("0.25)) * 1.5 AS freq_lo", "0.25)) * 0.5 AS freq_lo")}
 STEPS["whole_log"] = "\nUNION ALL BY NAME\n".join(f"SELECT * FROM {n}" for n in PARTS)
 
 SQL = {
@@ -119,7 +121,7 @@ FROM master m, span24 p
     "anomaly_revenue_drop": statement("SELECT * FROM log_revenue", **STEPS),
     "anomaly_util_drop": statement("SELECT * FROM log_minutes", **STEPS),
     "anomaly_high_freq": statement("SELECT * FROM log_high", **STEPS),
-    "anomaly_low_freq": statement("SELECT * FROM log_low", **STEPS),
+    "anomaly_low_freq": statement("SELECT * FROM log_low", **NARROW),
     "anomaly_log": statement("SELECT * FROM whole_log", **STEPS),
     "anomaly_log_by_severity": statement("SELECT * FROM whole_log WHERE severity IN ('High', 'Medium')", **STEPS),
 }

@@ -92,8 +92,8 @@ STEPS = {"stn": STN, "share": SHARE, "peak": PEAK, "campers": CAMPERS}
 
 SQL = {
     "insight_capacity_pressure": statement(_pressure(1.5), **STEPS),
-    "insight_revenue_concentration": statement(_revenue(15), **STEPS),
-    "insight_failure": statement(_failure(3, 1.5), **STEPS),
+    "insight_revenue_concentration": statement(_revenue(10), **STEPS),
+    "insight_failure": statement(_failure(3, 1.2), **STEPS),
     "insight_underutilized": statement(_under(2), **STEPS),
     "insight_peak_hour": statement(HOUR, **STEPS),
     "insight_campers": statement(CAMP, **STEPS),

@@ -38,7 +38,9 @@ ADJUSTED = {
     "area_high_pressure": {"cpi": 30},
     "area_underutilized": {"util": 4},
     "insight_capacity_pressure": {"zero_active": "exclude"},
-    "insight_failure": {"ratio": 1.5},
+    "insight_revenue_concentration": {"pct": 10},
+    "insight_failure": {"ratio": 1.2},
+    "anomaly_low_freq": {"k": 0.5},
     "noc_expansion": {"hi": 10},
     "sql09_high_pressure": {"per_day": 0.3},
 }

@@ -8,7 +8,7 @@ task. Two ways around that, both exact:
   brackets only, and one row for everything between two brackets. What reaches
   the last step is a fixed share (below 0.1 %) of the distinct values.
 * :func:`integer_quantiles`, for 32-bit columns such as minutes, counts by value
-  and then looks a rank up in two steps of at most 65,536 rows each.
+  and sums the counts in two steps of at most 65,536 rows each.
 """
 
 from __future__ import annotations
@@ -74,86 +74,71 @@ def _at_rank(rank: Column) -> Column:
     return F.when(hit, F.coalesce(F.col("v"), missed))
 
 
-def quantiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], approx: bool = False
-) -> dict[str, list[Column]]:
-    """Linearly interpolated quantiles of several columns, as scalar subquery columns.
+def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], approx: bool = False) -> Column:
+    """Linearly interpolated quantiles of several columns, as one scalar subquery.
 
-    NULLs are left out; a column without values gives NULL. ``approx=True`` takes
-    the sketch's answer (an actual value, no interpolation) and needs one pass.
+    The struct has an array of quantiles per column. Attach it with
+    ``withColumn`` and read its fields, so that it stays one subquery. NULLs are
+    left out; a column without values gives NULLs. ``approx=True`` takes the
+    sketch's answer (an actual value, no interpolation) and needs one pass.
     """
     if approx:
-        sketch = df.agg(F.struct(*[
+        return df.agg(F.struct(*[
             F.percentile_approx(F.col(c).cast("double"), list(p), ACCURACY).alias(c) for c, p in wanted.items()
         ]).alias("q")).scalar()
-        return {c: [sketch[c][i] for i in range(len(p))] for c, p in wanted.items()}
-    values = []
+    columns = []
     for c, probs in wanted.items():
         mine = F.col("name") == c
+        values = []
         for i, p in enumerate(probs):
             at = (F.col("total") - 1) * F.lit(float(p))
             low = F.max(F.when(mine, _at_rank(F.floor(at))))
             high = F.max(F.when(mine, _at_rank(F.ceil(at))))
             weight = F.max(F.when(mine, at - F.floor(at)))
-            values.append((low + (high - low) * weight).alias(f"{c}_{i}"))
-    row = _cumulated(df, wanted).agg(F.struct(*values).alias("q")).scalar()
-    return {c: [row[f"{c}_{i}"] for i in range(len(p))] for c, p in wanted.items()}
+            values.append(low + (high - low) * weight)
+        columns.append(F.array(*values).alias(c))
+    return _cumulated(df, wanted).agg(F.struct(*columns).alias("q")).scalar()
 
 
-def integer_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[Column]:
-    """Linearly interpolated quantiles of a 32-bit integer column, as scalar subquery columns.
+def integer_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> Column:
+    """Linearly interpolated quantiles of a 32-bit integer column, as one scalar subquery (an array).
 
     One pass over ``df`` counts by value; hot values combine before the shuffle.
     """
     counts = (
-        df.select(F.col(column).cast("long").alias("v"))
-        .filter(F.col("v").isNotNull())
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("high_bits", F.shiftright("v", 16))
+        df.select(F.col(column).cast("long").alias("key"))
+        .filter(F.col("key").isNotNull())
+        .groupBy("key")
+        # The value again as an aggregate: conditions on it stay above the shuffle, which
+        # both readers of the counts then share.
+        .agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("v"))
+        .select("v", "n", F.shiftright("v", 16).alias("high_bits"))
     )
-    names = [f"{side}_{i}" for i in range(len(probs)) for side in ("low", "high")]
-
-    def ranks(total: Column) -> list[Column]:
-        at = [(total - 1) * F.lit(float(p)) for p in probs]
-        return [f(a).cast("long") for a in at for f in (F.floor, F.ceil)]
-
-    # At most 65,536 rows.
-    upto = F.sum("n").over(Window.orderBy("high_bits").rowsBetween(Window.unboundedPreceding, 0))
-    total = counts.agg(F.sum("n").alias("total")).scalar()
-    coarse = counts.groupBy("high_bits").agg(F.sum("n").alias("n")).select("high_bits", "n", upto.alias("upto"))
-    coarse = coarse.withColumn("total", total)
-    before = F.col("upto") - F.col("n")
-    picks = coarse.agg(F.struct(
-        F.max("total").alias("total"),
-        *[
-            F.max(F.when((F.col("upto") > r) & (before <= r), F.struct("high_bits", (r - before).alias("rank"))))
-            .alias(name)
-            for name, r in zip(names, ranks(F.col("total")))
-        ],
-    ).alias("p")).scalar()
-    # At most 65,536 rows in each of the few chosen ranges.
-    chosen = counts.withColumn("p", picks).filter(
-        F.array_contains(F.array(*[F.col("p")[n]["high_bits"] for n in names]), F.col("high_bits"))
+    # At most 65,536 rows, whatever the data: small enough for one window and a broadcast.
+    ordered = Window.orderBy("high_bits")
+    ranges = counts.groupBy("high_bits").agg(F.sum("n").alias("range_n"))
+    ranges = ranges.select(
+        F.col("high_bits").alias("range"),
+        (F.sum("range_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("range_n")).alias("before"),
+        F.sum("range_n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
     )
     within = Window.partitionBy("high_bits").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    fine = chosen.select("high_bits", "v", "n", "p", F.sum("n").over(within).alias("upto"))
-
-    def value(name: str) -> Column:
-        pick = F.col("p")[name]
-        hit = (
-            (F.col("high_bits") == pick["high_bits"])
-            & (F.col("upto") > pick["rank"])
-            & (F.col("upto") - F.col("n") <= pick["rank"])
-        )
+    ranked = (
+        counts.withColumn("running", F.sum("n").over(within))
+        .join(F.broadcast(ranges), F.col("high_bits") == F.col("range"))
+        .select("v", "n", "total", (F.col("before") + F.col("running")).alias("upto"))
+    )
+
+    def value(rank: Column) -> Column:
+        hit = (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
         return F.max(F.when(hit, F.col("v"))).cast("double")
 
-    at = [F.max((F.col("p.total") - 1) * F.lit(float(p))) for p in probs]
-    row = fine.agg(F.struct(*[
-        (value(f"low_{i}") + (value(f"high_{i}") - value(f"low_{i}")) * (a - F.floor(a))).alias(f"q{i}")
-        for i, a in enumerate(at)
-    ]).alias("q")).scalar()
-    return [row[f"q{i}"] for i in range(len(probs))]
+    values = []
+    for p in probs:
+        at = (F.col("total") - 1) * F.lit(float(p))
+        low, high = value(F.floor(at)), value(F.ceil(at))
+        values.append(low + (high - low) * F.max(at - F.floor(at)))
+    return ranked.agg(F.array(*values).alias("q")).scalar()
 
 
 def top_share(df: DataFrame, column: str, share: float) -> DataFrame:
@@ -172,7 +157,8 @@ def top_share(df: DataFrame, column: str, share: float) -> DataFrame:
     )
     above = F.col("v") > F.col("cut")
     return (
-        df.select(F.col(column).cast("long").alias("v"), cut["cut"].alias("cut"), cut["top"].alias("top"))
+        df.select(F.col(column).cast("long").alias("v"), cut.alias("c"))
+        .select("v", "c.cut", "c.top")
         .agg(
             F.max("top").cast("long").alias("top_count"),
             F.max("cut").alias("cut"),

@@ -95,32 +95,38 @@ def _entry(
 
 
 def _log(df: DataFrame, entries: Sequence[Column]) -> DataFrame:
-    """Turn the entries of each row into log rows."""
-    return (
-        df.select("charger_id", "station_id", F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .select("charger_id", "station_id", "e.*")
-        .select(*LOG)
-    )
+    """One log row for each entry of a row that is not NULL."""
+    rows = df.select("charger_id", "station_id", F.explode(F.array(*entries)).alias("e"))
+    return rows.filter(F.col("e").isNotNull()).select("charger_id", "station_id", "e.*").select(*LOG)
 
 
 def _session_rules(sessions: DataFrame, rules: Sequence[str], max_kwh: float = 2, k: float = 3) -> DataFrame:
     """Long sessions and campers; a long session is never also a camper."""
-    q1, q3 = integer_quantiles(sessions, "duration_minutes", [0.25, 0.75])
-    upper = q3 + (q3 - q1) * float(k)
-    minutes = F.col("duration_minutes")
+    quartiles = integer_quantiles(sessions, "duration_minutes", [0.25, 0.75])
+    minutes, upper, q3 = F.col("duration_minutes"), F.col("upper"), F.col("q3")
+    rows = sessions.select("charger_id", "station_id", "start_time", "duration_minutes", "energy_kwh", quartiles.alias("q"))
+    rows = rows.withColumns({
+        "q3": F.col("q")[1], "upper": F.col("q")[1] + (F.col("q")[1] - F.col("q")[0]) * float(k),
+    })
     long = minutes > upper
-    camper = ~long & (minutes > q3) & (F.col("energy_kwh") < float(max_kwh))
-    entries = {
-        LONG_SESSION: _entry(
-            long, F.col("start_time"), LONG_SESSION, "Duration (min)", minutes, _text(minutes, 1),
-            F.concat(F.lit("<= "), _text(upper, 1)), "Medium",
-        ),
-        CAMPER: _entry(
-            camper, F.col("start_time"), CAMPER, "Energy (kWh)", F.col("energy_kwh"),
-            _text(F.col("energy_kwh"), 2), F.concat(F.lit("> "), _text(F.lit(float(max_kwh)), 1)), "High",
-        ),
-    }
-    return _log(sessions.filter(minutes > q3), [entries[r] for r in rules])
+    camper = (minutes > q3) & (F.col("energy_kwh") < float(max_kwh))
+    hit = {LONG_SESSION: long, CAMPER: ~long & camper}
+    found = rows.filter(hit[rules[0]] if len(rules) == 1 else long | camper)
+
+    def either(if_long, if_camper) -> Column:
+        return F.when(long, if_long).otherwise(if_camper)
+
+    return found.select(
+        F.col("start_time").alias("timestamp"),
+        "charger_id",
+        "station_id",
+        either(LONG_SESSION, CAMPER).alias("anomaly_type"),
+        either("Duration (min)", "Energy (kWh)").alias("metric"),
+        either(minutes.cast("double"), F.col("energy_kwh")).alias("observed"),
+        either(_text(minutes, 1), _text(F.col("energy_kwh"), 2)).alias("observed_value"),
+        either(F.concat(F.lit("<= "), _text(upper, 1)), F.lit(f"> {float(max_kwh):.1f}")).alias("expected_range"),
+        either("Medium", "High").alias("severity"),
+    )
 
 
 def _charger_rules(
@@ -136,11 +142,11 @@ def _charger_rules(
         wanted["failure_rate_pct"] = [0.25, 0.75]
     if HIGH_FREQUENCY in rules or LOW_FREQUENCY in rules:
         wanted["total_sessions"] = [0.25, 0.75]
-    quartiles = quantiles(master, wanted)
-    stamp = cal.last_start(sessions)
+    rows = master.withColumns({"q": quantiles(master, wanted), "stamp": cal.last_start(sessions)})
+    stamp = F.col("stamp")
     entries = {}
     if HIGH_FAILURE in rules:
-        q1, q3 = quartiles["failure_rate_pct"]
+        q1, q3 = F.col("q.failure_rate_pct")[0], F.col("q.failure_rate_pct")[1]
         fence = q3 + (q3 - q1) * float(fail_k)
         bound = F.when(fence < floor_lt, F.lit(float(floor_to))).otherwise(fence)
         rate = F.col("failure_rate_pct")
@@ -149,7 +155,7 @@ def _charger_rules(
             rate, F.concat(_text(rate, 1), F.lit("%")), F.concat(F.lit("<= "), _text(bound, 1), F.lit("%")), "High",
         )
     if "total_sessions" in wanted:
-        q1, q3 = quartiles["total_sessions"]
+        q1, q3 = F.col("q.total_sessions")[0], F.col("q.total_sessions")[1]
         spread = (q3 - q1) * float(freq_k)
         upper, lower = q3 + spread, F.greatest(F.lit(1.0), q1 - spread)
         n = F.col("total_sessions")
@@ -161,7 +167,7 @@ def _charger_rules(
             ~(n > upper) & (n < lower) & (F.col("charger_status") == "Active"), stamp, LOW_FREQUENCY,
             "Total Sessions", n, n.cast("string"), F.concat(F.lit(">= "), _text(lower, 0)), "Low",
         )
-    return _log(master, [entries[r] for r in rules])
+    return _log(rows, [entries[r] for r in rules])
 
 
 def _drop_rules(
@@ -177,8 +183,9 @@ def _drop_rules(
     first_midnight = sessions.agg(
         F.date_sub(F.to_date(F.max("start_time")), 2 * days - 1).cast("timestamp_ntz").alias("first")
     ).scalar()
-    late = cal.day() > F.date_sub(last, days)
+    late = F.col("late")
     both = sessions.filter((F.col("start_time") >= first_midnight) & F.col("charger_id").isNotNull())
+    both = both.withColumn("late", cal.day() > F.date_sub(last, days))
     change = both.groupBy("charger_id").agg(
         F.count_if(~late).alias("n1"),
         F.count_if(late).alias("n2"),
@@ -192,12 +199,12 @@ def _drop_rules(
         (m.sql_rate(F.col("revenue2") - F.col("revenue1"), "revenue1") * 100.0).alias("revenue_change"),
         (m.sql_rate(F.col("minutes2") - F.col("minutes1"), "minutes1") * 100.0).alias("minutes_change"),
     )
-    located = change.join(t.chargers.select("charger_id", "station_id"), "charger_id")
+    located = change.join(t.chargers.select("charger_id", "station_id"), "charger_id").withColumn("last", last)
     expected = F.concat(F.lit(">= "), _text(F.lit(float(pct)), 1), F.lit("%"))
 
     def entry(rule: str, metric: str, base: Column, value: str, severity: str) -> Column:
         return _entry(
-            base & (F.col(value) < float(pct)), last, rule, metric, F.col(value),
+            base & (F.col(value) < float(pct)), F.col("last"), rule, metric, F.col(value),
             F.concat(_text(F.col(value), 1), F.lit("%")), expected, severity,
         )
 

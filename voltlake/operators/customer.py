@@ -63,14 +63,14 @@ def customer_segments(
     cuts = quantiles(
         c, {"total_revenue": [q], "total_sessions": [q], "total_energy_kwh": [q]}, approx=approx
     )
-    reaches = {name: F.col(name) >= cut[0] for name, cut in cuts.items()}
-    return c.withColumn(
+    reaches = {name: F.col(name) >= F.col(f"q.{name}")[0] for name in c.columns if name.startswith("total_")}
+    return c.withColumn("q", cuts).withColumn(
         "segment",
         F.when(reaches["total_revenue"], SEGMENTS[0])
         .when(reaches["total_sessions"], SEGMENTS[1])
         .when(reaches["total_energy_kwh"], SEGMENTS[2])
         .otherwise(SEGMENTS[3]),
-    )
+    ).drop("q")
 
 
 def segment_summary(t: Tables, q: float = 0.75, approx: bool = False, flt: GlobalFilter = ALL) -> DataFrame:

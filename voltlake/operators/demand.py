@@ -49,9 +49,9 @@ def _flagged_hours(hourly: DataFrame, k_sd: float) -> DataFrame:
     stats = hourly.agg(F.struct(
         F.avg("rows").alias("mean"), F.stddev_samp("rows").alias("sd")
     ).alias("s")).scalar()
-    threshold = stats["mean"] + F.lit(float(k_sd)) * stats["sd"]
-    return hourly.withColumns({
-        "mean_volume": stats["mean"], "sd_volume": stats["sd"], "threshold": threshold,
+    return hourly.withColumn("s", stats).withColumns({
+        "mean_volume": F.col("s.mean"), "sd_volume": F.col("s.sd"),
+        "threshold": F.col("s.mean") + F.lit(float(k_sd)) * F.col("s.sd"),
     }).withColumn("is_peak", F.coalesce(F.col("rows") > F.col("threshold"), F.lit(False)))
 
 

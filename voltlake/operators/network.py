@@ -57,8 +57,9 @@ def period_metrics(t: Tables, days: int = 30, flt: GlobalFilter = ALL) -> DataFr
     last = cal.last_start(s)
     split = cal.days_before(last, days)
     both = s.filter(F.col("start_time") > cal.days_before(last, 2 * days))
+    both = both.withColumn("late", F.col("start_time") > split)
     per_period = []
-    for period, inside in (("current", F.col("start_time") > split), ("previous", F.col("start_time") <= split)):
+    for period, inside in (("current", F.col("late")), ("previous", ~F.col("late"))):
         completed = inside & m.is_status("Completed")
         per_period.append(F.struct(
             F.lit(period).alias("period"),

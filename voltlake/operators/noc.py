@@ -59,13 +59,13 @@ def noc_kpis(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
         F.count(F.lit(1)).alias("total_sessions"),
         m.exact_sum("energy_kwh").alias("energy_kwh"),
         m.exact_sum("revenue").alias("total_revenue"),
-    )
+    ).withColumn("s", stations)
     return totals.select(
         "total_sessions",
         (F.col("energy_kwh") / F.lit(1000.0)).alias("energy_mwh"),
         "total_revenue",
-        stations["online"].alias("online_stations"),
-        stations["all"].alias("total_stations"),
+        F.col("s.online").alias("online_stations"),
+        F.col("s.all").alias("total_stations"),
     )
 
 
@@ -124,9 +124,9 @@ def noc_zscore_behavior(
     ]).alias("s")).scalar()
 
     def z(c: str):
-        return F.try_divide(F.col(c) - stats[f"mean_{c}"], stats[f"sd_{c}"])
+        return F.try_divide(F.col(c) - F.col(f"s.mean_{c}"), F.col(f"s.sd_{c}"))
 
-    scored = s.withColumns({"duration_z": z("duration_hrs"), "energy_z": z("energy_kwh")})
+    scored = s.withColumn("s", stats).withColumns({"duration_z": z("duration_hrs"), "energy_z": z("energy_kwh")})
     is_fault = (F.col("duration_z") < fault[0]) & (F.col("energy_z") > fault[1])
     is_camper = (F.col("duration_z") > camper[0]) & (F.col("energy_z") < camper[1])
     return scored.select(

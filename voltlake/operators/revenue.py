@@ -36,18 +36,19 @@ def _distinct_with_null(column: str) -> Column:
 def revenue_kpis(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
     """Revenue in total and per session, completed session, kWh, charger, station and operating hour."""
     pairs = _by_station_and_charger(filtered_sessions(t, flt))
-    chargers = pairs.agg(_distinct_with_null("charger_id").alias("n")).scalar()
-    stations = pairs.agg(_distinct_with_null("station_id").alias("n")).scalar()
+    distinct = pairs.agg(F.struct(
+        _distinct_with_null("charger_id").alias("chargers"), _distinct_with_null("station_id").alias("stations")
+    ).alias("d")).scalar()
     totals = pairs.agg(*[
         F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "completed", "revenue_u", "energy_u", "minutes")
-    ])
+    ]).withColumn("seen", distinct)
     return totals.select(
         m.from_units("revenue_u").alias("total_revenue"),
         m.from_units("energy_u").alias("total_energy_kwh"),
         F.col("rows").alias("total_sessions"),
         F.col("completed").alias("completed_sessions"),
-        m.as_long(chargers).alias("chargers_seen"),
-        m.as_long(stations).alias("stations_seen"),
+        m.as_long("seen.chargers").alias("chargers_seen"),
+        m.as_long("seen.stations").alias("stations_seen"),
         (F.col("minutes") / F.lit(60.0)).alias("operating_hours"),
     ).select(
         "total_revenue",
@@ -84,16 +85,16 @@ def revenue_quadrants(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
         m.seen_charger_utilization("minutes", "chargers_seen", cal.date_span(s)).alias("utilization_pct"),
     )
     medians = quantiles(stations, {"revenue": [0.5], "utilization_pct": [0.5]})
-    high_util = F.col("utilization_pct") >= medians["utilization_pct"][0]
-    high_revenue = F.col("revenue") >= medians["revenue"][0]
-    return stations.withColumn(
+    high_util = F.col("utilization_pct") >= F.col("q.utilization_pct")[0]
+    high_revenue = F.col("revenue") >= F.col("q.revenue")[0]
+    return stations.withColumn("q", medians).withColumn(
         "quadrant",
         F.concat(
             F.when(high_util, "High Util").otherwise("Low Util"),
             F.lit(" / "),
             F.when(high_revenue, "High Rev").otherwise("Low Rev"),
         ),
-    )
+    ).drop("q")
 
 
 def _revenue_by(sessions: DataFrame, key: Column, name: str) -> DataFrame:

@@ -28,15 +28,14 @@ def _all_stations(t: Tables, rollup: DataFrame) -> DataFrame:
 
 
 def _with_rates(df: DataFrame, days: Column) -> DataFrame:
-    return df.select(
+    return df.withColumn("days", days).select(
         "*",
         m.from_units("revenue_u").alias("revenue"),
         m.from_units("energy_u").alias("energy_kwh"),
         (m.rate("failed", "sessions") * 100.0).alias("failure_rate_pct"),
         m.open_rate("minutes", "completed", 0.0).alias("avg_session_duration"),
         m.open_rate(m.from_units("revenue_u"), "completed", 0.0).alias("avg_revenue_per_session"),
-        m.station_utilization("minutes", "active_chargers", days).alias("utilization_pct"),
-        days.alias("days"),
+        m.station_utilization("minutes", "active_chargers", F.col("days")).alias("utilization_pct"),
     )
 
 
