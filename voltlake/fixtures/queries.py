@@ -19,6 +19,7 @@ from voltlake.operators import (
     capacity, charger, customer, demand, geo, insights, model, network as net, noc, quality, reports, revenue, station,
 )
 from voltlake.sources.filters import GlobalFilter
+from voltlake.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,9 +80,13 @@ QUALITY = (
 )
 
 
+def run(operator: Callable[..., DataFrame], tables: Tables) -> DataFrame:
+    """An operator with its query's arguments on any tables."""
+    return operator(tables, **ADJUSTED.get(operator.__name__, {}))
+
+
 def _query(operator: Callable[..., DataFrame], tables: Callable) -> Query:
-    arguments = ADJUSTED.get(operator.__name__, {})
-    return lambda spark, sf_dir: operator(tables(spark, sf_dir), **arguments)
+    return lambda spark, sf_dir: run(operator, tables(spark, sf_dir))
 
 
 def _highway_stations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.functions import calendar as cal
@@ -133,7 +133,7 @@ def station_attribute_filter(
 def table_round_trip(t: Tables, path: str) -> DataFrame:
     """Write the tables to ``path``, read them back, report rows and totals per table."""
     write_tables(t, path)
-    back = load_written(t, path)
+    back = load_written(t.sessions.sparkSession, path)
     return (
         _table_total("stations", back.stations, F.coalesce(F.sum(F.col("total_chargers").cast("long")), F.lit(0)) * 1.0)
         .unionByName(_table_total("chargers", back.chargers, m.exact_sum("power_kw")))
@@ -147,9 +147,9 @@ def _table_total(name: str, df: DataFrame, total) -> DataFrame:
     )
 
 
-def load_written(t: Tables, path: str) -> Tables:
+def load_written(spark: SparkSession, path: str) -> Tables:
     """Read tables written as parquet by :func:`write_tables`, with the types they were written with."""
-    read = t.sessions.sparkSession.read.parquet
+    read = spark.read.parquet
     return Tables(
         read(f"{path}/stations"), read(f"{path}/chargers"), read(f"{path}/charging_sessions")
     )
