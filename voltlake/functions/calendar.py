@@ -27,7 +27,8 @@ def weekday_number(d: Column | str) -> Column:
 
 
 def weekday_name_of(number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in WEEKDAYS]), number.cast("int") + 1)
+    names = ", ".join(f"'{n}'" for n in WEEKDAYS)
+    return F.element_at(F.expr(f"array({names})"), number.cast("int") + 1)
 
 
 def weekday_name(d: Column | str) -> Column:
@@ -35,7 +36,8 @@ def weekday_name(d: Column | str) -> Column:
 
 
 def month_name(d: Column | str) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in MONTHS]), F.month(d))
+    names = ", ".join(f"'{n}'" for n in MONTHS)
+    return F.element_at(F.expr(f"array({names})"), F.month(d))
 
 
 def is_weekend(d: Column | str) -> Column:

@@ -4,6 +4,9 @@ Money and energy are summed as whole ten-thousandths in a BIGINT: the result
 does not depend on the order in which partitions are merged, and the partial
 aggregate stays in generated code (a DECIMAL(28, 4) buffer would not). A BIGINT
 holds 9.2e14 currency units or kWh; beyond that ANSI mode raises, it never wraps.
+
+Plain column names take the short way over a SQL expression: every Column call
+is a round trip to the JVM, and plans here have hundreds of measures.
 """
 
 from __future__ import annotations
@@ -22,22 +25,30 @@ def _col(c: Column | str) -> Column:
 
 def units(c: Column | str) -> Column:
     """A money or energy value in whole ten-thousandths."""
+    if isinstance(c, str):
+        return F.expr(f"CAST(rint({c} * {SCALE}) AS BIGINT)")
     return F.rint(_col(c) * SCALE).cast("long")
 
 
 def sum_units(c: Column | str, when: Column | None = None) -> Column:
     """Exact sum in ten-thousandths; 0 for no rows."""
+    if isinstance(c, str) and when is None:
+        return F.expr(f"coalesce(sum(CAST(rint({c} * {SCALE}) AS BIGINT)), 0)")
     value = units(c) if when is None else F.when(when, units(c))
     return F.coalesce(F.sum(value), F.lit(0))
 
 
 def sum_long(c: Column | str, when: Column | None = None) -> Column:
     """Sum of an integer column as BIGINT; 0 for no rows."""
+    if isinstance(c, str) and when is None:
+        return F.expr(f"coalesce(sum(CAST({c} AS BIGINT)), 0)")
     value = _col(c).cast("long")
     return F.coalesce(F.sum(value if when is None else F.when(when, value)), F.lit(0))
 
 
 def from_units(c: Column | str) -> Column:
+    if isinstance(c, str):
+        return F.expr(f"{c} / {float(SCALE)}D")
     return _col(c) / F.lit(float(SCALE))
 
 
@@ -52,6 +63,8 @@ def as_long(c: Column | str) -> Column:
 
 def rate(n: Column | str, d: Column | str) -> Column:
     """n / d, and 0 where the quotient does not exist."""
+    if isinstance(n, str) and isinstance(d, str):
+        return F.expr(f"coalesce(try_divide(CAST({n} AS DOUBLE), CAST({d} AS DOUBLE)), 0.0D)")
     return F.coalesce(F.try_divide(_col(n).cast("double"), _col(d).cast("double")), F.lit(0.0))
 
 
@@ -71,6 +84,8 @@ def open_rate(n: Column | str, d: Column | str, zero_by_zero: float | None = Non
 
 def sql_rate(n: Column | str, d: Column | str) -> Column:
     """n / NULLIF(d, 0): NULL where the divisor is 0."""
+    if isinstance(n, str) and isinstance(d, str):
+        return F.expr(f"try_divide(CAST({n} AS DOUBLE), CAST({d} AS DOUBLE))")
     return F.try_divide(_col(n).cast("double"), _col(d).cast("double"))
 
 
@@ -79,7 +94,7 @@ def is_status(value: str) -> Column:
 
 
 def count_status(value: str) -> Column:
-    return F.count_if(is_status(value))
+    return F.expr(f"count_if(session_status = '{value}')")
 
 
 # --- the four utilization denominators; they look alike and are not the same ---

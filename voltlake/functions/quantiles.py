@@ -31,22 +31,21 @@ def _edges(probs: Sequence[float]) -> list[float]:
 
 def _marks(column: str, edges: Sequence[float]) -> Column:
     """Aggregate: bracket ends of a column; its whole range where it has few rows."""
-    v = F.col(column).cast("double")
-    whole = F.array(*[F.min(v) if i % 2 == 0 else F.max(v) for i in range(len(edges))])
-    sketch = F.percentile_approx(v, list(edges), ACCURACY)
-    return F.when(F.count(v) <= WHOLE_BELOW, whole).otherwise(sketch)
-
-
-def _placed(column: str, marks: Column, edges: int) -> Column:
-    """(name, segment, v): where a value lies, and the value itself inside a bracket."""
-    v = F.col(column).cast("double")
-    inside, segment = F.lit(False), F.lit(0)
-    for i in range(0, edges, 2):
-        inside = inside | v.between(marks[i], marks[i + 1])
-        segment = segment + F.when(v >= marks[i], 1).otherwise(0) + F.when(v > marks[i + 1], 1).otherwise(0)
-    return F.struct(
-        F.lit(column).alias("name"), segment.alias("segment"), F.when(inside, v).alias("v"),
-        v.isNotNull().alias("present"),
+    v = f"CAST({column} AS DOUBLE)"
+    whole = ", ".join(f"min({v}), max({v})" for _ in edges[::2])
+    sketch = f"percentile_approx({v}, array({', '.join(f'{e!r}D' for e in edges)}), {ACCURACY})"
+    return F.expr(f"CASE WHEN count({v}) <= {WHOLE_BELOW} THEN array({whole}) ELSE {sketch} END")
+
+
+def _placed(column: str, edges: int) -> str:
+    """(name, segment, v, present): where a value lies, and the value itself inside a bracket."""
+    v, marks = f"CAST({column} AS DOUBLE)", f"marks.{column}"
+    pairs = range(0, edges, 2)
+    inside = " OR ".join(f"{v} BETWEEN {marks}[{i}] AND {marks}[{i + 1}]" for i in pairs)
+    segment = " + ".join(f"int({v} >= {marks}[{i}]) + int({v} > {marks}[{i + 1}])" for i in pairs)
+    return (
+        f"named_struct('name', '{column}', 'segment', {segment}, 'v', CASE WHEN {inside} THEN {v} END,"
+        f" 'present', {v} IS NOT NULL)"
     )
 
 
@@ -55,7 +54,7 @@ def _cumulated(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> DataFram
     edges = {c: _edges(p) for c, p in wanted.items()}
     marks = df.agg(F.struct(*[_marks(c, e).alias(c) for c, e in edges.items()]).alias("marks")).scalar()
     placed = df.select(*wanted, marks.alias("marks")).select(
-        F.explode(F.array(*[_placed(c, F.col("marks")[c], len(e)) for c, e in edges.items()])).alias("p")
+        F.expr(f"explode(array({', '.join(_placed(c, len(e)) for c, e in edges.items())}))").alias("p")
     ).select("p.*").filter("present")
     counts = placed.groupBy("name", "segment", "v").agg(F.count(F.lit(1)).alias("n"))
     # One window partition per column; the rows left here are bounded, see the module text.

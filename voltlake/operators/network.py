@@ -49,33 +49,28 @@ def _active_stations(t: Tables) -> Column:
 
 
 def period_metrics(t: Tables, days: int = 30, flt: GlobalFilter = ALL) -> DataFrame:
-    """Nine metrics of the last ``days`` days and of as many days before: two rows.
-
-    One scan of both windows; every measure is aggregated once per window.
-    """
+    """Nine metrics of the last ``days`` days and of as many days before: two rows, one scan."""
     s = filtered_sessions(t, flt)
     last = cal.last_start(s)
     split = cal.days_before(last, days)
     both = s.filter(F.col("start_time") > cal.days_before(last, 2 * days))
     both = both.withColumn("late", F.col("start_time") > split)
-    per_period = []
-    for period, inside in (("current", F.col("late")), ("previous", ~F.col("late"))):
-        completed = inside & m.is_status("Completed")
-        per_period.append(F.struct(
-            F.lit(period).alias("period"),
-            F.count_if(inside).alias("rows"),
-            m.sum_units("energy_kwh", inside).alias("energy_u"),
-            m.sum_units("revenue", inside).alias("revenue_u"),
-            m.sum_long("duration_minutes", inside).alias("minutes"),
-            F.count_if(completed & F.col("duration_minutes").isNotNull()).alias("completed_timed"),
-            m.sum_long("duration_minutes", completed).alias("completed_minutes"),
-            F.count_if(completed & F.col("energy_kwh").isNotNull()).alias("completed_metered"),
-            m.sum_units("energy_kwh", completed).alias("completed_energy_u"),
-            F.count_if(inside & m.is_status("Failed")).alias("failed"),
-            F.min(F.when(inside, F.col("start_time"))).alias("lo"),
-            F.max(F.when(inside, F.col("start_time"))).alias("hi"),
-        ))
-    rows = both.agg(F.array(*per_period).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    # At most two groups; a window without sessions has none and is added as a row of zeros.
+    volume = both.groupBy(F.when(F.col("late"), "current").otherwise("previous").alias("period")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        m.sum_units("energy_kwh").alias("energy_u"),
+        m.sum_units("revenue").alias("revenue_u"),
+        m.sum_long("duration_minutes").alias("minutes"),
+        F.expr("count_if(session_status = 'Completed' AND duration_minutes IS NOT NULL)").alias("completed_timed"),
+        m.sum_long("duration_minutes", m.is_status("Completed")).alias("completed_minutes"),
+        F.expr("count_if(session_status = 'Completed' AND energy_kwh IS NOT NULL)").alias("completed_metered"),
+        m.sum_units("energy_kwh", m.is_status("Completed")).alias("completed_energy_u"),
+        m.count_status("Failed").alias("failed"),
+        F.min("start_time").alias("lo"),
+        F.max("start_time").alias("hi"),
+    )
+    both_periods = t.sessions.sparkSession.range(1).select(F.expr("explode(array('current', 'previous'))").alias("period"))
+    rows = both_periods.join(volume, "period", "left").na.fill(0)
     rows = (
         rows.withColumn("active_stations", _active_stations(t))
         .withColumn("active_chargers", active_total(t.chargers))
