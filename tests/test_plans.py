@@ -16,7 +16,9 @@ QUERIES = {k: v for k, v in entry.queries().items() if k != "write_tables"}
 MINUTES = "at most 65,536 ranges of minutes"
 BRACKETS = "counts inside the quantile brackets (tests/test_quantiles.py)"
 BOUNDED = {
+    "peak_hours": "24 hours",
     "peak_windows": "24 hours",
+    "peak_vs_offpeak": "24 hours",
     "sql06_monthly_revenue": "months",
     "sql07_top_stations": "the first n rows",
     "segment_summary": "four segments",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from voltlake.functions import calendar as cal
 from voltlake.functions import measures as m
 from voltlake.functions.quantiles import integer_quantiles, quantiles
+from voltlake.plans.rollups import sorted_once
 from voltlake.sources.filters import ALL, GlobalFilter, filtered_sessions
 from voltlake.sources.tables import Tables
 
@@ -262,7 +263,7 @@ def anomaly_low_freq(t: Tables, k: float = 1.5, flt: GlobalFilter = ALL) -> Data
 def _by_severity(log: DataFrame) -> DataFrame:
     """High, Medium, Low; the other columns make the order total and the sort's ranges even."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    return log.orderBy(rank, "anomaly_type", "timestamp", "station_id", "charger_id", "observed")
+    return sorted_once(log, rank, "anomaly_type", "timestamp", "station_id", "charger_id", "observed")
 
 
 def anomaly_log(t: Tables, session_cap: int | None = None, flt: GlobalFilter = ALL) -> DataFrame:
@@ -271,20 +272,23 @@ def anomaly_log(t: Tables, session_cap: int | None = None, flt: GlobalFilter = A
     ``session_cap`` keeps that many session-level entries (by time, station,
     charger); by default all are kept.
     """
+    return _by_severity(_all_rules(t, flt, session_cap))
+
+
+def _all_rules(t: Tables, flt: GlobalFilter, session_cap: int | None = None) -> DataFrame:
     s = filtered_sessions(t, flt)
     on_sessions = _session_rules(s, [LONG_SESSION, CAMPER])
     if session_cap is not None:
         on_sessions = on_sessions.orderBy(
             "timestamp", "station_id", "charger_id", "anomaly_type", "observed"
         ).limit(session_cap)
-    log = on_sessions.unionByName(
+    return on_sessions.unionByName(
         _charger_rules(t, s, [HIGH_FAILURE, HIGH_FREQUENCY, LOW_FREQUENCY])
     ).unionByName(_drop_rules(t, s, [REVENUE_DROP, UTILIZATION_DROP]))
-    return _by_severity(log)
 
 
 def anomaly_log_by_severity(
     t: Tables, severities: Sequence[str] = SEVERITIES, flt: GlobalFilter = ALL
 ) -> DataFrame:
     """The log restricted to some severities; none selected gives no rows."""
-    return _by_severity(anomaly_log(t, flt=flt).filter(F.col("severity").isin(list(severities))))
+    return _by_severity(_all_rules(t, flt).filter(F.col("severity").isin(list(severities))))

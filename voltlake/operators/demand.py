@@ -24,12 +24,11 @@ def demand_kpis(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
     def top(key: Column, df: DataFrame = base) -> Column:
-        counts = df.select(key.alias("k"), "n").filter(F.col("k").isNotNull())
-        counts = counts.groupBy("k").agg(F.sum("n").alias("n"))
+        counts = df.select(key.alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n"))
         return counts.agg(first_by(F.col("n"), "k").alias("top")).select("top.k").scalar()
 
     by_station = base.groupBy("station_id").agg(F.sum("n").alias("n"))
-    in_city = by_station.join(t.stations.select("station_id", "city"), "station_id")
+    in_city = by_station.join(t.stations.select("station_id", "city"), "station_id", "left")
     station = top(F.col("station_id")) if flt.station_id is None else F.lit(flt.station_id)
     return base.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_sessions")).select(
         top(F.col("hour")).alias("peak_hour"),
@@ -46,13 +45,11 @@ def _flagged_hours(hourly: DataFrame, k_sd: float) -> DataFrame:
 
     Over the observed hours. One observed hour has no deviation and so no peak.
     """
-    stats = hourly.agg(F.struct(
-        F.avg("rows").alias("mean"), F.stddev_samp("rows").alias("sd")
-    ).alias("s")).scalar()
-    return hourly.withColumn("s", stats).withColumns({
-        "mean_volume": F.col("s.mean"), "sd_volume": F.col("s.sd"),
-        "threshold": F.col("s.mean") + F.lit(float(k_sd)) * F.col("s.sd"),
-    }).withColumn("is_peak", F.coalesce(F.col("rows") > F.col("threshold"), F.lit(False)))
+    # At most 24 rows reach this window.
+    whole = Window.partitionBy(F.lit(1))
+    return hourly.withColumns({
+        "mean_volume": F.avg("rows").over(whole), "sd_volume": F.stddev_samp("rows").over(whole),
+    }).withColumn("threshold", F.col("mean_volume") + F.lit(float(k_sd)) * F.col("sd_volume")).withColumn("is_peak", F.coalesce(F.col("rows") > F.col("threshold"), F.lit(False)))
 
 
 def peak_hours(t: Tables, k_sd: float = 1, flt: GlobalFilter = ALL) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voltlake.functions import calendar as cal
 from voltlake.functions import measures as m
-from voltlake.plans.rollups import active_chargers
+from voltlake.plans.rollups import active_chargers, sorted_once
 from voltlake.sources.tables import Tables
 
 YEAR = 365
@@ -179,13 +179,13 @@ def sql12_anomaly_flags(t: Tables, minutes: int = 240, kwh: float = 2, abort: in
     """Idle campers and immediate aborts, longest first."""
     camper = (F.col("duration_minutes") > minutes) & (F.col("energy_kwh") < float(kwh))
     aborted = (F.col("duration_minutes") < abort) & (F.col("energy_kwh") == 0)
-    return (
-        t.sessions.filter(camper | aborted)
-        .orderBy(F.col("duration_minutes").desc(), "start_time", "session_id", "station_id", "charger_id")
-        .select(
-            "session_id", "station_id", "charger_id",
-            m.as_long("duration_minutes").alias("duration_minutes"),
-            "energy_kwh",
-            F.when(camper, "Idle Camper").otherwise("Immediate Failure/Abort").alias("anomaly_flag"),
-        )
+    found = sorted_once(
+        t.sessions.filter(camper | aborted),
+        F.col("duration_minutes").desc(), "start_time", "session_id", "station_id", "charger_id",
+    )
+    return found.select(
+        "session_id", "station_id", "charger_id",
+        m.as_long("duration_minutes").alias("duration_minutes"),
+        "energy_kwh",
+        F.when(camper, "Idle Camper").otherwise("Immediate Failure/Abort").alias("anomaly_flag"),
     )

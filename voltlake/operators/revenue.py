@@ -36,19 +36,18 @@ def _distinct_with_null(column: str) -> Column:
 def revenue_kpis(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
     """Revenue in total and per session, completed session, kWh, charger, station and operating hour."""
     pairs = _by_station_and_charger(filtered_sessions(t, flt))
-    distinct = pairs.agg(F.struct(
-        _distinct_with_null("charger_id").alias("chargers"), _distinct_with_null("station_id").alias("stations")
-    ).alias("d")).scalar()
-    totals = pairs.agg(*[
-        F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "completed", "revenue_u", "energy_u", "minutes")
-    ]).withColumn("seen", distinct)
+    totals = pairs.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "completed", "revenue_u", "energy_u", "minutes")],
+        _distinct_with_null("charger_id").alias("chargers"),
+        _distinct_with_null("station_id").alias("stations"),
+    )
     return totals.select(
         m.from_units("revenue_u").alias("total_revenue"),
         m.from_units("energy_u").alias("total_energy_kwh"),
         F.col("rows").alias("total_sessions"),
         F.col("completed").alias("completed_sessions"),
-        m.as_long("seen.chargers").alias("chargers_seen"),
-        m.as_long("seen.stations").alias("stations_seen"),
+        m.as_long("chargers").alias("chargers_seen"),
+        m.as_long("stations").alias("stations_seen"),
         (F.col("minutes") / F.lit(60.0)).alias("operating_hours"),
     ).select(
         "total_revenue",

@@ -118,8 +118,19 @@ def active_total(chargers: DataFrame) -> Column:
 
 
 def first_by(metric: Column, *keys: str) -> Column:
-    """Aggregate: the row with the largest metric, the smallest key on a tie.
+    """Aggregate: the row with the largest metric, the smallest key on a tie; NULL keys do not count.
 
-    A MIN over (-metric, keys): combined map-side, no sort and no window.
+    A MIN over (-metric, keys): combined map-side, no sort and no window. The
+    NULL test is part of the aggregate, not a filter: a filter on a group key
+    would move below the group's shuffle and keep others from sharing it.
     """
-    return F.min(F.struct((-metric).alias("n"), *[F.col(k) for k in keys]))
+    return F.min(F.when(F.col(keys[0]).isNotNull(), F.struct((-metric).alias("n"), *[F.col(k) for k in keys])))
+
+
+def sorted_once(df: DataFrame, *order: Column | str) -> DataFrame:
+    """A global sort that does not run its input twice.
+
+    Spark samples the input of a sort for the range bounds, which would repeat a
+    scan of the fact. The few rows found are exchanged first; sampling reads those.
+    """
+    return df.hint("rebalance").orderBy(*order)
