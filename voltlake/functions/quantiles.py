@@ -53,7 +53,9 @@ def _cumulated(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> DataFram
     """(name, v, n, upto, total): counts in value order with their running sum."""
     edges = {c: _edges(p) for c, p in wanted.items()}
     marks = df.agg(F.struct(*[_marks(c, e).alias(c) for c, e in edges.items()]).alias("marks")).scalar()
-    placed = df.select(*wanted, marks.alias("marks")).select(
+    # In the order of df, so that this reader and others of df share its shuffles.
+    columns = [c for c in df.columns if c in wanted]
+    placed = df.select(*columns, marks.alias("marks")).select(
         F.expr(f"explode(array({', '.join(_placed(c, len(e)) for c, e in edges.items())}))").alias("p")
     ).select("p.*").filter("present")
     counts = placed.groupBy("name", "segment", "v").agg(F.count(F.lit(1)).alias("n"))
