@@ -96,7 +96,7 @@ def _highway_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voltlake-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voltlake-")
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
