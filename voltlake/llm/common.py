@@ -92,3 +92,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     linked = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _ordered(linked.unionByName(least.select("u", F.col("m").alias("v"))))
+
+
+#: Rows up to which a side of a join is broadcast by request (some tens of megabytes at most); more rows shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``frame``, with a broadcast hint if it has been counted to have ``most`` rows or less.
+
+    Meant for written tables of a few fixed-width columns, where counting reads no more than file footers.
+    """
+    return F.broadcast(frame) if frame.count() <= most else frame

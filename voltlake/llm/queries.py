@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, sentencepiece_lattice, simhash, toxicity
+from . import decontaminate, fuzzy_lines, quality, sentencepiece_lattice, simhash, toxicity
 from .common import table
 from .labelled import fold
 
@@ -42,7 +42,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that are near copies of a line kept elsewhere."""
+    return fuzzy_lines.line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_quality, op5_simhash, op6_toxicity, op8_decontamination)
+    f.__name__: f for f in (op1_sentencepiece, op2_quality, op5_simhash, op6_toxicity, op8_decontamination, op9_fuzzy_lines)
 }
 ORACLE_SQL: dict[str, str] = {}
