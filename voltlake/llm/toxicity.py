@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import word_hashes
-from .common import clean_text
+from .common import clean_text, stored
 from .labelled import fold, labelled_sample
 
 PER_CLASS = 3000
 SLOT_BITS = 18
+MAX_FEATURES = 20_000
 THRESHOLD = 0.3
 BLOCK_BYTES = 400_000
 BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
@@ -61,28 +62,20 @@ def sentences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return slots, firsts * WIDE, row[firsts], starts[firsts]
 
 
-def fit(slots: np.ndarray, firsts: np.ndarray, row: np.ndarray, labels: np.ndarray, weight: np.ndarray, rounds: int = 150) -> Model:
-    """Maximum likelihood of the noisy-or with a small penalty, by Adam over the whole sample.
+def fit(
+    word: np.ndarray, owner: np.ndarray, row: np.ndarray, labels: np.ndarray, weight: np.ndarray, n_words: int,
+    rounds: int = 150,
+) -> tuple[np.ndarray, float]:
+    """Weights and bias of greatest penalised likelihood of the noisy-or, by Adam over the whole sample.
 
-    ``row`` is each sentence's document, ``weight`` each document's weight. What occurs in fewer than
-    three documents gets no weight.
+    ``word`` numbers the features, ``owner`` is each one's sentence, ``row`` each sentence's document and
+    ``weight`` each document's weight. Without both labels all weights are 0.
     """
-    model = Model(np.zeros(1 << SLOT_BITS, np.float32), -6.0)
-    n_docs, n_sentences = len(labels), len(firsts)
-    if not n_docs or labels.min() == labels.max() or not n_sentences:
-        return model
-    sentence = np.repeat(np.arange(n_sentences), np.diff(np.append(firsts, len(slots))))
-    document = row[sentence]
-    pairs = np.unique(slots * n_docs + document) // n_docs
-    known, seen = np.unique(pairs, return_counts=True)
-    known = known[(seen >= 3) & (known > 0)]
-    if not len(known):
-        return model
-    at = np.minimum(np.searchsorted(known, slots), len(known) - 1)
-    keep = known[at] == slots
-    word, owner = at[keep], sentence[keep]
-    values, bias = np.zeros(len(known)), model.bias
-    moment, square = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
+    values, bias = np.zeros(n_words), -6.0
+    n_docs, n_sentences = len(labels), len(row)
+    if not len(word) or labels.min() == labels.max():
+        return values, bias
+    moment, square = np.zeros(n_words + 1), np.zeros(n_words + 1)
     total = weight.sum()
     for step in range(1, rounds + 1):
         logit = bias + np.bincount(owner, values[word], n_sentences)
@@ -90,14 +83,12 @@ def fit(slots: np.ndarray, firsts: np.ndarray, row: np.ndarray, labels: np.ndarr
         safe = np.bincount(row, np.logaddexp(0, logit), n_docs)
         pull = np.where(labels > 0, np.exp(-safe) / np.maximum(-np.expm1(-safe), 1e-9), -1.0) * weight / total
         slope = chance * pull[row]
-        gradient = np.append(np.bincount(word, slope[owner], len(known)) - 1e-5 * values, slope.sum())
+        gradient = np.append(np.bincount(word, slope[owner], n_words) - 1e-5 * values, slope.sum())
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
         change = 0.15 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         values, bias = values + change[:-1], bias + change[-1]
-    model.weights[known] = values
-    model.bias = float(bias)
-    return model
+    return values, float(bias)
 
 
 def _blocks(texts: pa.Array) -> Iterator[list[bytes]]:
@@ -119,7 +110,7 @@ def train(
 ) -> Model:
     """A model from at most ``per_class`` labelled documents of each kind, weighted to the kinds' true shares.
 
-    Executors send word slots, no texts. By default the rows whose crc32 modulo 4 is not 2 are used.
+    Executors write word slots, no texts; the MAX_FEATURES most telling ones reach the driver. By default the rows whose crc32 modulo 4 is not 2 are used.
     Without both kinds of label every sentence has the chance of the bias.
     """
     use = fold(key, 4) != 2 if use is None else use
@@ -139,16 +130,51 @@ def train(
                 ], names=["label", "slots", "sizes"])
                 at += len(block)
 
-    sample = rows.select(F.lower("text"), "label").mapInArrow(run, "label int, slots array<int>, sizes array<int>").toArrow()
-    marks = sample["label"].to_numpy()
-    taken = np.bincount(marks, minlength=2) if len(marks) else np.zeros(2)
-    weight = np.array([counts.get(k, 0) / max(1, taken[k]) for k in (0, 1)])[marks] if len(marks) else np.zeros(0)
-    slots = sample["slots"].combine_chunks().flatten().to_numpy().astype(np.int64)
-    sizes = sample["sizes"].combine_chunks()
-    per_doc = np.array([len(s) for s in sizes], np.int64)
-    lengths = sizes.flatten().to_numpy().astype(np.int64)
+    sample = stored(
+        rows.select(F.lower("text"), "label").mapInArrow(run, "label int, slots array<int>, sizes array<int>"), "toxic-sample",
+    )
+    taken = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    model = Model(np.zeros(1 << SLOT_BITS, np.float32), -6.0)
+    if len(taken) < 2:
+        return model
+    known = _telling(sample, taken[1], taken[0])
+
+    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, sizes = [], []
+            for own, lengths in zip(batch.column(1), batch.column(2)):
+                slots = own.values.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(known, slots), max(0, len(known) - 1))
+                keep = known[at] == slots if len(known) else np.zeros(len(slots), bool)
+                sentence = np.repeat(np.arange(len(lengths.values)), lengths.values.to_numpy(zero_copy_only=False))
+                words.append(at[keep].astype(np.int32))
+                sizes.append(np.bincount(sentence[keep], minlength=len(lengths.values)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(words, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())),
+            ], names=["label", "words", "sizes"])
+
+    table = sample.mapInArrow(compact, "label int, words array<int>, sizes array<int>").toArrow()
+    marks = table["label"].to_numpy()
+    weight = np.array([counts.get(k, 0) / max(1, taken.get(k, 0)) for k in (0, 1)])[marks]
+    per_doc = pa.compute.list_value_length(table["sizes"]).to_numpy()
+    words = pa.compute.list_flatten(table["words"]).to_numpy()
+    sizes = pa.compute.list_flatten(table["sizes"]).to_numpy()
+    del table
     row = np.repeat(np.arange(len(marks)), per_doc)
-    return fit(slots, np.cumsum(lengths) - lengths, row, marks, weight)
+    values, model.bias = fit(words, np.repeat(np.arange(len(sizes)), sizes), row, marks, weight, len(known))
+    model.weights[known] = values
+    return model
+
+
+def _telling(sample: DataFrame, n_toxic: int, n_civil: int) -> np.ndarray:
+    """The MAX_FEATURES slots whose shares in the two kinds of document differ most for their frequency, in order."""
+    each = sample.select("label", F.explode(F.array_distinct("slots")).alias("slot")).where("slot > 0")
+    seen = each.groupBy("slot").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where("a + b >= 3")
+    share = (F.col("a") + F.col("b")) / (n_toxic + n_civil)
+    gap = F.col("a") / n_toxic - F.col("b") / n_civil
+    telling = seen.select("slot", (gap * gap / (share * (1.0001 - share))).alias("weight"))
+    chosen = telling.orderBy(F.desc("weight"), "slot").limit(MAX_FEATURES).toPandas()["slot"].to_numpy(np.int64)
+    return np.sort(chosen)
 
 
 def score(
