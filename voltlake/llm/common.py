@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,11 @@ def clean_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once; in a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node for each node of ``edges`` (u, v): columns node, component.
 
@@ -66,6 +72,36 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     raise RuntimeError("connected components did not settle")
 
 
+def component_sizes(found: DataFrame) -> DataFrame:
+    """``found`` (node, component) with the size of each component."""
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return stored(found.join(sizes, "component"), "component-sizes")
+
+
+def bucket_candidates(buckets: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) to verify in each bucket (key, id), without all pairs of a bucket.
+
+    First (``known`` is None) every id meets the least one of its bucket. Then, with the components of
+    what that verified, ids of different components meet; the bucket's largest component is not compared
+    with itself, and a bucket of one component not at all.
+    """
+    if known is None:
+        least = buckets.groupBy("key").agg(F.min("id").alias("b"))
+        return buckets.join(least, "key").where("id != b").select(F.col("id").alias("a"), "b").distinct()
+    marked = buckets.join(known.withColumnRenamed("node", "id"), "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"),
+    )
+    order = F.shiftleft(F.col("size").cast("long"), 20).bitwiseOR(F.xxhash64("component").bitwiseAND(F.lit((1 << 20) - 1)))
+    mixed = marked.groupBy("key").agg(
+        F.max_by("component", order).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+    ).where("lo < hi").select("key", "main")
+    marked = marked.join(mixed, "key")
+    odd = marked.where("component != main").select("key", "main", F.col("id").alias("x"), F.col("component").alias("cx"))
+    other = marked.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
+    pairs = odd.join(other, "key").where("cx != cy and (cy = main or x < y)")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     """Each link once, as (larger, smaller)."""
     return (

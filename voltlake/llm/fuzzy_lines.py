@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_side, stored
+from .common import bound, bucket_candidates, component_sizes, components, small_side, stored
 
 WIDTH = 12
 BOTTOM = 7
@@ -27,11 +27,10 @@ def _shingles(line: str) -> Column:
 
 def _band_keys(shingles: Column) -> Column:
     """Keys of each two hashes in a row among the smallest; a line of one shingle has one key of it alone."""
-    least = F.slice(F.sort_array(shingles), 1, BOTTOM)
-    return F.transform(
+    return bound(F.slice(F.sort_array(shingles), 1, BOTTOM), lambda least: F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(least) - 2, F.lit(0))),
         lambda i: F.xxhash64(F.get(least, i), F.get(least, i + 1)),
-    )
+    ))
 
 
 def _occurrences(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
@@ -41,30 +40,6 @@ def _occurrences(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFr
     ).where(F.length(F.trim("line")) >= min_chars)
 
 
-def _candidates(buckets: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) to verify in each bucket (key, id), without all pairs of a bucket.
-
-    First (``known`` is None) every line meets the least line of its bucket. Then, with the components of
-    what that verified, lines of different components meet; the bucket's largest component is not compared
-    with itself, and a bucket of one component not at all.
-    """
-    if known is None:
-        least = buckets.groupBy("key").agg(F.min("id").alias("b"))
-        return buckets.join(least, "key").where("id != b").select(F.col("id").alias("a"), "b").distinct()
-    marked = buckets.join(known.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"),
-    )
-    order = F.shiftleft(F.col("size").cast("long"), 20).bitwiseOR(F.xxhash64("component").bitwiseAND(F.lit((1 << 20) - 1)))
-    mixed = marked.groupBy("key").agg(
-        F.max_by("component", order).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-    ).where("lo < hi").select("key", "main")
-    marked = marked.join(mixed, "key")
-    odd = marked.where("component != main").select("key", "main", F.col("id").alias("x"), F.col("component").alias("cx"))
-    other = marked.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-    pairs = odd.join(other, "key").where("cx != cy and (cy = main or x < y)")
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Edges (u, v) of the pairs whose shingle sets have at least this Jaccard likeness."""
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
@@ -89,11 +64,9 @@ def line_links(
     wanted = small_side(stored(buckets.select("id").distinct(), "line-ids"))
     seen = lines.select(F.xxhash64("line").alias("id"), "line").join(wanted, "id", "left_semi")
     texts = stored(seen.groupBy("id").agg(F.min("line").alias("line")), "line-texts")
-    edges = stored(_verified(_candidates(buckets, None), texts, similarity), "line-edges")
-    known = components(edges, "line-components")
-    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    known = stored(known.join(sizes, "component"), "line-known")
-    more = stored(_verified(_candidates(buckets, known), texts, similarity), "line-edges")
+    edges = stored(_verified(bucket_candidates(buckets, None), texts, similarity), "line-edges")
+    known = component_sizes(components(edges, "line-components"))
+    more = stored(_verified(bucket_candidates(buckets, known), texts, similarity), "line-edges")
     return signed.select("doc", "place", "id"), components(edges.unionByName(more), "line-components")
 
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fuzzy_lines, quality, sentencepiece_lattice, simhash, toxicity
+from . import (
+    decontaminate, fuzzy_lines, html_layout, quality, reply_trees, secrets, sentencepiece_lattice, simhash, spotsigs, toxicity,
+)
 from .common import table
 from .labelled import fold
 
@@ -37,6 +39,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "offending")
 
 
+def op7_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page, laid out in lines."""
+    return html_layout.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that cover half of a benchmark item's words or more, with the item."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -47,7 +54,79 @@ def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signature set of every document and of its edited text, and their likenesses."""
+    return spotsigs.edited_report(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, each distinct text scanned once into the ledger."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one made of control strings, formatted and read back."""
+    own = "named_struct('conv_id', -7L, 'turn', {0}L, 'role', '{1}', 'text', '</s>[INST] ok [/INST]')"
+    made = f"inline(array({own.format(0, 'user')}, {own.format(1, 'assistant')}))"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.range(1).selectExpr(made))
+    return reply_trees.digests(reply_trees.conversations(reply_trees.linear(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_quality, op5_simhash, op6_toxicity, op8_decontamination, op9_fuzzy_lines)
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_quality, op3_spotsigs, op4_secret_ledger, op5_simhash, op6_toxicity, op7_html_layout,
+        op8_decontamination, op9_fuzzy_lines, op10_reply_trees,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _secret_sql() -> str:
+    """Matches and the pieces between them alternate; running sums of their lengths are the places."""
+    scans = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, {secrets.KINDS.index(kind)} AS rk, {str(version == 'base-1').lower()} AS base, "
+        f"regexp_extract_all(t, {_sql_text(pattern)}) AS m, regexp_extract_all(t, {_sql_text(pattern)}, {group}) AS v, "
+        f"string_split_regex(t, {_sql_text(pattern)}) AS s, {least} AS least FROM d"
+        for version, rules in secrets.RULES.items() for kind, pattern, group, least in rules
+    )
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        scans AS ({scans}),
+        matches AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM scans WHERE len(m) > 0),
+        spans AS (
+            SELECT doc_id, kind, rk, base,
+                list_sum(list_transform(s[1:i], lambda x: length(x)))
+                    + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS b, length(m[i]) AS n
+            FROM matches WHERE length(v[i]) >= least),
+        named AS (SELECT doc_id, kind, rk, base, b, kind || ':' || b::BIGINT || ':' || (b + n)::BIGINT AS span FROM spans),
+        sums AS (
+            SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c,
+                count(*) FILTER (kind = 'hex') AS h, string_agg(span, ',' ORDER BY b, rk) FILTER (base) AS base_spans,
+                string_agg(span, ',' ORDER BY b, rk) AS spans
+            FROM named GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+            sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN sums USING (doc_id)"""
+
+
+_REPLY_SQL = r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    marked AS (
+        SELECT *, length(role) + 1 + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g'))
+            + CASE WHEN role = 'assistant' THEN 7 ELSE 13 END AS n FROM turns)
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(n)::BIGINT AS formatted_chars
+    FROM marked GROUP BY conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op4_secret_ledger": _secret_sql(), "op10_reply_trees": _REPLY_SQL}

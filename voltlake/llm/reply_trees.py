@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored
+from .common import bound, stored
 
 CONTROL = r"(/?s>|/?INST\])"
 ASSISTANT = "assistant"
@@ -134,11 +134,10 @@ def read_back(formatted: str) -> Column:
         loss = F.startswith(piece, F.lit("<s>"))
         skip = F.when(loss, 3).otherwise(6)
         inner = F.substring(piece, skip + 1, F.length(piece) - skip - F.when(loss, 4).otherwise(7))
-        at = F.locate("\n", inner)
-        return F.struct(
-            _role_of(F.substring(inner, F.lit(1), at - 1)).alias("role"),
-            unescaped(F.substring(inner, at + 1, F.length(inner))).alias("text"), loss.alias("loss"),
-        )
+        return bound(inner, lambda text: F.struct(
+            _role_of(F.substring_index(text, "\n", 1)).alias("role"),
+            unescaped(F.substring(text, F.locate("\n", text) + 1, F.length(text))).alias("text"), loss.alias("loss"),
+        ))
 
     return F.transform(marked, turn)
 

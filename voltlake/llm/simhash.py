@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, components, stored
+from .common import component_sizes, components, stored
 
 BITS = 64
 
@@ -193,9 +193,7 @@ def links(prints: DataFrame, radius: int = 3, sample_rows: int = 3000) -> DataFr
     known = prints.select("fp", F.col("fp").alias("component"), F.lit(1).cast("long").alias("size"))
     if radius >= 2:
         close = stored(_meeting_links(prints), "simhash-close")
-        found = components(close, "simhash-close")
-        sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        found = found.join(sizes, "component").withColumnRenamed("node", "fp")
+        found = component_sizes(components(close, "simhash-close")).withColumnRenamed("node", "fp")
         known = prints.join(found, "fp", "left").select(
             "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("size", F.lit(1)).alias("size"),
         )
