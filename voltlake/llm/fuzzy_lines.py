@@ -91,14 +91,18 @@ def repeated_lines(
 
 
 def _kept(docs: DataFrame, text: str, key: str, similarity: float, min_chars: int) -> DataFrame:
-    """``docs`` with all_lines and kept (the places that stay)."""
+    """``docs`` with its lines (_lines) and the places that stay (_kept)."""
     places = small_side(stored(repeated_lines(docs, text, key, similarity, min_chars), "line-drops"), 300_000)
-    places = places.select(F.col("doc").alias("drop_doc"), "places")
-    lines = docs.withColumn("all_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    every = F.sequence(F.lit(0), F.size("all_lines") - 1)
-    return lines.join(places, F.col(key) == F.col("drop_doc"), "left").withColumn(
-        "kept", F.when(F.col("places").isNull(), every).otherwise(F.array_except(every, "places")),
-    ).drop("drop_doc", "places")
+    places = places.select(F.col("doc").alias("_doc"), F.col("places").alias("_places"))
+    lines = docs.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    every = F.sequence(F.lit(0), F.size("_lines") - 1)
+    return lines.join(places, F.col(key) == F.col("_doc"), "left").withColumn(
+        "_kept", F.when(F.col("_places").isNull(), every).otherwise(F.array_except(every, "_places")),
+    ).drop("_doc", "_places")
+
+
+def _rejoined() -> Column:
+    return bound(F.col("_lines"), lambda lines: F.array_join(F.transform("_kept", lambda i: F.get(lines, i)), "\n"))
 
 
 def line_report(
@@ -113,8 +117,8 @@ def line_report(
     """
     rest = _kept(docs.select(key, text), text, key, similarity, min_chars)
     return rest.select(
-        key, F.size("all_lines").alias("n_lines"), (F.size("all_lines") - F.size("kept")).alias("n_dropped"),
-        F.array_join(F.transform("kept", lambda i: F.get("all_lines", i)), "\n").alias("dedup_text"),
+        key, F.size("_lines").alias("n_lines"), (F.size("_lines") - F.size("_kept")).alias("n_dropped"),
+        _rejoined().alias("dedup_text"),
     )
 
 
@@ -123,8 +127,7 @@ def deduplicate(
 ) -> DataFrame:
     """``docs`` without the dropped lines; a document may become empty but stays. n_chars, if there, is counted anew."""
     rest = _kept(docs, text, key, similarity, min_chars)
-    new = F.array_join(F.transform("kept", lambda i: F.get("all_lines", i)), "\n")
-    rest = rest.withColumn(text, F.when(F.col(text).isNotNull(), new))
+    rest = rest.withColumn(text, F.when(F.col(text).isNotNull(), _rejoined()))
     if "n_chars" in docs.columns:
         rest = rest.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return rest.select(*docs.columns)
