@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import bound, bucket_candidates, component_sizes, components, small_side, stored
 
-WIDTH = 12
+WIDTH = 20
 BOTTOM = 7
 SIMILARITY = 0.8
 MIN_CHARS = 20
@@ -40,12 +40,14 @@ def _occurrences(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFr
     ).where(F.length(F.trim("line")) >= min_chars)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) of the pairs whose shingle sets have at least this Jaccard likeness."""
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
-    both = one.join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    sets = both.select("a", "b", _shingles("line_a").alias("sa"), _shingles("line_b").alias("sb"))
-    shared = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("total"))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) of the pairs whose shingle sets have at least this Jaccard likeness; sizes prune first."""
+    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    possible = F.least(F.size("sa"), F.size("sb")) >= F.lit(similarity) * F.greatest(F.size("sa"), F.size("sb"))
+    shared = both.where(possible).select(
+        "a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("total"),
+    )
     return shared.where(F.col("n") >= F.lit(similarity) * (F.col("total") - F.col("n"))).select(
         F.col("a").alias("u"), F.col("b").alias("v"),
     )
@@ -63,10 +65,11 @@ def line_links(
     buckets = stored(members.join(crowded, "key").select("key", "id").distinct(), "line-buckets")
     wanted = small_side(stored(buckets.select("id").distinct(), "line-ids"))
     seen = lines.select(F.xxhash64("line").alias("id"), "line").join(wanted, "id", "left_semi")
-    texts = stored(seen.groupBy("id").agg(F.min("line").alias("line")), "line-texts")
-    edges = stored(_verified(bucket_candidates(buckets, None), texts, similarity), "line-edges")
+    seen = seen.groupBy("id").agg(F.min("line").alias("line"))
+    sets = stored(seen.select("id", _shingles("line").alias("shingles")), "line-sets")
+    edges = stored(_verified(bucket_candidates(buckets, None), sets, similarity), "line-edges")
     known = component_sizes(components(edges, "line-components"))
-    more = stored(_verified(bucket_candidates(buckets, known), texts, similarity), "line-edges")
+    more = stored(_verified(bucket_candidates(buckets, known), sets, similarity), "line-edges")
     return signed.select("doc", "place", "id"), components(edges.unionByName(more), "line-components")
 
 
