@@ -78,6 +78,23 @@ def component_sizes(found: DataFrame) -> DataFrame:
     return stored(found.join(sizes, "component"), "component-sizes")
 
 
+def rarest_buckets(sets: DataFrame, similarity: float) -> DataFrame:
+    """Buckets (key, id) of ``sets`` (id, members: array of distinct longs): a set is in the bucket of each of
+    its rarest members, as many as two sets of this Jaccard likeness cannot both avoid.
+
+    Two such sets share one of the n - ceil(similarity * n) + 1 first members of each, in any common order;
+    with the rarest first, the shared ones are few. Members of one set only come first and need no bucket.
+    """
+    each = sets.select("id", F.size("members").alias("n"), F.explode("members").alias("key"))
+    frequency = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = each.join(frequency, "key").groupBy("id", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"),
+    )
+    alone = F.col("n") - F.size("order")
+    places = F.col("n") - F.ceil(F.lit(similarity) * F.col("n")).cast("int") + 1 - alone
+    return shared.where(places > 0).select("id", F.explode(F.slice("order", F.lit(1), places)).alias("one")).select("one.key", "id")
+
+
 def bucket_candidates(buckets: DataFrame, known: DataFrame | None) -> DataFrame:
     """Pairs (a, b) to verify in each bucket (key, id), without all pairs of a bucket.
 

@@ -2,16 +2,16 @@
 
 A line's shingles are the ``WIDTH`` characters from each word start (shorter at its end), lower-cased. Its
 signature is the bottom of their hashes: the ``BOTTOM`` smallest, of which each two in a row make a band
-key. Lines of Jaccard 0.8 share a key with a chance of about 0.98, of 0.9 with more than 0.999. Everything
-is DataFrame expressions; a line is known by the 64-bit hash of its text.
-"""
-
+key. Lines of Jaccard 0.8 share a key with a chance of about 0.98, of 0.9 with more than 0.999. Among the
+lines that share a key with another, two are compared if they share one of their rarest shingles, which
+lines of the wanted likeness always do. Everything is DataFrame expressions; a line is known by the
+64-bit hash of its text.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, bucket_candidates, component_sizes, components, small_side, stored
+from .common import bound, bucket_candidates, component_sizes, components, rarest_buckets, small_side, stored
 
 WIDTH = 20
 BOTTOM = 7
@@ -62,11 +62,12 @@ def line_links(
     members = signed.select("id", F.explode("keys").alias("key"))
     crowded = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     crowded = small_side(stored(crowded, "line-keys"))
-    buckets = stored(members.join(crowded, "key").select("key", "id").distinct(), "line-buckets")
-    wanted = small_side(stored(buckets.select("id").distinct(), "line-ids"))
+    wanted = small_side(stored(members.join(crowded, "key").select("id").distinct(), "line-ids"))
     seen = lines.select(F.xxhash64("line").alias("id"), "line").join(wanted, "id", "left_semi")
     seen = seen.groupBy("id").agg(F.min("line").alias("line"))
     sets = stored(seen.select("id", _shingles("line").alias("shingles")), "line-sets")
+    # of the lines that share a band with another, only pairs that share one of their rarest shingles are compared
+    buckets = stored(rarest_buckets(sets.withColumnRenamed("shingles", "members"), similarity), "line-rarest")
     edges = stored(_verified(bucket_candidates(buckets, None), sets, similarity), "line-edges")
     known = component_sizes(components(edges, "line-components"))
     more = stored(_verified(bucket_candidates(buckets, known), sets, similarity), "line-edges")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bound, bucket_candidates, clean_text, component_sizes, components, small_side, stored
+from .common import bound, bucket_candidates, clean_text, component_sizes, components, rarest_buckets, small_side, stored
 
 CHAIN = 2
 SIMILARITY = 0.8
@@ -153,18 +153,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     rows = stored(docs.select(F.col(key).alias("doc"), signatures(clean_text(text)).alias("signature")).select(
         "doc", F.xxhash64("signature").alias("id"), "signature"), "spot-sets")
     classes = stored(rows.groupBy("id").agg(F.min("doc").alias("least"), F.first("signature").alias("signature")), "spot-classes")
-    size = F.size("signature")
-    sets = classes.where(size > 0)
-    each = sets.select("id", size.alias("n"), F.explode("signature").alias("sig"))
-    frequency = each.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    reach = F.col("n") - F.ceil(F.lit(similarity) * F.col("n")).cast("int") + 1
-    # a set's single signatures come first among the rarest and join with none
-    shared = each.join(frequency, "sig", "left").groupBy("id", "n").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "sig"))).alias("all"),
-    ).select("id", "n", F.explode(F.slice("all", F.lit(1), reach)).alias("one")).where("one.df > 1")
+    sets = classes.where(F.size("signature") > 0)
+    rarest = rarest_buckets(sets.select("id", F.col("signature").alias("members")), similarity)
+    sized = rarest.join(sets.select("id", F.size("signature").alias("n")), "id")
     span = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(similarity)) + F.lit(1e-9)).cast("int")
-    buckets = shared.select("id", F.col("one.sig").alias("sig"), F.explode(F.array(span, span + 1)).alias("span")).select(
-        F.xxhash64("sig", "span").alias("key"), "id").distinct()
+    buckets = sized.select("id", "key", F.explode(F.array(span, span + 1)).alias("span")).select(
+        F.xxhash64("key", "span").alias("key"), "id").distinct()
     buckets = stored(buckets, "spot-buckets")
     edges = stored(_compared(bucket_candidates(buckets, None), sets, similarity), "spot-edges")
     known = component_sizes(components(edges, "spot-components"))
