@@ -6,6 +6,8 @@ key. Lines of Jaccard 0.8 share a key with a chance of about 0.98, of 0.9 with m
 lines that share a key with another, two are compared if they share one of their rarest shingles, which
 lines of the wanted likeness always do. Everything is DataFrame expressions; a line is known by the
 64-bit hash of its text.
+"""
+
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
