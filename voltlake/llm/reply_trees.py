@@ -55,36 +55,39 @@ def branches(messages: DataFrame) -> DataFrame:
         "tree", "message", F.when(F.col("known"), F.col("parent")).alias("parent"),
     )
     nodes = stored(nodes, "replies")
+    most = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parent = F.col("parent")
     state = nodes.select(
-        "tree", "message", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("hops"),
+        "tree", "message", parent.alias("up"), parent.isNotNull().cast("long").alias("hops"),
         F.coalesce("parent", "message").alias("top"),
     )
-    most = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    done, open_ = state.where("up is null"), state.where("up is not null")
     jumps = []
     for _ in range(most.bit_length() + 1):
-        state = stored(state, "reply-jumps")
-        jump = state.where(F.col("up").isNotNull()).select("tree", "message", "up")
-        if jump.isEmpty():
+        if open_.isEmpty():
             break
-        jumps.append(jump)
-        above = state.select(
+        jumps.append(open_.select("tree", "message", "up"))
+        # only messages that have not met their root go on; what they jump to may have
+        above = done.unionByName(open_).select(
             "tree", F.col("message").alias("up"), F.col("up").alias("next"), F.col("hops").alias("more"),
             F.col("top").alias("next_top"),
         )
-        state = state.join(above, ["tree", "up"], "left").select(
-            "tree", "message", F.col("next").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
-            F.coalesce("next_top", "top").alias("top"),
-        )
-    rooted = state.where(F.col("up").isNull()).select("tree", "message", F.col("top").alias("root"), F.col("hops"))
+        state = stored(open_.join(above, ["tree", "up"]).select(
+            "tree", "message", F.col("next").alias("up"), (F.col("hops") + F.col("more")).alias("hops"),
+            F.col("next_top").alias("top"),
+        ), "reply-jumps")
+        done, open_ = done.unionByName(state.where("up is null")), state.where("up is not null")
+    rooted = done.select("tree", "message", F.col("top").alias("root"), "hops")
     replied = nodes.select("tree", F.col("parent").alias("message")).where(F.col("message").isNotNull()).distinct()
     leaves = rooted.join(replied, ["tree", "message"], "left_anti")
-    paths = leaves.select("tree", "root", F.col("message").alias("leaf"), "message", F.col("hops").alias("depth"))
+    paths = stored(
+        leaves.select("tree", "root", F.col("message").alias("leaf"), "message", F.col("hops").alias("depth")), "reply-paths",
+    )
     for k, jump in enumerate(jumps):
-        paths = stored(paths, "reply-paths")
         higher = paths.where(F.col("depth") >= 2**k).join(jump, ["tree", "message"]).select(
             "tree", "root", "leaf", F.col("up").alias("message"), (F.col("depth") - 2**k).alias("depth"),
         )
-        paths = paths.unionByName(higher)
+        paths = paths.unionByName(stored(higher, "reply-paths"))
     return paths.select(F.col("tree.conv").alias("conv"), "root", "leaf", "message", "depth")
 
 
