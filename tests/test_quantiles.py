@@ -1,4 +1,4 @@
-"""Exact quantiles against pandas, with hot values, NULLs, and both sides of the sketch's threshold."""
+"""Exact quantiles against pandas, with hot values, NULLs, NaN, infinities and narrow ranges."""
 
 from __future__ import annotations
 
@@ -41,12 +41,38 @@ def test_top_share_equals_pandas(spark, n):
     assert got.total_sum == pdf.b.sum()
 
 
-def test_a_large_column_is_bracketed(spark):
-    """Above the threshold only a small share of the distinct values reaches the last step."""
-    df = spark.range(200_000).withColumn("v", F.col("id") * 1.5)
-    kept = q._cumulated(df, {"v": [0.75]}).filter("v is not null").count()
-    assert 0 < kept < 200_000 * 0.001
-    assert spark.range(1).select(q.quantiles(df, {"v": [0.75]})).first()[0]["v"] == [149_999.25 * 1.5]
+def test_narrow_ranges_over_many_rounds(spark, monkeypatch):
+    """With 8 ranges a round, many values are left for the last step, and hot values, infinities and NaN are among them."""
+    monkeypatch.setattr(q, "BUCKETS", 8)
+    monkeypatch.setattr(q, "STEPS", 4)
+    rng = np.random.default_rng(1)
+    n = 1_000_000
+    v = rng.lognormal(0, 4, n) * rng.choice([-1, 1], n)
+    v[rng.random(n) < 0.3] = 2.5
+    v[:1000] = np.inf
+    v[1000:1500] = -np.inf
+    v[1500:1700] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"v": v})).repartition(16)
+    probs = [0.0, 0.0001, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99995, 1.0]
+    got = spark.range(1).select(q.quantiles(df, {"v": probs}).alias("q")).first().q["v"]
+    values = np.sort(v[~np.isnan(v)])
+    for p, value in zip(probs, got):
+        at = (len(values) - 1) * p
+        low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
+        want = low if low == high or at == np.floor(at) else low + (high - low) * (at - np.floor(at))
+        assert value == pytest.approx(want, rel=1e-12)
+
+
+def test_infinite_neighbours(spark):
+    df = spark.createDataFrame([(1.0,), (float("inf"),), (float("inf"),), (float("inf"),)], "v double")
+    assert spark.range(1).select(q.quantiles(df, {"v": [0.5, 0.0]})).first()[0]["v"] == [float("inf"), 1.0]
+
+
+def test_few_rows_reach_the_last_step(spark):
+    df = spark.range(1_000_000).withColumn("v", F.col("id") * 1.5)
+    bounds = spark.range(1).select(F.expr("array(named_struct('lo', 0D, 'hi', 1499998.5D, 'rank', 749999L))").alias("b")).scalar()
+    found = spark.range(1).select(q._narrowed(df, ["v"], bounds)).first()[0][0]
+    assert found.lo <= 749_999 * 1.5 <= found.hi and found.hi - found.lo < 1.5 * 20
 
 
 def test_no_values(spark):

@@ -23,17 +23,22 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _units_sql(c: str) -> str:
+    return f"CAST(rint(nullif(CAST({c} AS DOUBLE), double('NaN')) * {SCALE}) AS BIGINT)"
+
+
 def units(c: Column | str) -> Column:
-    """A money or energy value in whole ten-thousandths."""
+    """A money or energy value in whole ten-thousandths; NaN is missing, as NULL is."""
     if isinstance(c, str):
-        return F.expr(f"CAST(rint({c} * {SCALE}) AS BIGINT)")
-    return F.rint(_col(c) * SCALE).cast("long")
+        return F.expr(_units_sql(c))
+    value = _col(c).cast("double")
+    return F.when(~F.isnan(value), F.rint(value * SCALE)).cast("long")
 
 
 def sum_units(c: Column | str, when: Column | None = None) -> Column:
     """Exact sum in ten-thousandths; 0 for no rows."""
     if isinstance(c, str) and when is None:
-        return F.expr(f"coalesce(sum(CAST(rint({c} * {SCALE}) AS BIGINT)), 0)")
+        return F.expr(f"coalesce(sum({_units_sql(c)}), 0)")
     value = units(c) if when is None else F.when(when, units(c))
     return F.coalesce(F.sum(value), F.lit(0))
 

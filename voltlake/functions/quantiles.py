@@ -1,12 +1,15 @@
 """Exact quantiles of columns with any number of distinct values.
 
-``percentile`` keeps every distinct value of the column in the state of one
-task. Two ways around that, both exact:
-
-* :func:`quantiles` brackets each wanted rank with a quantile sketch (bounded
-  size). One distributed count by value then keeps single values inside the
-  brackets only, and one row for everything between two brackets. What reaches
-  the last step is a fixed share (below 0.1 %) of the distinct values.
+``percentile`` keeps every distinct value of the column in the state of one task.
+Here a rank is narrowed down by counting, the same way at every size:
+
+* :func:`quantiles` counts the values of a column in ``BUCKETS`` equal ranges between
+  its least and greatest value, takes the range that holds the wanted rank, and counts
+  again between the least and greatest value in it. A last count by single value in
+  that range gives the answer. The counts decide, so no estimate can miss; each step is
+  one aggregate with map-side combine and at most ``BUCKETS`` + 2 rows for each rank. The
+  last one has as many rows as distinct values are left, about their number over the
+  square of ``BUCKETS``.
 * :func:`integer_quantiles`, for 32-bit columns such as minutes, counts by value
   and sums the counts in two steps of at most 65,536 rows each.
 """
@@ -18,87 +21,104 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rank error of the sketch is 1 / ACCURACY of the rows. The bracket is twice as wide on each
-# side, which leaves at least WHOLE_BELOW / ACCURACY = 5 ranks to spare for interpolation.
-ACCURACY = 10_000
-MARGIN = 2.0 / ACCURACY
-WHOLE_BELOW = 50_000
+BUCKETS = 65_536
+STEPS = 2
 
 
-def _edges(probs: Sequence[float]) -> list[float]:
-    return [e for p in sorted(probs) for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
+def _value(column: str) -> str:
+    """The column as DOUBLE; NaN is missing, as NULL is."""
+    return f"nullif(CAST({column} AS DOUBLE), double('NaN'))"
 
 
-def _marks(column: str, edges: Sequence[float]) -> Column:
-    """Aggregate: bracket ends of a column; its whole range where it has few rows."""
-    v = f"CAST({column} AS DOUBLE)"
-    whole = ", ".join(f"min({v}), max({v})" for _ in edges[::2])
-    sketch = f"percentile_approx({v}, array({', '.join(f'{e!r}D' for e in edges)}), {ACCURACY})"
-    return F.expr(f"CASE WHEN count({v}) <= {WHOLE_BELOW} THEN array({whole}) ELSE {sketch} END")
+def _placed(df: DataFrame, columns: Sequence[str], bounds: Column) -> DataFrame:
+    """(target, v, lo, hi, rank) of every value for every target."""
+    # In the order of df, so that this reader and others of df share its shuffles.
+    used = [c for c in df.columns if c in columns]
+    rows = ", ".join(f"named_struct('target', {i}, 'v', {_value(c)}, 'b', bounds[{i}])" for i, c in enumerate(columns))
+    placed = df.select(*used, bounds.alias("bounds")).select(F.expr(f"explode(array({rows}))").alias("p"))
+    return placed.select("p.target", "p.v", "p.b.lo", "p.b.hi", "p.b.rank").filter("v IS NOT NULL")
 
 
-def _placed(column: str, edges: int) -> str:
-    """(name, segment, v, present): where a value lies, and the value itself inside a bracket."""
-    v, marks = f"CAST({column} AS DOUBLE)", f"marks.{column}"
-    pairs = range(0, edges, 2)
-    inside = " OR ".join(f"{v} BETWEEN {marks}[{i}] AND {marks}[{i + 1}]" for i in pairs)
-    segment = " + ".join(f"int({v} >= {marks}[{i}]) + int({v} > {marks}[{i + 1}])" for i in pairs)
-    return (
-        f"named_struct('name', '{column}', 'segment', {segment}, 'v', CASE WHEN {inside} THEN {v} END,"
-        f" 'present', {v} IS NOT NULL)"
-    )
+def _cumulated(counts: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Counts with their running sum. One window partition per target; its rows are bounded, see the module text."""
+    ordered = Window.partitionBy("target").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("upto", F.sum("n").over(ordered))
 
 
-def _cumulated(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> DataFrame:
-    """(name, v, n, upto, total): counts in value order with their running sum."""
-    edges = {c: _edges(p) for c, p in wanted.items()}
-    marks = df.agg(F.struct(*[_marks(c, e).alias(c) for c, e in edges.items()]).alias("marks")).scalar()
-    # In the order of df, so that this reader and others of df share its shuffles.
-    columns = [c for c in df.columns if c in wanted]
-    placed = df.select(*columns, marks.alias("marks")).select(
-        F.expr(f"explode(array({', '.join(_placed(c, len(e)) for c, e in edges.items())}))").alias("p")
-    ).select("p.*").filter("present")
-    counts = placed.groupBy("name", "segment", "v").agg(F.count(F.lit(1)).alias("n"))
-    # One window partition per column; the rows left here are bounded, see the module text.
-    ordered = Window.partitionBy("name").orderBy("segment", "v")
-    return counts.select(
-        "name", "v", "n",
-        F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-        F.sum("n").over(Window.partitionBy("name")).alias("total"),
+def _gathered(rows: DataFrame, targets: int, fields: str) -> Column:
+    """One struct per target as an array, as a scalar subquery."""
+    each = ", ".join(f"max(CASE WHEN target = {i} THEN {fields} END)" for i in range(targets))
+    return rows.agg(F.expr(f"array({each})").alias("found")).scalar()
+
+
+def _narrowed(df: DataFrame, columns: Sequence[str], bounds: Column) -> Column:
+    """The bounds of the range that holds each target's rank."""
+    scaled = f"CAST(floor(least((v - lo) / (hi - lo) * {BUCKETS}, {BUCKETS - 1})) AS INT)"
+    bucket = f"CASE WHEN v < lo THEN -1 WHEN v > hi THEN {BUCKETS} WHEN lo = hi THEN 0 ELSE {scaled} END"
+    counts = (
+        _placed(df, columns, bounds).withColumn("bucket", F.expr(bucket)).groupBy("target", "bucket", "rank")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
+    hit = _cumulated(counts, ["bucket"]).filter("upto > rank AND upto - n <= rank")
+    return _gathered(hit, len(columns), "named_struct('lo', lo, 'hi', hi, 'rank', rank)")
 
 
-def _at_rank(rank: Column) -> Column:
-    """Value with 0-based rank ``rank``: NULL elsewhere, an error if no value was kept there."""
-    hit = (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
-    missed = F.raise_error(F.lit("quantile sketch missed its rank")).cast("double")
-    return F.when(hit, F.coalesce(F.col("v"), missed))
+def _at_ranks(df: DataFrame, targets: Sequence[tuple[str, str]]) -> Column:
+    """For each (column, 0-based rank as SQL over the number of values ``total``) the value at that rank and the next.
+
+    An array of structs (low, high, total) in the order of the targets; high is low where no value
+    follows. NULL fields where the column has no value.
+    """
+    columns = [c for c, _ in targets]
+    first = []
+    for c, rank in targets:
+        v = _value(c)
+        finite = f"CASE WHEN abs({v}) < double('Infinity') THEN {v} END"
+        first.append(
+            f"named_struct('lo', coalesce(min({finite}), 0D), 'hi', coalesce(max({finite}), 0D), 'rank', "
+            f"CAST({rank.format(total=f'count({v})')} AS BIGINT))"
+        )
+    bounds = df.agg(F.expr(f"array({', '.join(first)})").alias("bounds")).scalar()
+    for _ in range(STEPS):
+        bounds = _narrowed(df, columns, bounds)
+    side = "CASE WHEN v < lo THEN -1 WHEN v > hi THEN 1 ELSE 0 END"
+    counts = (
+        _placed(df, columns, bounds).withColumn("side", F.expr(side))
+        .groupBy("target", "rank", "side", F.expr("CASE WHEN side = 0 THEN v END").alias("single"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    )
+    ranked = _cumulated(counts, ["side", "single"])
+    low = "upto > rank AND upto - n <= rank"
+    high = "upto > rank + 1 AND upto - n <= rank + 1"
+    found = ranked.groupBy("target").agg(
+        F.expr(f"max(CASE WHEN {low} THEN v END)").alias("low"),
+        F.expr(f"coalesce(max(CASE WHEN {high} THEN v END), max(CASE WHEN {low} THEN v END))").alias("high"),
+        F.sum("n").alias("total"),
+    )
+    return _gathered(found, len(columns), "named_struct('low', low, 'high', high, 'total', total)")
 
 
-def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], approx: bool = False) -> Column:
+def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> Column:
     """Linearly interpolated quantiles of several columns, as one scalar subquery.
 
     The struct has an array of quantiles per column. Attach it with
-    ``withColumn`` and read its fields, so that it stays one subquery. NULLs are
-    left out; a column without values gives NULLs. ``approx=True`` takes the
-    sketch's answer (an actual value, no interpolation) and needs one pass.
+    ``withColumn`` and read its fields, so that it stays one subquery. NULL and NaN
+    are left out; a column without values gives NULLs. Between two infinite
+    neighbours the answer is theirs.
     """
-    if approx:
-        return df.agg(F.struct(*[
-            F.percentile_approx(F.col(c).cast("double"), list(p), ACCURACY).alias(c) for c, p in wanted.items()
-        ]).alias("q")).scalar()
-    columns = []
+    targets = [(c, p) for c, probs in wanted.items() for p in probs]
+    found = _at_ranks(df, [(c, f"floor(({{total}} - 1) * {float(p)!r}D)") for c, p in targets])
+    columns, at = [], 0
     for c, probs in wanted.items():
-        mine = F.col("name") == c
         values = []
-        for i, p in enumerate(probs):
-            at = (F.col("total") - 1) * F.lit(float(p))
-            low = F.max(F.when(mine, _at_rank(F.floor(at))))
-            high = F.max(F.when(mine, _at_rank(F.ceil(at))))
-            weight = F.max(F.when(mine, at - F.floor(at)))
-            values.append(low + (high - low) * weight)
-        columns.append(F.array(*values).alias(c))
-    return _cumulated(df, wanted).agg(F.struct(*columns).alias("q")).scalar()
+        for p in probs:
+            low, high, place = f"f[{at}].low", f"f[{at}].high", f"((f[{at}].total - 1) * {float(p)!r}D)"
+            weight = f"({place} - floor({place}))"
+            values.append(f"CASE WHEN {low} = {high} OR {weight} = 0 THEN {low} ELSE {low} + ({high} - {low}) * {weight} END")
+            at += 1
+        columns.append(f"'{c}', array({', '.join(values)})")
+    one = df.sparkSession.range(1).select(found.alias("f"))
+    return one.select(F.expr(f"named_struct({', '.join(columns)})").alias("q")).scalar()
 
 
 def integer_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> Column:
@@ -107,7 +127,7 @@ def integer_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> Col
     One pass over ``df`` counts by value; hot values combine before the shuffle.
     """
     counts = (
-        df.select(F.col(column).cast("long").alias("key"))
+        df.select(F.col(column).cast("int").cast("long").alias("key"))  # wider values raise: the bound needs 32 bits
         .filter(F.col("key").isNotNull())
         .groupBy("key")
         # The value again as an aggregate: conditions on it stay above the shuffle, which
@@ -148,14 +168,12 @@ def top_share(df: DataFrame, column: str, share: float) -> DataFrame:
     For an integer column. Ties at the cut do not matter for the sum: the cut
     value is counted as often as there are places left.
     """
-    top = F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(float(share))))
-    cut = (
-        _cumulated(df, {column: [1.0 - share]})
-        .agg(F.struct(
-            F.max(_at_rank(F.col("total") - top)).cast("long").alias("cut"), F.max(top).alias("top")
-        ).alias("c"))
-        .scalar()
-    )
+    places = f"greatest(1, CAST(floor({{total}} * {float(share)!r}D) AS BIGINT))"
+    found = _at_ranks(df, [(column, f"{{total}} - {places}")])
+    one = df.sparkSession.range(1).select(found.alias("f"))
+    cut = one.select(F.expr(
+        f"named_struct('cut', CAST(f[0].low AS BIGINT), 'top', {places.format(total='f[0].total')})"
+    ).alias("c")).scalar()
     above = F.col("v") > F.col("cut")
     return (
         df.select(F.col(column).cast("long").alias("v"), cut.alias("c"))

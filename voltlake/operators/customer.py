@@ -52,16 +52,16 @@ def customer_kpis(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
 
 
 def customer_segments(
-    t: Tables, q: float = 0.75, approx: bool = False, flt: GlobalFilter = ALL
+    t: Tables, q: float = 0.75, flt: GlobalFilter = ALL
 ) -> DataFrame:
     """One segment per customer: the first of revenue, sessions, energy that reaches its quantile.
 
     The three quantiles are exact and computed together; the customer totals are
-    shuffled once and read by all of them. ``approx=True`` uses sketches.
+    shuffled once and read by all of them.
     """
     c = _customers(filtered_sessions(t, flt))
     cuts = quantiles(
-        c, {"total_revenue": [q], "total_sessions": [q], "total_energy_kwh": [q]}, approx=approx
+        c, {"total_revenue": [q], "total_sessions": [q], "total_energy_kwh": [q]}
     )
     reaches = {name: F.col(name) >= F.col(f"q.{name}")[0] for name in c.columns if name.startswith("total_")}
     return c.withColumn("q", cuts).withColumn(
@@ -73,9 +73,9 @@ def customer_segments(
     ).drop("q")
 
 
-def segment_summary(t: Tables, q: float = 0.75, approx: bool = False, flt: GlobalFilter = ALL) -> DataFrame:
+def segment_summary(t: Tables, q: float = 0.75, flt: GlobalFilter = ALL) -> DataFrame:
     """Size, revenue, energy and mean sessions of each segment, with shares of the total."""
-    summary = customer_segments(t, q, approx, flt).groupBy("segment").agg(
+    summary = customer_segments(t, q, flt).groupBy("segment").agg(
         F.count("customer_id").alias("customers"),
         m.sum_units("total_revenue").alias("revenue_u"),
         m.sum_units("total_energy_kwh").alias("energy_u"),
