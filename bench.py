@@ -23,9 +23,8 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from voltlake.fixtures.mapping import faulty_network, network  # noqa: E402
 from voltlake.fixtures.queries import OPERATORS, QUALITY, run  # noqa: E402
-from voltlake.operators.model import load_written  # noqa: E402
 from voltlake.session import apply_settings  # noqa: E402
-from voltlake.sources.tables import write_tables  # noqa: E402
+from voltlake.sources.tables import load_tables, write_tables  # noqa: E402
 
 HEADLINES = (
     "landing_kpis", "period_comparison", "health_score", "daily_trend", "station_30d", "alert_high_failure",
@@ -65,7 +64,7 @@ def main() -> None:
         operator, kind = operators[name]
         runs = []
         for _ in range(repeat + 1):
-            tables = load_written(spark, f"{folder}/{kind}")
+            tables = load_tables(spark, f"{folder}/{kind}", "parquet")
             start = time.perf_counter()
             run(operator, tables).collect()
             runs.append(time.perf_counter() - start)

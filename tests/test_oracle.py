@@ -7,10 +7,11 @@ import pytest
 import __spark_entry__ as entry
 from comparing import connect, differences
 from conftest import TESTDATA
+from voltlake.fixtures import oracle, queries as named_queries
 
 SF = f"{TESTDATA}/sf0.01"
-QUERIES = entry.queries()
-STATEMENTS = entry.oracle_sql()
+QUERIES = named_queries.queries()
+STATEMENTS = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+NET_ACTIVE = "SELECT count(*) FILTER (charger_status = 'Active') AS active FROM chargers"
+
 CTES = {
     "stations": """
 SELECT s_suppkey AS station_id, s_name AS station_name, n_name AS city, r_name AS area,
@@ -85,9 +87,7 @@ SELECT greatest(floor(date_diff('second', min(start_time), max(start_time)) / 86
     "act": """
 SELECT station_id, count(*) AS n FROM chargers WHERE charger_status = 'Active' GROUP BY station_id
 """,
-    "net": """
-SELECT count(*) FILTER (charger_status = 'Active') AS active FROM chargers
-""",
+    "net": NET_ACTIVE,
     "state": """
 SELECT s.station_id, CASE
     WHEN count(c.charger_id) = 0 THEN 'Unknown'
@@ -166,3 +166,11 @@ def statement(body: str, **extra: str) -> str:
     names = _needed(body, extra)
     ctes = ",\n".join(f"{n} AS ({_expand(known[n]).strip()})" for n in names)
     return f"WITH {ctes}\n{_expand(body).strip()}"
+
+
+def filtered(sql: str, where: str) -> str:
+    """A full statement whose sessions are only those that ``where`` lets through."""
+    whole = CTES["sessions"].strip()
+    if f"sessions AS ({whole})" not in sql:
+        raise ValueError("the statement reads no sessions")
+    return sql.replace(f"sessions AS ({whole})", f"sessions AS (SELECT * FROM ({whole}) WHERE {where})", 1)

@@ -22,13 +22,13 @@ SQL = {
     "area_summary": statement(AREA),
     "area_high_demand": statement("SELECT * FROM areas ORDER BY sessions DESC, area LIMIT 3", areas=AREA),
     "area_high_pressure": statement(
-        "SELECT * FROM areas WHERE avg_cpi > 30 ORDER BY avg_cpi DESC, area LIMIT 3", areas=AREA
+        "SELECT * FROM areas WHERE avg_cpi > 30 ORDER BY avg_cpi DESC, area", areas=AREA
     ),
     "area_underutilized": statement(
-        "SELECT * FROM areas WHERE avg_utilization_pct < 4 ORDER BY avg_utilization_pct, area LIMIT 3", areas=AREA
+        "SELECT * FROM areas WHERE avg_utilization_pct < 4 ORDER BY avg_utilization_pct, area", areas=AREA
     ),
     "area_risk": statement(
-        "SELECT * FROM areas WHERE avg_failure_rate_pct > 3 ORDER BY avg_failure_rate_pct DESC, area LIMIT 3",
+        "SELECT * FROM areas WHERE avg_failure_rate_pct > 3 ORDER BY avg_failure_rate_pct DESC, area",
         areas=AREA,
     ),
 }

@@ -60,7 +60,7 @@ def _alert(columns: str, where: str) -> str:
         f"""
 SELECT h.station_id, t.station_name, {columns}, count(*) OVER () AS total_alerts
 FROM station30 h JOIN stations t ON t.station_id = h.station_id WHERE {where}
-ORDER BY h.station_id LIMIT 5
+ORDER BY h.station_id
 """,
         **S,
     )
@@ -114,7 +114,7 @@ FROM ses s CROSS JOIN net CROSS JOIN last WHERE s.start_time >= last.t - INTERVA
 SELECT g.station_id, t.station_name, g.charger_id, g.incidents, count(*) OVER () AS total_alerts
 FROM (SELECT station_id, charger_id, count(*) AS incidents FROM windows
   WHERE period = 'current' AND session_status = 'Abnormal' GROUP BY station_id, charger_id) g
-JOIN stations t ON t.station_id = g.station_id ORDER BY g.incidents DESC, g.station_id, g.charger_id LIMIT 5
+JOIN stations t ON t.station_id = g.station_id ORDER BY g.incidents DESC, g.station_id, g.charger_id
 """,
         **W,
     ),

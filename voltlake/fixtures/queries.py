@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.fixtures.mapping import faulty_network, network
+from voltlake.functions import measures as m
 from voltlake.operators import (
     capacity, charger, customer, demand, geo, insights, model, network as net, noc, quality, reports, revenue, station,
 )
 from voltlake.sources.filters import GlobalFilter
-from voltlake.sources.tables import Tables
+from voltlake.sources.tables import CHARGERS, SESSION_COLUMNS, STATIONS, Tables, load_tables, write_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,13 +96,66 @@ def _highway_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voltlake-")
+    """A fresh folder under spark.checkpoint.dir, which all executors must share.
+
+    Only a session whose executors are this process may leave it unset.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="voltlake-")
     return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
+def _stored(t: Tables, fmt: str) -> Tables:
+    """The tables written to the shared folder and opened by the reader. This runs the writing jobs."""
+    path = shared_folder(t.sessions.sparkSession)
+    undated = t.chargers.withColumn("installation_date", F.lit(None).cast("date"))
+    t = Tables(t.stations.select(*STATIONS.names), undated.select(*CHARGERS.names), t.sessions.select(*SESSION_COLUMNS))
+    write_tables(t, path, fmt)
+    return load_tables(t.sessions.sparkSession, path, fmt)
+
+
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.table_round_trip(network(spark, sf_dir), shared_folder(spark))
+    """Rows and a total per table, after a round trip through parquet."""
+    back = _stored(network(spark, sf_dir), "parquet")
+    chargers = back.chargers.agg(F.count(F.lit(1)).alias("rows"), m.exact_sum("power_kw").alias("total"))
+    sessions = back.sessions.agg(F.count(F.lit(1)).alias("rows"), m.exact_sum("energy_kwh").alias("total"))
+    stations = back.stations.agg(
+        F.count(F.lit(1)).alias("rows"), (F.coalesce(F.sum(F.col("total_chargers").cast("long")), F.lit(0)) * 1.0).alias("total"),
+    )
+    named = [
+        part.select(F.lit(name).alias("table_name"), "rows", "total")
+        for name, part in (("stations", stations), ("chargers", chargers), ("charging_sessions", sessions))
+    ]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def _performance_of_stored(fmt: str, ids: str) -> Query:
+    """Station performance on tables that went through a file format; CSV ids come back as text."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        done = station.station_performance(_stored(network(spark, sf_dir), fmt))
+        return done.withColumn("station_id", F.col("station_id").cast(ids))
+    return query
+
+
+# Filters that together set every restriction but the status and charger type (SAMPLE_FILTER has those).
+FILTERS = {
+    "city": GlobalFilter(city="NATION_9", date_from=dt.date(2024, 11, 15), date_to=dt.date(2025, 8, 31)),
+    "station": GlobalFilter(station_id=7),
+    "vehicle": GlobalFilter(vehicle_type="Brand#4"),
+}
+FILTERED = (
+    station.station_performance, station.station_cpi, demand.demand_kpis, demand.peak_vs_offpeak, net.period_metrics,
+    charger.charger_stats, charger.anomaly_log, revenue.revenue_kpis, customer.customer_kpis, insights.insights,
+)
+
+
+def _filtered(operator: Callable[..., DataFrame], flt: GlobalFilter) -> Query:
+    return lambda spark, sf_dir: operator(
+        network(spark, sf_dir), **{**ADJUSTED.get(operator.__name__, {}), "flt": flt}
+    )
 
 
 def queries() -> dict[str, Query]:
@@ -109,4 +163,8 @@ def queries() -> dict[str, Query]:
     named.update({op.__name__: _query(op, faulty_network) for op in QUALITY})
     named["noc_station_filter"] = _highway_stations
     named["write_tables"] = _written
+    named["csv_station_performance"] = _performance_of_stored("csv", "long")
+    named["parquet_station_performance"] = _performance_of_stored("parquet", "long")
+    for suffix, flt in FILTERS.items():
+        named.update({f"{op.__name__}_of_{suffix}": _filtered(op, flt) for op in FILTERED})
     return named

@@ -15,7 +15,7 @@ from voltlake.functions import calendar as cal
 from voltlake.functions import measures as m
 from voltlake.functions.quantiles import integer_quantiles, quantiles
 from voltlake.plans.rollups import sorted_once
-from voltlake.sources.filters import ALL, GlobalFilter, filtered_sessions
+from voltlake.sources.filters import ALL, GlobalFilter, filtered_sessions, since
 from voltlake.sources.tables import Tables
 
 # Rule names and severities of the log.
@@ -185,7 +185,7 @@ def _drop_rules(
         F.date_sub(F.to_date(F.max("start_time")), 2 * days - 1).cast("timestamp_ntz").alias("first")
     ).scalar()
     late = F.col("late")
-    both = sessions.filter((F.col("start_time") >= first_midnight) & F.col("charger_id").isNotNull())
+    both = since(sessions, first_midnight, inclusive=True).filter(F.col("charger_id").isNotNull())
     both = both.withColumn("late", cal.day() > F.date_sub(last, days))
     change = both.groupBy("charger_id").agg(
         F.count_if(~late).alias("n1"),
@@ -266,23 +266,14 @@ def _by_severity(log: DataFrame) -> DataFrame:
     return sorted_once(log, rank, "anomaly_type", "timestamp", "station_id", "charger_id", "observed")
 
 
-def anomaly_log(t: Tables, session_cap: int | None = None, flt: GlobalFilter = ALL) -> DataFrame:
-    """All anomaly rules as one log, most severe first.
-
-    ``session_cap`` keeps that many session-level entries (by time, station,
-    charger); by default all are kept.
-    """
-    return _by_severity(_all_rules(t, flt, session_cap))
+def anomaly_log(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
+    """All anomaly rules as one log, most severe first; every entry is kept."""
+    return _by_severity(_all_rules(t, flt))
 
 
-def _all_rules(t: Tables, flt: GlobalFilter, session_cap: int | None = None) -> DataFrame:
+def _all_rules(t: Tables, flt: GlobalFilter) -> DataFrame:
     s = filtered_sessions(t, flt)
-    on_sessions = _session_rules(s, [LONG_SESSION, CAMPER])
-    if session_cap is not None:
-        on_sessions = on_sessions.orderBy(
-            "timestamp", "station_id", "charger_id", "anomaly_type", "observed"
-        ).limit(session_cap)
-    return on_sessions.unionByName(
+    return _session_rules(s, [LONG_SESSION, CAMPER]).unionByName(
         _charger_rules(t, s, [HIGH_FAILURE, HIGH_FREQUENCY, LOW_FREQUENCY])
     ).unionByName(_drop_rules(t, s, [REVENUE_DROP, UTILIZATION_DROP]))
 

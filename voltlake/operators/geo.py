@@ -49,20 +49,24 @@ def area_summary(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
     )
 
 
+def _first(ordered: DataFrame, n: int | None) -> DataFrame:
+    return ordered if n is None else ordered.limit(n)
+
+
 def area_high_demand(t: Tables, n: int = 3, flt: GlobalFilter = ALL) -> DataFrame:
     return area_summary(t, flt).orderBy(F.col("sessions").desc(), "area").limit(n)
 
 
-def area_high_pressure(t: Tables, cpi: float = 50, n: int = 3, flt: GlobalFilter = ALL) -> DataFrame:
+def area_high_pressure(t: Tables, cpi: float = 50, n: int | None = None, flt: GlobalFilter = ALL) -> DataFrame:
     hits = area_summary(t, flt).filter(F.col("avg_cpi") > cpi)
-    return hits.orderBy(F.col("avg_cpi").desc(), "area").limit(n)
+    return _first(hits.orderBy(F.col("avg_cpi").desc(), "area"), n)
 
 
-def area_underutilized(t: Tables, util: float = 2, n: int = 3, flt: GlobalFilter = ALL) -> DataFrame:
+def area_underutilized(t: Tables, util: float = 2, n: int | None = None, flt: GlobalFilter = ALL) -> DataFrame:
     hits = area_summary(t, flt).filter(F.col("avg_utilization_pct") < util)
-    return hits.orderBy("avg_utilization_pct", "area").limit(n)
+    return _first(hits.orderBy("avg_utilization_pct", "area"), n)
 
 
-def area_risk(t: Tables, fail: float = 3, n: int = 3, flt: GlobalFilter = ALL) -> DataFrame:
+def area_risk(t: Tables, fail: float = 3, n: int | None = None, flt: GlobalFilter = ALL) -> DataFrame:
     hits = area_summary(t, flt).filter(F.col("avg_failure_rate_pct") > fail)
-    return hits.orderBy(F.col("avg_failure_rate_pct").desc(), "area").limit(n)
+    return _first(hits.orderBy(F.col("avg_failure_rate_pct").desc(), "area"), n)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voltlake.functions import calendar as cal
 from voltlake.functions import measures as m
 from voltlake.plans.rollups import active_chargers, active_total
-from voltlake.sources.filters import ALL, GlobalFilter, filtered_sessions
+from voltlake.sources.filters import ALL, GlobalFilter, filtered_sessions, since
 from voltlake.sources.tables import Tables
 
 # The nine period metrics and whether more of each is better.
@@ -36,7 +36,7 @@ def landing_kpis(t: Tables) -> DataFrame:
 
 def _trailing(sessions: DataFrame, days: int) -> DataFrame:
     """Sessions of the last ``days`` days before the last start: (last - days, last]."""
-    return sessions.filter(F.col("start_time") > cal.days_before(cal.last_start(sessions), days))
+    return since(sessions, cal.days_before(cal.last_start(sessions), days))
 
 
 def _active_stations(t: Tables) -> Column:
@@ -53,7 +53,7 @@ def period_metrics(t: Tables, days: int = 30, flt: GlobalFilter = ALL) -> DataFr
     s = filtered_sessions(t, flt)
     last = cal.last_start(s)
     split = cal.days_before(last, days)
-    both = s.filter(F.col("start_time") > cal.days_before(last, 2 * days))
+    both = since(s, cal.days_before(last, 2 * days))
     both = both.withColumn("late", F.col("start_time") > split)
     # At most two groups; a window without sessions has none and is added as a row of zeros.
     volume = both.groupBy(F.when(F.col("late"), "current").otherwise("previous").alias("period")).agg(
@@ -155,7 +155,7 @@ def health_score(
 def daily_trend(t: Tables, days: int = 90, flt: GlobalFilter = ALL) -> DataFrame:
     """Revenue, energy, sessions and network utilization per date of the last ``days`` days."""
     s = filtered_sessions(t, flt)
-    recent = s.filter(F.col("start_time") >= cal.days_before(cal.last_start(s), days))
+    recent = since(s, cal.days_before(cal.last_start(s), days), inclusive=True)
     daily = recent.groupBy(cal.day().alias("date")).agg(
         m.exact_sum("revenue").alias("revenue"),
         m.exact_sum("energy_kwh").alias("energy_kwh"),
@@ -203,7 +203,7 @@ def station_30d(
 
 
 def _alert(t: Tables, hits: DataFrame, metric: str, n: int | None, by: str) -> DataFrame:
-    """Name the stations, number the alerts in all, keep the first ``n``."""
+    """Name the stations and number the alerts in all. All come back; a caller may ask for the first ``n``."""
     named = hits.join(t.stations.select("station_id", "station_name"), "station_id")
     total = named.agg(F.count(F.lit(1)).alias("n")).scalar()
     order = {
@@ -218,37 +218,38 @@ def _alert(t: Tables, hits: DataFrame, metric: str, n: int | None, by: str) -> D
 
 
 def alert_high_failure(
-    t: Tables, pct: float = 3, n: int | None = 5, by: str = "station_id", flt: GlobalFilter = ALL
+    t: Tables, pct: float = 3, n: int | None = None, by: str = "station_id", days: int = 30, flt: GlobalFilter = ALL
 ) -> DataFrame:
     """Stations failing above ``pct``; in station order unless ``by='metric'``."""
-    hits = station_30d(t, flt=flt).filter(F.col("failure_rate_pct") > pct)
+    hits = station_30d(t, days, flt=flt).filter(F.col("failure_rate_pct") > pct)
     return _alert(t, hits, "failure_rate_pct", n, by).select(
         "station_id", "station_name", "failure_rate_pct", "failed_sessions", "total_alerts"
     )
 
 
 def alert_overloaded(
-    t: Tables, pct: float = 15, n: int | None = 5, by: str = "station_id", flt: GlobalFilter = ALL
+    t: Tables, pct: float = 15, n: int | None = None, by: str = "station_id", days: int = 30,
+    zero_active: str = "inf", flt: GlobalFilter = ALL,
 ) -> DataFrame:
     """Stations utilized above ``pct``; used stations without active chargers are infinitely so."""
-    hits = station_30d(t, flt=flt).filter(F.col("utilization_pct") > pct)
+    hits = station_30d(t, days, zero_active, flt).filter(F.col("utilization_pct") > pct)
     return _alert(t, hits, "utilization_pct", n, by).select(
         "station_id", "station_name", "utilization_pct", "total_alerts"
     )
 
 
 def alert_underutilized(
-    t: Tables, pct: float = 1, n: int | None = 5, by: str = "station_id", flt: GlobalFilter = ALL
+    t: Tables, pct: float = 1, n: int | None = None, by: str = "station_id", days: int = 30, flt: GlobalFilter = ALL
 ) -> DataFrame:
     """Stations with active chargers utilized below ``pct``."""
-    hits = station_30d(t, flt=flt).filter((F.col("utilization_pct") < pct) & (F.col("active_chargers") > 0))
+    hits = station_30d(t, days, flt=flt).filter((F.col("utilization_pct") < pct) & (F.col("active_chargers") > 0))
     return _alert(t, hits, "utilization_pct", n, "metric_asc" if by == "metric" else by).select(
         "station_id", "station_name", "utilization_pct", "active_chargers", "total_alerts"
     )
 
 
 def alert_abnormal_chargers(
-    t: Tables, days: int = 30, n: int | None = 5, flt: GlobalFilter = ALL
+    t: Tables, days: int = 30, n: int | None = None, flt: GlobalFilter = ALL
 ) -> DataFrame:
     """Chargers by their abnormal sessions of the last ``days`` days, most first."""
     recent = _trailing(filtered_sessions(t, flt), days).filter(

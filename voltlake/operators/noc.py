@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.functions import calendar as cal
@@ -107,6 +107,18 @@ def noc_station_health(
     )
 
 
+def _exact_moments(name: str, whole: Column, scale: float) -> list[Column]:
+    """Mean and sample deviation of ``whole`` / ``scale``, by sums of whole numbers."""
+    n = F.count(whole)
+    total = F.sum(whole.cast("decimal(20,0)"))
+    squares = F.sum((whole.cast("decimal(19,0)") * whole.cast("decimal(19,0)")).cast("decimal(38,0)"))
+    # n * squares - total ** 2 in DOUBLE of exact terms: one rounding each
+    mean = total.cast("double") / n
+    spread = F.greatest(squares.cast("double") - total.cast("double") * mean, F.lit(0.0))
+    deviation = F.when(n > 1, F.sqrt(F.try_divide(spread, (n - 1).cast("double"))))
+    return [(mean / scale).alias(f"mean_{name}"), (deviation / scale).alias(f"sd_{name}")]
+
+
 def noc_zscore_behavior(
     t: Tables, camper: tuple[float, float] = (2, -1), fault: tuple[float, float] = (-0.5, 2.5),
     flt: GlobalFilter = ALL,
@@ -114,14 +126,15 @@ def noc_zscore_behavior(
     """Every session with its z-scores and behaviour; the fault rule wins.
 
     Mean and sample deviation of the whole set come as one scalar row, not from a
-    window over the set.
+    window over the set: from the count, the exact sum and the exact sum of squares in
+    minutes and units, so neither they nor a label at a threshold depend on the order
+    in which partitions are merged.
     """
     s = noc_sessions(t, flt)
-    stats = s.agg(F.struct(*[
-        f(c).alias(f"{name}_{c}")
-        for c in ("duration_hrs", "energy_kwh")
-        for name, f in (("mean", F.avg), ("sd", F.stddev_samp))
-    ]).alias("s")).scalar()
+    stats = s.agg(F.struct(
+        *_exact_moments("duration_hrs", F.rint(F.col("duration_hrs") * 60.0).cast("long"), 60.0),
+        *_exact_moments("energy_kwh", m.units("energy_kwh"), float(m.SCALE)),
+    ).alias("s")).scalar()
 
     def z(c: str):
         return F.try_divide(F.col(c) - F.col(f"s.mean_{c}"), F.col(f"s.sd_{c}"))

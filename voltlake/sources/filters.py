@@ -10,7 +10,7 @@ import datetime as dt
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.sources.tables import MONTH_PARTITION, Tables
@@ -36,11 +36,24 @@ def _midnight(d: dt.date):
     return F.lit(d.isoformat()).cast("timestamp_ntz")
 
 
+def since(sessions: DataFrame, moment: Column, inclusive: bool = False) -> DataFrame:
+    """Sessions that start after ``moment`` (or at it, if ``inclusive``).
+
+    Where the table has month directories, the month of the moment is a bound on them as well: a scalar
+    subquery as moment then prunes directories at run time. The bound on start_time alone skips nothing.
+    """
+    start = F.col("start_time")
+    late = sessions.filter(start >= moment if inclusive else start > moment)
+    if MONTH_PARTITION in sessions.columns:
+        late = late.filter(F.col(MONTH_PARTITION) >= F.trunc(F.to_date(moment), "month"))
+    return late
+
+
 def filtered_sessions(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
     """The sessions that pass ``flt``, without added columns.
 
-    Dates become bounds on start_time itself, which reach the scan (and the
-    month directories where the table has them). City and charger type are
+    Dates become bounds on start_time, and on the month directories where the
+    table has them, which are then not read. City and charger type are
     semi joins: no dimension column is carried along.
     """
     s = t.sessions

@@ -94,25 +94,31 @@ def _location(path: str, name: str, fmt: str) -> str:
 
 
 def _read(spark: SparkSession, path: str, name: str, fmt: str, schema: T.StructType, strict: bool) -> DataFrame:
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        reader = (
-            reader.option("header", True)
-            .option("timestampNTZFormat", TIMESTAMP_FORMAT)
-            .option("dateFormat", DATE_FORMAT)
-            .option("mode", "FAILFAST" if strict else "PERMISSIVE")
-        )
-    elif fmt != "parquet":
+    if fmt == "parquet":
+        # The files' own types: ids may be text or numbers. The month directories stay a column, for pruning.
+        table = spark.read.parquet(_location(path, name, fmt))
+        return table.select(*[c for c in (*schema.names, MONTH_PARTITION) if c in table.columns])
+    if fmt != "csv":
         raise ValueError("fmt must be 'csv' or 'parquet'")
-    return reader.format(fmt).load(_location(path, name, fmt))
+    return (
+        spark.read.schema(schema).option("header", True)
+        .option("timestampNTZFormat", TIMESTAMP_FORMAT)
+        .option("dateFormat", DATE_FORMAT)
+        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        .csv(_location(path, name, fmt))
+    )
 
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "csv") -> Tables:
-    """Typed tables. An unreadable timestamp fails the query that meets it."""
+    """Typed tables, of CSV or of what :func:`write_tables` wrote as parquet.
+
+    CSV columns have the types of the schemas above, parquet columns those they were written with. An
+    unreadable timestamp in CSV fails the query that meets it.
+    """
     stations, chargers, sessions = (
         _read(spark, path, name, fmt, schema, strict=True) for name, schema in FILES.items()
     )
-    return Tables(stations, chargers, sessions.select(*SESSION_COLUMNS))
+    return Tables(stations, chargers, sessions)
 
 
 def load_raw_tables(spark: SparkSession, path: str, fmt: str = "csv") -> Tables:
@@ -124,7 +130,7 @@ def load_raw_tables(spark: SparkSession, path: str, fmt: str = "csv") -> Tables:
     stations, chargers, sessions = (
         _read(spark, path, name, fmt, schema, strict=False) for name, schema in schemas.items()
     )
-    return Tables(stations, chargers, sessions.select(*SESSION_COLUMNS))
+    return Tables(stations, chargers, sessions)
 
 
 def write_tables(t: Tables, path: str, fmt: str = "parquet", mode: str = "error") -> None:
