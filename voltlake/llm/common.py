@@ -79,11 +79,13 @@ def component_sizes(found: DataFrame) -> DataFrame:
 
 
 def rarest_buckets(sets: DataFrame, similarity: float) -> DataFrame:
-    """Buckets (key, id) of ``sets`` (id, members: array of distinct longs): a set is in the bucket of each of
+    """Buckets (key, id, n, rest) of ``sets`` (id, members: array of distinct longs): a set is in the bucket of each of
     its rarest members, as many as two sets of this Jaccard likeness cannot both avoid.
 
     Two such sets share one of the n - ceil(similarity * n) + 1 first members of each, in any common order;
     with the rarest first, the shared ones are few. Members of one set only come first and need no bucket.
+    n is the set's size and rest how many of its members come at this one or later: two sets whose first
+    common member this is have no more in common than the smaller rest.
     """
     each = sets.select("id", F.size("members").alias("n"), F.explode("members").alias("key"))
     frequency = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -92,11 +94,13 @@ def rarest_buckets(sets: DataFrame, similarity: float) -> DataFrame:
     )
     alone = F.col("n") - F.size("order")
     places = F.col("n") - F.ceil(F.lit(similarity) * F.col("n")).cast("int") + 1 - alone
-    return shared.where(places > 0).select("id", F.explode(F.slice("order", F.lit(1), places)).alias("one")).select("one.key", "id")
+    return shared.where(places > 0).select(
+        "id", "n", F.size("order").alias("shared"), F.posexplode(F.slice("order", F.lit(1), places)).alias("place", "one"),
+    ).select("one.key", "id", "n", (F.col("shared") - F.col("place")).alias("rest"))
 
 
-def bucket_candidates(buckets: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) to verify in each bucket (key, id), without all pairs of a bucket.
+def bucket_candidates(buckets: DataFrame, known: DataFrame | None, similarity: float) -> DataFrame:
+    """Pairs (a, b) to verify in each bucket (key, id, n, rest), without all pairs of a bucket.
 
     First (``known`` is None) every id meets the least one of its bucket. Then, with the components of
     what that verified, ids of different components meet; the bucket's largest component is not compared
@@ -106,16 +110,22 @@ def bucket_candidates(buckets: DataFrame, known: DataFrame | None) -> DataFrame:
         least = buckets.groupBy("key").agg(F.min("id").alias("b"))
         return buckets.join(least, "key").where("id != b").select(F.col("id").alias("a"), "b").distinct()
     marked = buckets.join(known.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"),
+        "key", "id", "n", "rest", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"),
     )
     order = F.shiftleft(F.col("size").cast("long"), 20).bitwiseOR(F.xxhash64("component").bitwiseAND(F.lit((1 << 20) - 1)))
     mixed = marked.groupBy("key").agg(
         F.max_by("component", order).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"),
     ).where("lo < hi").select("key", "main")
     marked = marked.join(mixed, "key")
-    odd = marked.where("component != main").select("key", "main", F.col("id").alias("x"), F.col("component").alias("cx"))
-    other = marked.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-    pairs = odd.join(other, "key").where("cx != cy and (cy = main or x < y)")
+    odd = marked.where("component != main").select(
+        "key", "main", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("rest").alias("rx"),
+    )
+    other = marked.select(
+        "key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("rest").alias("ry"),
+    )
+    # of two sets this alike, the smaller rest at their first common member holds the common part
+    enough = F.least("rx", "ry") * (1 + similarity) >= (F.col("nx") + F.col("ny")) * similarity - 1e-6
+    pairs = odd.join(other, "key").where("cx != cy and (cy = main or x < y)").where(enough)
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 

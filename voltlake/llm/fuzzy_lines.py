@@ -70,9 +70,9 @@ def line_links(
     sets = stored(seen.select("id", _shingles("line").alias("shingles")), "line-sets")
     # of the lines that share a band with another, only pairs that share one of their rarest shingles are compared
     buckets = stored(rarest_buckets(sets.withColumnRenamed("shingles", "members"), similarity), "line-rarest")
-    edges = stored(_verified(bucket_candidates(buckets, None), sets, similarity), "line-edges")
+    edges = stored(_verified(bucket_candidates(buckets, None, similarity), sets, similarity), "line-edges")
     known = component_sizes(components(edges, "line-components"))
-    more = stored(_verified(bucket_candidates(buckets, known), sets, similarity), "line-edges")
+    more = stored(_verified(bucket_candidates(buckets, known, similarity), sets, similarity), "line-edges")
     return signed.select("doc", "place", "id"), components(edges.unionByName(more), "line-components")
 
 

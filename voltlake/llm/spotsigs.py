@@ -154,15 +154,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         "doc", F.xxhash64("signature").alias("id"), "signature"), "spot-sets")
     classes = stored(rows.groupBy("id").agg(F.min("doc").alias("least"), F.first("signature").alias("signature")), "spot-classes")
     sets = classes.where(F.size("signature") > 0)
-    rarest = rarest_buckets(sets.select("id", F.col("signature").alias("members")), similarity)
-    sized = rarest.join(sets.select("id", F.size("signature").alias("n")), "id")
+    sized = rarest_buckets(sets.select("id", F.col("signature").alias("members")), similarity)
     span = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(similarity)) + F.lit(1e-9)).cast("int")
-    buckets = sized.select("id", "key", F.explode(F.array(span, span + 1)).alias("span")).select(
-        F.xxhash64("key", "span").alias("key"), "id").distinct()
+    buckets = sized.select("id", "key", "n", "rest", F.explode(F.array(span, span + 1)).alias("span")).select(
+        F.xxhash64("key", "span").alias("key"), "id", "n", "rest").distinct()
     buckets = stored(buckets, "spot-buckets")
-    edges = stored(_compared(bucket_candidates(buckets, None), sets, similarity), "spot-edges")
+    edges = stored(_compared(bucket_candidates(buckets, None, similarity), sets, similarity), "spot-edges")
     known = component_sizes(components(edges, "spot-components"))
-    more = stored(_compared(bucket_candidates(buckets, known), sets, similarity), "spot-edges")
+    more = stored(_compared(bucket_candidates(buckets, known, similarity), sets, similarity), "spot-edges")
     linked = components(edges.unionByName(more), "spot-components")
     rooted = classes.select("id", "least").join(linked.withColumnRenamed("node", "id"), "id", "left").select(
         "id", "least", F.coalesce("component", "id").alias("component"))
