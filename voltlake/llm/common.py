@@ -107,8 +107,10 @@ def bucket_candidates(buckets: DataFrame, known: DataFrame | None, similarity: f
     with itself, and a bucket of one component not at all.
     """
     if known is None:
-        least = buckets.groupBy("key").agg(F.min("id").alias("b"))
-        return buckets.join(least, "key").where("id != b").select(F.col("id").alias("a"), "b").distinct()
+        least = buckets.groupBy("key").agg(F.min(F.struct("id", "n", "rest")).alias("one")).select(
+            "key", F.col("one.id").alias("b"), F.col("one.n").alias("nb"), F.col("one.rest").alias("rb"))
+        enough = F.least("rest", "rb") * (1 + similarity) >= (F.col("n") + F.col("nb")) * similarity - 1e-6
+        return buckets.join(least, "key").where("id != b").where(enough).select(F.col("id").alias("a"), "b").distinct()
     marked = buckets.join(known.withColumnRenamed("node", "id"), "id", "left").select(
         "key", "id", "n", "rest", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"),
     )

@@ -28,7 +28,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: three-word shingles, links within three bits."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

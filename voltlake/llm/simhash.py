@@ -5,6 +5,10 @@ sum t_i = radius - m + 1, agree within t_i bits on at least one part (t_i = -1:
 ``plan_parts`` groups correlated bits into parts on a bounded sample of fingerprints and allocates the
 thresholds by dynamic programming on estimated candidate counts; ``links`` probes every fingerprint's
 t_i-neighbours of part i by an equi-join and verifies all 64 bits.
+
+``near_copies`` finds texts of a wanted Jaccard likeness. Those are often 4 to 11 bits apart, where the probes of
+64 bits meet a share of all pairs; so it takes no radius but each set's rarest shingles, which no two such sets
+can both avoid, and verifies the whole sets. It misses no pair.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -20,31 +24,40 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import component_sizes, components, stored
+from .common import bucket_candidates, component_sizes, components, small_side, stored
 
 BITS = 64
+COPY_WIDTH = 5
+COPY_SIMILARITY = 0.8
 
 
-def fingerprint_bytes(text: str, width: int) -> int:
-    """SimHash of one text: a bit is 1 if it is set in over half of the hashed ``width``-word shingles."""
+def _digests(text: str, width: int) -> bytes:
+    """The 64-bit hashes of all ``width``-word shingles in turn; of all words if they are fewer; none without a word."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    joined = b" ".join(words)
+        return digest(joined, 42) if words else b""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(lengths + 1) - lengths - 1
     ends = (starts + lengths)[width - 1:]
-    digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[: len(ends)].tolist(), ends.tolist())])
-    n, total = len(ends), np.zeros(BITS, np.int64)
+    return b"".join([digest(joined[a:b], 42) for a, b in zip(starts[: len(ends)].tolist(), ends.tolist())])
+
+
+def fingerprint_bytes(text: str, width: int) -> int:
+    """SimHash of one text: a bit is 1 if it is set in over half of the hashed ``width``-word shingles."""
+    raw = _digests(text, width)
+    n, total = len(raw) // 8, np.zeros(BITS, np.int64)
     hashes = np.frombuffer(raw, np.uint8).reshape(n, 8)
     for at in range(0, n, 65_536):
         total += np.unpackbits(hashes[at:at + 65_536], axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The hashes of the distinct ``width``-word shingles of one text, in order."""
+    return np.unique(np.frombuffer(_digests(text, width), np.int64))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3) -> DataFrame:
     """``key`` and ``fp`` (the 64 bits as a signed long) of every whole text.
 
@@ -267,7 +280,113 @@ def near_duplicates(
     )
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with the smallest ``key`` of each component kept; columns and order of columns as given."""
-    gone = near_duplicates(docs, text, key, width, radius).where(F.col(key) != F.col("component_id")).select(key)
+def _shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """id (hash of the set) and members of the shingle set of every row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [shingle_set(value.as_py() or "", width) for value in batch.column(0).slice(at, 500)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_set_id(own) for own in sets], pa.int64()), _lists(sets)], names=["id", "members"])
+
+    return docs.select(text).mapInArrow(run, "id long, members array<long>")
+
+
+def _set_id(own: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42)).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(own) for own in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
+
+
+def _common_shingles(docs: DataFrame, text: str, key: str, width: int, sample_rows: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several rows of a sample have (at most ``most``, in order of their hashes), and in how many.
+
+    They come last in the order of rarity. Any order finds every pair; the sample only spares comparisons.
+    """
+    share = max(1, docs.count() // sample_rows)
+    seen = _shingle_sets(docs.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0), text, width)
+    counts = seen.select(F.explode("members").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(most).toPandas().sort_values("shingle")
+    return found["shingle"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def _rare_first(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    if not len(common) or not len(own):
+        return own
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    return own[np.lexsort((own, np.where(common[at] == own, counts[at], 0)))]
+
+
+def _prefixes(docs: DataFrame, text: str, key: str, width: int, similarity: float, common: tuple) -> DataFrame:
+    """``key``, id and size n of the shingle set, and keys: its rarest shingles, which two alike sets cannot both avoid."""
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, id long, n int, keys array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(value.as_py() or "", width) for value in batch.column(1)]
+            keys = [_rare_first(own, *common)[: len(own) - ceil(similarity * len(own) - 1e-9) + 1] for own in sets]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([_set_id(own) for own in sets], pa.int64()),
+                pa.array([len(own) for own in sets], pa.int32()), _lists(keys),
+            ], names=[key, "id", "n", "keys"])
+
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
+def near_copies(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = COPY_WIDTH, similarity: float = COPY_SIMILARITY,
+    sample_rows: int = 10_000, most_common: int = 200_000,
+) -> DataFrame:
+    """Per row of ``docs``: ``key`` and component_id, the smallest ``key`` reachable over texts whose sets of
+    ``width``-word shingles have at least this Jaccard likeness.
+
+    Equal sets are one class, and texts without a word are alike. Repeated rows come back repeated.
+    ``sample_rows`` and ``most_common`` bound what the order of the shingles is learned from, not what is found.
+    """
+    common = _common_shingles(docs, text, key, width, sample_rows, most_common)
+    rows = stored(_prefixes(docs, text, key, width, similarity, common), "copy-prefixes")
+    classes = rows.groupBy("id").agg(F.min(key).alias("least"))
+    members = rows.select("id", "n", F.posexplode("keys").alias("place", "key"))
+    crowded = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    crowded = small_side(stored(crowded, "copy-keys"))
+    buckets = members.join(crowded, "key").select("key", "id", "n", (F.col("n") - F.col("place")).alias("rest"))
+    buckets = stored(buckets.distinct(), "copy-buckets")
+    first = _alike(bucket_candidates(buckets, None, similarity), docs, classes, text, key, width, similarity)
+    known = component_sizes(components(first, "copy-components"))
+    more = _alike(bucket_candidates(buckets, known, similarity), docs, classes, text, key, width, similarity)
+    found = components(first.unionByName(more), "copy-components").withColumnRenamed("node", "id")
+    rooted = classes.join(found, "id", "left").select("id", "least", F.coalesce("component", "id").alias("component"))
+    roots = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = rooted.join(roots, "component").select("id", "component_id")
+    return rows.select(key, "id").join(named, "id").select(key, "component_id")
+
+
+def _alike(
+    pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, key: str, width: int, similarity: float,
+) -> DataFrame:
+    """Edges (u, v) of the pairs (a, b) of set ids whose whole sets, made again from one row of each, are alike."""
+    pairs = stored(pairs, "copy-pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = small_side(stored(classes.join(ids, "id").select("id", "least"), "copy-wanted"))
+    texts = docs.join(wanted, F.col(key).eqNullSafe(F.col("least")), "left_semi")
+    # a key may have other rows, with other sets
+    sets = _shingle_sets(texts, text, width).join(wanted.select("id"), "id", "left_semi")
+    sets = stored(sets.groupBy("id").agg(F.first("members").alias("members")), "copy-sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("sa")), "a").join(
+        sets.select(F.col("id").alias("b"), F.col("members").alias("sb")), "b")
+    counted = both.select(
+        "a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("total"),
+    )
+    return stored(counted.where(F.col("n") >= F.lit(similarity) * (F.col("total") - F.col("n")) - 1e-9).select(
+        F.col("a").alias("u"), F.col("b").alias("v")), "copy-edges")
+
+
+def deduplicate(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = COPY_WIDTH, similarity: float = COPY_SIMILARITY,
+) -> DataFrame:
+    """``docs`` with the smallest ``key`` of each component of near copies kept; columns and order of columns as given."""
+    gone = near_copies(docs, text, key, width, similarity).where(F.col(key) != F.col("component_id")).select(key)
     return docs.join(gone.distinct(), key, "left_anti").select(*docs.columns)
