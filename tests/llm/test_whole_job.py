@@ -6,6 +6,30 @@ import random
 
 import corpus_pipeline
 from test_operators import documents, prose
+from voltlake.llm import fuzzy_lines
+
+
+def windows(line):
+    line = line.lower()
+    return {line[k:k + 5] for k in range(max(1, len(line) - 4))}
+
+
+def alike(a, b):
+    a, b = windows(a), windows(b)
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_line_recall_over_character_windows(spark):
+    draw, texts = random.Random(4), []
+    for k in range(600):
+        words = prose(k, draw.randint(8, 40)).split()
+        texts.append(" ".join(words))
+        words[draw.randrange(len(words))] = "changed"
+        texts.append(" ".join(words))
+    pairs = [k + 1 for k in range(0, len(texts), 2) if alike(texts[k], texts[k + 1])]
+    rows = {r["doc_id"]: r["n_dropped"] for r in fuzzy_lines.line_report(documents(spark, texts)).collect()}
+    assert len(pairs) > 400 and sum(rows[k] for k in pairs) >= 0.97 * len(pairs)
+    assert not any(rows[k] for k in range(len(texts)) if k not in set(pairs))
 
 
 def test_near_copies_beyond_three_bits_leave_the_pipeline(spark):

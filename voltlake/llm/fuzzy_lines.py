@@ -1,11 +1,11 @@
 """Near-duplicate lines: MinHash candidates, exact Jaccard verification, one line kept per component.
 
-A line's shingles are the ``WIDTH`` characters from each word start (shorter at its end), lower-cased. Its
-signature is the bottom of their hashes: the ``BOTTOM`` smallest, of which each two in a row make a band
-key. Lines of Jaccard 0.8 share a key with a chance of about 0.98, of 0.9 with more than 0.999. Among the
-lines that share a key with another, two are compared if they share one of their rarest shingles, which
-lines of the wanted likeness always do. Everything is DataFrame expressions; a line is known by the
-64-bit hash of its text.
+A line's shingles are all its windows of ``WIDTH`` characters, one at every position, lower-cased (a shorter
+line is one shingle). Its signature is the bottom of their hashes: the ``BOTTOM`` smallest, of which each
+``RUN`` in a row make a band key, and each two in a row as well where a line has less than ``FEW`` shingles.
+Lines of Jaccard 0.8 share a key with a chance of about 0.98. Lines that share a key are compared by the
+whole sets of their shingles. Everything is DataFrame expressions; a line is known by the 64-bit hash of
+its text.
 """
 
 from __future__ import annotations
@@ -13,44 +13,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, bucket_candidates, component_sizes, components, rarest_buckets, small_side, stored
+from .common import bound, bucket_candidates, component_sizes, components, small_side, stored
 
-WIDTH = 20
-BOTTOM = 7
+WIDTH = 5
+BOTTOM = 20
+RUN = 4
+FEW = 16
 SIMILARITY = 0.8
 MIN_CHARS = 20
 
 
 def _shingles(line: str) -> Column:
-    """Hashes of the windows at word starts, each once."""
-    window = rf"(?<![^ ])(?=([^ ].{{0,{WIDTH - 1}}}))"
+    """Hashes of the windows at every character, each once."""
+    window = rf"(?s)(?=(.{{{WIDTH}}}|^.{{1,{WIDTH - 1}}}\z))"
     return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(window), 1), lambda s: F.xxhash64(s)))
 
 
-def _band_keys(shingles: Column) -> Column:
-    """Keys of each two hashes in a row among the smallest; a line of one shingle has one key of it alone."""
-    return bound(F.slice(F.sort_array(shingles), 1, BOTTOM), lambda least: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(least) - 2, F.lit(0))),
-        lambda i: F.xxhash64(F.get(least, i), F.get(least, i + 1)),
-    ))
+def _runs(least: Column, length: int) -> Column:
+    """Keys of each ``length`` hashes in a row; of all hashes if there are fewer."""
+    return F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(least) - length, F.lit(0))),
+        lambda i: F.xxhash64(*[F.get(least, i + k) for k in range(length)]),
+    )
+
+
+def _signature(shingles: Column) -> Column:
+    """n, the number of shingles, and keys, of runs among the smallest hashes."""
+    def signed(own: Column) -> Column:
+        keys = bound(F.slice(F.sort_array(own), 1, BOTTOM), lambda least: F.when(
+            F.size(least) < FEW, F.array_union(_runs(least, RUN), _runs(least, 2)),
+        ).otherwise(_runs(least, RUN)))
+        return F.struct(F.size(own).alias("n"), keys.alias("keys"))
+
+    return bound(shingles, signed)
 
 
 def _occurrences(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
-    """doc, place (from 0), line of every line that is long enough to be compared."""
+    """doc, place (from 0), line of every line that is not blank and long enough to be compared."""
     return docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n"))).select(
         "doc", F.col("pos").alias("place"), F.col("col").alias("line"),
-    ).where(F.length(F.trim("line")) >= min_chars)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) of the pairs whose shingle sets have at least this Jaccard likeness; sizes prune first."""
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    possible = F.least(F.size("sa"), F.size("sb")) >= F.lit(similarity) * F.greatest(F.size("sa"), F.size("sb"))
-    shared = both.where(possible).select(
-        "a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("total"),
-    )
-    return shared.where(F.col("n") >= F.lit(similarity) * (F.col("total") - F.col("n"))).select(
+    ).where((F.length(F.trim("line")) >= min_chars) & F.rlike("line", F.lit(r"[^\s\p{Z}]")))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) of the pairs of ``lines`` (id, line) whose shingle sets have at least this Jaccard likeness."""
+    one = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
+    both = one.join(lines.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    # the texts travel, not the sets, which are many times larger
+    counted = both.select("a", "b", bound(_shingles("la"), lambda sa: bound(_shingles("lb"), lambda sb: F.struct(
+        F.size(F.array_intersect(sa, sb)).alias("n"), (F.size(sa) + F.size(sb)).alias("total"),
+    ))).alias("c"))
+    return counted.where(F.col("c.n") >= F.lit(similarity) * (F.col("c.total") - F.col("c.n"))).select(
         F.col("a").alias("u"), F.col("b").alias("v"),
     )
 
@@ -60,19 +73,20 @@ def line_links(
 ) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc, place, id) of all compared lines, and components (node, component) of linked line ids."""
     lines = _occurrences(docs, text, key, min_chars)
-    signed = stored(lines.select("doc", "place", F.xxhash64("line").alias("id"), _band_keys(_shingles("line")).alias("keys")), "lines")
-    members = signed.select("id", F.explode("keys").alias("key"))
+    signed = stored(lines.select(
+        "doc", "place", F.xxhash64("line").alias("id"), _signature(_shingles("line")).alias("signature"),
+    ).select("doc", "place", "id", "signature.n", "signature.keys"), "lines")
+    members = signed.select("id", "n", F.explode("keys").alias("key"))
     crowded = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     crowded = small_side(stored(crowded, "line-keys"))
-    wanted = small_side(stored(members.join(crowded, "key").select("id").distinct(), "line-ids"))
+    buckets = members.join(crowded, "key").distinct().withColumn("rest", F.col("n"))
+    buckets = stored(buckets, "line-buckets")
+    wanted = small_side(stored(buckets.select("id").distinct(), "line-ids"))
     seen = lines.select(F.xxhash64("line").alias("id"), "line").join(wanted, "id", "left_semi")
-    seen = seen.groupBy("id").agg(F.min("line").alias("line"))
-    sets = stored(seen.select("id", _shingles("line").alias("shingles")), "line-sets")
-    # of the lines that share a band with another, only pairs that share one of their rarest shingles are compared
-    buckets = stored(rarest_buckets(sets.withColumnRenamed("shingles", "members"), similarity), "line-rarest")
-    edges = stored(_verified(bucket_candidates(buckets, None, similarity), sets, similarity), "line-edges")
+    seen = stored(seen.groupBy("id").agg(F.min("line").alias("line")), "line-texts")
+    edges = stored(_verified(bucket_candidates(buckets, None, similarity), seen, similarity), "line-edges")
     known = component_sizes(components(edges, "line-components"))
-    more = stored(_verified(bucket_candidates(buckets, known, similarity), sets, similarity), "line-edges")
+    more = stored(_verified(bucket_candidates(buckets, known, similarity), seen, similarity), "line-edges")
     return signed.select("doc", "place", "id"), components(edges.unionByName(more), "line-components")
 
 
@@ -117,8 +131,8 @@ def line_report(
     """Per row: ``key``, n_lines, n_dropped and dedup_text, the text of the lines that stay.
 
     Of all lines that a chain of near copies connects, across and within documents, the one with the
-    least (``key``, place) stays. Lines of fewer than ``min_chars`` characters (blank ones, bullets) are
-    structure and always stay. Null and empty texts are one empty line. Rows with the same key and text
+    least (``key``, place) stays. Blank lines and lines of fewer than ``min_chars`` characters are structure
+    and always stay; with 1, every other line takes part. Null and empty texts are one empty line. Rows with the same key and text
     count as one document; a null key takes no part in comparisons across rows that it could lose.
     """
     rest = _kept(docs.select(key, text), text, key, similarity, min_chars)
