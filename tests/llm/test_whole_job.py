@@ -32,6 +32,16 @@ def test_line_recall_over_character_windows(spark):
     assert not any(rows[k] for k in range(len(texts)) if k not in set(pairs))
 
 
+def test_lines_are_compared_to_their_last_character(spark):
+    texts = [
+        "https://www.example.com/a-page-of-one-kind", "https://www.example.com/quite-another-subject", "漢字仮名交じり文" * 4,
+        "漢字仮名交じり文" + "".join(chr(0x4e00 + 7 * k) for k in range(40)), "one two " + "x" * 25 + "abcdefghijklmnopqrst",
+        "one two " + "x" * 25 + "0123456789987654321",
+    ]
+    rows = fuzzy_lines.line_report(documents(spark, texts)).collect()
+    assert not any(r["n_dropped"] for r in rows)
+
+
 def test_near_copies_beyond_three_bits_leave_the_pipeline(spark):
     draw, texts = random.Random(6), []
     for k in range(60):
