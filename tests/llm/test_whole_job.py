@@ -6,7 +6,7 @@ import random
 
 import corpus_pipeline
 from test_operators import documents, prose
-from voltlake.llm import fuzzy_lines
+from voltlake.llm import fuzzy_lines, queries
 
 
 def windows(line):
@@ -42,6 +42,15 @@ def test_lines_are_compared_to_their_last_character(spark):
     assert not any(r["n_dropped"] for r in rows)
 
 
+def test_short_lines_take_part(spark, monkeypatch):
+    docs = documents(spark, ["Les.\nMenu\n\nown text", "Les.\n \nMenu\n\t\nother words"])
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    rows = {r["doc_id"]: r["dedup_text"] for r in queries.op9_fuzzy_lines(spark, "").collect()}
+    assert rows == {0: "Les.\nMenu\n\nown text", 1: " \n\t\nother words"}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert kept == rows
+
+
 def test_near_copies_beyond_three_bits_leave_the_pipeline(spark):
     draw, texts = random.Random(6), []
     for k in range(60):

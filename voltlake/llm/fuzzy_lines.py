@@ -20,7 +20,7 @@ BOTTOM = 20
 RUN = 4
 FEW = 16
 SIMILARITY = 0.8
-MIN_CHARS = 20
+MIN_CHARS = 4
 
 
 def _shingles(line: str) -> Column:

@@ -50,8 +50,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without lines that are near copies of a line kept elsewhere."""
-    return fuzzy_lines.line_report(table(spark, sf_dir, "documents"))
+    """Every document without lines, short ones too, that are near copies of a line kept elsewhere."""
+    return fuzzy_lines.line_report(table(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
