@@ -6,7 +6,7 @@ import random
 
 import corpus_pipeline
 from test_operators import documents, prose
-from voltlake.llm import fuzzy_lines, queries
+from voltlake.llm import fuzzy_lines, html_layout, queries
 
 
 def windows(line):
@@ -78,3 +78,19 @@ def test_near_copies_beyond_three_bits_leave_the_pipeline(spark):
     docs = documents(spark, texts)
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert kept == want and len(want) < 150
+
+
+def test_all_that_a_table_holds_is_shown():
+    page = html_layout.page_text
+    assert page("<table><tbody>note<tr><td>a<td>b</table>") == "note\na  b"
+    assert page("<table><tbody><form><tr><td>x<td>y</tr></form></tbody></table>z") == "x  y\n\nz"
+    assert page("<table><thead><div>head</div><tr><td>a</table>") == "head\na"
+    assert page("<table><tr><form><td>a</td><td>b</td></form></tr></table>") == "a  b"
+    assert page("<table><tbody hidden>no<tr><td>no</tbody><tr><td>yes</table>") == "yes"
+
+
+def test_svg_and_math_are_shown():
+    page = html_layout.page_text
+    assert page("<p>a <svg/>b<p>c <svg><path d=x /><text>label</text><text>two</text></svg>") == "a b\n\nc\nlabel\ntwo"
+    assert page("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>") == "x=1"
+    assert page("<svg><defs><text>no</text></defs><title>no</title><style>no</style><text>yes</text></svg>after") == "yes\nafter"

@@ -19,14 +19,21 @@ MAX_DEPTH = 150  # deeper elements join the one at this depth; their text stays
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript head title meta link datalist object iframe audio video canvas svg math".split())
+UNSEEN = frozenset("script style template noscript head title meta link datalist object iframe audio video canvas".split())
+FOREIGN = frozenset(("svg", "math"))
+#: What svg and math hold without showing it in place, and where HTML begins again in them.
+FOREIGN_UNSEEN = frozenset(
+    "defs symbol clippath mask marker pattern lineargradient radialgradient filter desc metadata annotation annotation-xml".split()
+)
+HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset form".split())
 BLOCK = SPACED | frozenset(
     "html body div section article aside header footer nav main address li dt dd details summary figcaption legend "
-    "center caption option optgroup select dir menu".split()
+    "center caption option optgroup select dir menu text foreignobject".split()
 )
 TABLE_PARTS = frozenset("thead tbody tfoot".split())
 CELLS = frozenset(("td", "th"))
+ROWS = frozenset(("tr",))
 #: A start tag closes these open elements, searched up to one of the tags after them.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -57,9 +64,9 @@ class TreeBuilder(HTMLParser):
         self.root = Node("html", {}, True)
         self.open = [self.root]
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> Node | None:
         if tag == "html":
-            return
+            return None
         if tag in CLOSES_P:
             self._close(("p",), SCOPE)
         if tag in IMPLIED:
@@ -75,9 +82,22 @@ class TreeBuilder(HTMLParser):
         if tag in VOID:
             if self.open[-1] is node:
                 self.open.pop()
+        return node
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        """Only svg, math and what is in them close themselves; a slash means nothing on other elements."""
+        closes = tag in FOREIGN or self._foreign()
+        node = self.handle_starttag(tag, attrs)
+        if closes and self.open[-1] is node:
+            self.open.pop()
+
+    def _foreign(self) -> bool:
+        for node in reversed(self.open):
+            if node.tag in FOREIGN:
+                return True
+            if node.tag in HTML_AGAIN:
+                return False
+        return False
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -96,6 +116,7 @@ class TreeBuilder(HTMLParser):
         hidden = (
             tag in UNSEEN or "hidden" in attrs or bool(HIDING.search(attrs.get("style") or ""))
             or (tag == "input" and (attrs.get("type") or "").lower() == "hidden") or (tag == "dialog" and "open" not in attrs)
+            or (tag in FOREIGN_UNSEEN and self._foreign())
         )
         node = Node(tag, attrs, not hidden)
         parent.children.append(node)
@@ -231,13 +252,34 @@ def _list(node: Node) -> list[str]:
     return [line.rstrip() for line in lines]
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _holds(node: Node, tags: frozenset) -> bool:
+    """Whether one of ``tags`` is shown inside, not counting tables inside."""
+    return any(
+        isinstance(c, Node) and c.seen and c.tag != "table" and (c.tag in tags or _holds(c, tags)) for c in node.children
+    )
+
+
+def _rows(node: Node, stray: list[Node | str]) -> Iterator[Node]:
+    """The rows of a table, also those in forms and other elements; all else that it holds goes to ``stray``."""
     for child in node.children:
-        if isinstance(child, Node) and child.seen:
+        if isinstance(child, str):
+            stray.append(child)
+        elif child.seen:
             if child.tag == "tr":
                 yield child
-            elif child.tag in TABLE_PARTS:
-                yield from _rows(child)
+            elif child.tag in TABLE_PARTS or child.tag == "colgroup" or (child.tag != "table" and _holds(child, ROWS)):
+                yield from _rows(child, stray)
+            else:
+                stray.append(child)
+
+
+def _cells(row: Node) -> Iterator[Node | str]:
+    """What a row holds, with the cells in forms and other elements one by one."""
+    for child in row.children:
+        if isinstance(child, Node) and child.seen and child.tag not in CELLS and child.tag != "table" and _holds(child, CELLS):
+            yield from _cells(child)
+        else:
+            yield child
 
 
 def _width(text: str) -> int:
@@ -247,13 +289,10 @@ def _width(text: str) -> int:
 def _table(node: Node) -> list[str]:
     """Rows of cells, every column as wide as its widest line, two blanks apart; captions and stray text first."""
     stray = Node("div", {}, True)
-    stray.children = [
-        c for c in node.children if isinstance(c, str) or c.tag not in (TABLE_PARTS | {"tr", "colgroup"})
-    ]
     rows = []
-    for row in _rows(node):
+    for row in _rows(node, stray.children):
         cells: list[list[str]] = []
-        for child in row.children:
+        for child in _cells(row):
             if isinstance(child, str) or child.tag not in CELLS:
                 if (isinstance(child, str) and child.strip()) or (isinstance(child, Node) and child.seen):
                     loose = Node("div", {}, True)
