@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from test_operators import documents, prose
-from voltlake.llm import fuzzy_lines, html_layout, queries
+from voltlake.llm import fuzzy_lines, html_layout, queries, sentencepiece_lattice
 
 
 def windows(line):
@@ -94,3 +96,28 @@ def test_svg_and_math_are_shown():
     assert page("<p>a <svg/>b<p>c <svg><path d=x /><text>label</text><text>two</text></svg>") == "a b\n\nc\nlabel\ntwo"
     assert page("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>") == "x=1"
     assert page("<svg><defs><text>no</text></defs><title>no</title><style>no</style><text>yes</text></svg>after") == "yes\nafter"
+
+
+@pytest.mark.parametrize("text", ["Hello there", "no no no no", "a\u2581b \u00e9a", "aaaa aaaa", "one"])
+def test_nbest_segmentations_have_their_ids(spark, text):
+    model = sentencepiece_lattice.piece_model(sentencepiece_lattice.DEFAULT_MODEL)
+    every = [(0.0, ())]
+    for unit in model.split(text):
+        ends, found = model.edges(unit), []
+
+        def walk(end, score, ids):
+            if end == 0:
+                found.append((score, ids))
+            for start, own, part in ends[end - 1] if end else ():
+                walk(start, score + own, part + ids)
+
+        walk(len(unit), 0.0, ())
+        every = sorted([(a + s, i + j) for a, i in every for s, j in found], reverse=True)[:200]
+    price = {ids: score for score, ids in every}
+    row = sentencepiece_lattice.encode_documents(documents(spark, [text]), nbest=5).select(
+        "piece_ids", "nbest_scores", sentencepiece_lattice.nbest_ids().alias("all")).first()
+    got = [tuple(ids) for ids in row["all"]]
+    assert got[0] == tuple(row["piece_ids"]) and len(set(got)) == len(got) == len(row["nbest_scores"])
+    assert [price[ids] for ids in got] == pytest.approx(row["nbest_scores"])
+    assert row["nbest_scores"] == pytest.approx([s for s, _ in every[:5]])
+    assert all(model.decode(ids) == text for ids in got)

@@ -14,7 +14,7 @@ from .labelled import fold
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Piece ids and scores of the three best segmentations of every document, and whether decoding gives it back."""
+    """Piece ids of the best segmentation of every document, scores and edits of the two next ones, and whether decoding gives it back."""
     return sentencepiece_lattice.encode_documents(table(spark, sf_dir, "documents"))
 
 

@@ -21,7 +21,8 @@ from math import inf, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -32,6 +33,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 18
 
 
+Edit = tuple[int, int, tuple[int, ...]]
+EDITS = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+
+
 class PieceModel:
     """Pieces and scores of a trained model file (read, never trained).
 
@@ -216,6 +221,12 @@ class PieceModel:
 
     def encode_all(self, texts: list[str], nbest: int = 1) -> Iterator[tuple[np.ndarray, list[float]]]:
         """Of each text the ids of the best segmentation and the scores of the ``nbest`` best."""
+        for ids, scores, _ in self.encode_nbest(texts, nbest):
+            yield ids, scores
+
+    def encode_nbest(self, texts: list[str], nbest: int) -> Iterator[tuple[np.ndarray, list[float], list[list[Edit]]]]:
+        """Of each text the ids of the best segmentation, the scores of the ``nbest`` best, and of each but
+        the first the edits (place, number, ids instead; last place first) that make it of the best one's ids."""
         split = [self.split(text) for text in texts]
         units = list(dict.fromkeys(chain.from_iterable(split)))
         index = dict(zip(units, range(len(units))))
@@ -225,18 +236,31 @@ class PieceModel:
         starts = np.cumsum(counts) - counts
 
         @lru_cache(maxsize=None)
-        def gaps(k: int) -> tuple[float, ...]:
-            best = self.nbest_unit(units[k], nbest)
-            return tuple(best[0][0] - s for s, _ in best[1:])
+        def others(k: int) -> list[tuple[float, tuple[int, ...]]]:
+            """Distances and ids of the unit's segmentations besides the one taken, which may not be the only best."""
+            found = self.nbest_unit(units[k], nbest)
+            taken = tuple(ids[starts[k]:starts[k] + counts[k]].tolist())
+            return [(found[0][0] - s, own) for s, own in found if own != taken][: nbest - 1]
 
         for own in codes:
             lengths = counts[own]
-            places = np.repeat(starts[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-            close = own[gap[own] < inf]
+            ends = np.cumsum(lengths)
+            places = np.repeat(starts[own] - ends + lengths, lengths) + np.arange(lengths.sum())
+            close = np.flatnonzero(gap[own] < inf)
             if len(close) > nbest - 1:
-                close = close[np.argpartition(gap[close], nbest - 1)[: nbest - 1]] if nbest > 1 else close[:0]
+                close = close[np.argpartition(gap[own[close]], nbest - 1)[: nbest - 1]] if nbest > 1 else close[:0]
+            close = np.sort(close)[::-1].tolist()
             total = float(score[own].sum())
-            yield ids[places], [total - behind for behind in merged_gaps([gaps(k) for k in close.tolist()], nbest)]
+            ways = [others(int(own[at])) for at in close]
+            best = merged_gaps([tuple(g for g, _ in way) for way in ways], nbest)
+            edits = [
+                [
+                    (int(ends[at] - lengths[at]), int(lengths[at]), way[pick - 1][1])
+                    for at, way, pick in zip(close, ways, picks) if pick
+                ]
+                for _, picks in best[1:]
+            ]
+            yield ids[places], [total - behind for behind, _ in best], edits
 
     def decode(self, ids: np.ndarray | Iterable[int]) -> str:
         """The text of the ids; runs of byte ids are UTF-8."""
@@ -261,14 +285,14 @@ def _code_points(units: list[str], n: int) -> np.ndarray:
     return np.array(units, f"U{n}").view(np.uint32).reshape(len(units), n).astype(np.uint64) + np.uint64(1)
 
 
-def merged_gaps(gaps: list[tuple[float, ...]], n: int) -> list[float]:
-    """The n least sums that take 0 or one of its ascending gaps from each unit.
+def merged_gaps(gaps: list[tuple[float, ...]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n least sums that take 0 or one of its ascending gaps from each unit, with what each takes (0, or which gap).
 
     With each unit's first gap among the n - 1 least no other unit can take part.
     """
-    sums = [0.0]
+    sums: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
     for own in gaps:
-        sums = heapq.nsmallest(n, [s + g for s in sums for g in (0.0, *own)])
+        sums = heapq.nsmallest(n, [(s + g, (*picks, k)) for s, picks in sums for k, g in enumerate((0.0, *own))])
     return sums[:n]
 
 
@@ -294,7 +318,10 @@ def _blocks(texts: pa.Array) -> Iterator[list[str]]:
 def encode_documents(
     docs: DataFrame, text: str = "text", key: str = "doc_id", model: str = DEFAULT_MODEL, nbest: int = 3,
 ) -> DataFrame:
-    """Per row: ``key``, piece_ids, n_pieces, nbest_scores (best first) and round_trip.
+    """Per row: ``key``, piece_ids, n_pieces, nbest_scores (best first), nbest_edits and round_trip.
+
+    nbest_edits has, for the second best segmentation and each one after it, what to replace in piece_ids:
+    at (from 0), n and ids, last place first. ``nbest_ids`` makes all segmentations of it.
 
     Whole texts are encoded, and round_trip says that decoding the ids gave the text back. Null and empty
     texts have no pieces, one score of 0 and are true. ``model`` is a file that every executor has. Rows
@@ -302,7 +329,7 @@ def encode_documents(
     """
     schema = (
         f"{key} {docs.schema[key].dataType.simpleString()}, piece_ids array<int>, n_pieces int, "
-        "nbest_scores array<double>, round_trip boolean"
+        "nbest_scores array<double>, nbest_edits array<array<struct<at:int,n:int,ids:array<int>>>>, round_trip boolean"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,10 +337,11 @@ def encode_documents(
         for batch in batches:
             at = 0
             for block in _blocks(batch.column(1)):
-                ids, scores, same = [], [], []
-                for content, (own, best) in zip(block, pieces.encode_all(block, nbest)):
+                ids, scores, edits, same = [], [], [], []
+                for content, (own, best, other) in zip(block, pieces.encode_nbest(block, nbest)):
                     ids.append(own)
                     scores.append(best)
+                    edits.append([[{"at": a, "n": n, "ids": i} for a, n, i in one] for one in other])
                     same.append(pieces.decode(own) == content)
                 counts = np.fromiter(map(len, ids), np.int32, len(ids))
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -322,13 +350,24 @@ def encode_documents(
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32))),
                     pa.array(counts),
                     pa.array(scores, pa.list_(pa.float64())),
+                    pa.array(edits, EDITS),
                     pa.array(same, pa.bool_()),
-                ], names=[key, "piece_ids", "n_pieces", "nbest_scores", "round_trip"])
+                ], names=[key, "piece_ids", "n_pieces", "nbest_scores", "nbest_edits", "round_trip"])
                 at += len(block)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def nbest_ids(ids: str = "piece_ids", edits: str = "nbest_edits") -> Column:
+    """The ids of all segmentations of an encoded row, best first."""
+    def edited(own: Column, edit: Column) -> Column:
+        return F.concat(
+            F.slice(own, F.lit(1), edit["at"]), edit["ids"], F.slice(own, edit["at"] + edit["n"] + 1, F.size(own)),
+        )
+
+    return F.concat(F.array(F.col(ids)), F.transform(edits, lambda one: F.aggregate(one, F.col(ids), edited)))
+
+
 def decode_documents(encoded: DataFrame, ids: str = "piece_ids", key: str = "doc_id", model: str = DEFAULT_MODEL) -> DataFrame:
     """Per row: ``key`` and the text of its ids; null ids give null."""
     schema = f"{key} {encoded.schema[key].dataType.simpleString()}, text string"
