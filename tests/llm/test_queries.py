@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def database():
     with duckdb.connect() as connection:
-        for name in ("documents", "conversations", "benchmark", "labels", "pages"):
+        for name in ("documents", "conversations", "benchmark", "labels", "pages", "embeddings"):
             path = f"{SF}/{name}.parquet"
             source = path if os.path.isfile(path) else f"{path}/*.parquet"
             connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{source}'")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Where the tables of :func:`stored` lie.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written to the shared folder and read back: the lineage ends there, so a lost executor
-    costs no more than the tasks that read it."""
+    costs no more than the tasks that read it. Tables that no later result reads are given to :func:`free`."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    back = spark.read.schema(frame.schema).parquet(path)
+    _PLACES[back] = path
+    return back
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete written tables (as :func:`stored` gave them) once all that reads them is written itself."""
+    for frame in tables:
+        path = _PLACES.pop(frame, None)
+        if path:
+            place = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def clean_text(text: str = "text") -> Column:

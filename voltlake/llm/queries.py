@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, fuzzy_lines, html_layout, quality, reply_trees, secrets, sentencepiece_lattice, simhash, spotsigs, toxicity,
+    centroids, decontaminate, fuzzy_lines, hard_negatives, html_layout, quality, reply_trees, secrets, sentencepiece_lattice, simhash,
+    spotsigs, token_prefixes, toxicity,
 )
 from .common import table
 from .labelled import fold
@@ -73,11 +75,28 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.digests(reply_trees.conversations(reply_trees.linear(turns)))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of every vector of 64 components: 40 centroids, five rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), centroids=40, rounds=5, dims=64, scale=256, seed="2:")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of five positives of every fiftieth vector, with some labels moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(vectors, every=50, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+def op13_token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and of its prefixes, against a budget of 512."""
+    return token_prefixes.report(table(spark, sf_dir, "documents"), limit=512)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_quality, op3_spotsigs, op4_secret_ledger, op5_simhash, op6_toxicity, op7_html_layout,
-        op8_decontamination, op9_fuzzy_lines, op10_reply_trees,
+        op8_decontamination, op9_fuzzy_lines, op10_reply_trees, op11_centroids, op12_hard_negatives, op13_token_prefixes,
     )
 }
 
@@ -129,4 +148,59 @@ _REPLY_SQL = r"""
         sum(n)::BIGINT AS formatted_chars
     FROM marked GROUP BY conv_id"""
 
-ORACLE_SQL: dict[str, str] = {"op4_secret_ledger": _secret_sql(), "op10_reply_trees": _REPLY_SQL}
+def _centroid_sql() -> str:
+    """The rounds one after the other; sums of whole numbers below 2^53 are exact in DOUBLE."""
+    square = "list_inner_product({0}, {0})"
+    parts = ["""
+        k AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS cluster, v AS c
+            FROM k QUALIFY cluster < 40)"""]
+    for r in range(6):
+        parts.append(f"""
+        a{r} AS MATERIALIZED (
+            SELECT vec_id, v, cluster, d FROM (
+                SELECT vec_id, v, cluster, {square.format("v")} - 2 * list_inner_product(v, c) + {square.format("c")} AS d FROM k, c{r})
+            QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1)""")
+        if r < 5:
+            parts.append(f"""
+        m{r} AS MATERIALIZED (
+            SELECT cluster, list(floor((s - ((s % n) + n) % n) / n) ORDER BY pos) AS c FROM (
+                SELECT cluster, pos, sum(x)::BIGINT AS s, count(*) AS n FROM (
+                    SELECT cluster, unnest(v) AS x, unnest(generate_series(1, 64)) AS pos FROM a{r})
+                GROUP BY cluster, pos) GROUP BY cluster),
+        c{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))""")
+    return f"""
+        WITH {','.join(parts)}
+        SELECT vec_id, cluster::INTEGER AS cluster, d::BIGINT AS distance,
+            (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+        FROM a5 JOIN c5 USING (cluster)"""
+
+
+_NEGATIVE_SQL = """
+    WITH k AS MATERIALIZED (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS MATERIALIZED (
+        SELECT a.vec_id AS anchor_id, k.vec_id, a.label = k.label AS same, list_inner_product(a.v, k.v)::BIGINT AS score
+        FROM k AS a JOIN k ON a.vec_id % 50 = 0 AND a.vec_id <> k.vec_id),
+    p AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id,
+        (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY rank <= 3"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_secret_ledger": _secret_sql(), "op10_reply_trees": _REPLY_SQL, "op11_centroids": _centroid_sql(),
+    "op12_hard_negatives": _NEGATIVE_SQL,
+}
