@@ -140,7 +140,7 @@ def test_score_bounds_hold_and_skip():
     for k in range(0, 3000, 250):
         search.add(ids[k:k + 250], labels[k:k + 250], rows[k:k + 250], angles[k:k + 250])
     every = rows[:100] @ rows.T
-    every[ids[:100], ids[:100]] = hard_negatives.NONE
+    every[ids[:100], ids[:100]] = -(1 << 60)
     assert (search.score[:, 0] == -np.sort(-every, axis=1)[:, :5]).all()
     assert search.scored < 0.3 * search.pairs
 
