@@ -1,15 +1,13 @@
 """Exact quantiles of columns with any number of distinct values.
 
 ``percentile`` keeps every distinct value of the column in the state of one task.
-Here a rank is narrowed down by counting, the same way at every size:
-
-* :func:`quantiles` counts the values of a column in ``BUCKETS`` equal ranges between
-  its least and greatest value, takes the range that holds the wanted rank, and counts
-  again between the least and greatest value in it. A last count by single value in
-  that range gives the answer. The counts decide, so no estimate can miss; each step is
-  one aggregate with map-side combine and at most ``BUCKETS`` + 2 rows for each rank. The
-  last one has as many rows as distinct values are left, about their number over the
-  square of ``BUCKETS``.
+Here a rank is found by counting, the same way for all data:
+
+* :func:`quantiles` selects by radix. A value becomes a whole number of 64 bits in the same order: integers are
+  one, a DOUBLE has its exponent and mantissa in the order of its bits. Four steps of 16 bits
+  each count, among the values whose bits so far are those of the wanted rank, the next 16 bits, and go on with
+  those that hold the rank. A step is one aggregate with map-side combine, and no more than 65,536 rows
+  for each rank leave it, however the values are spread. Nothing is estimated, and no integer is rounded.
 * :func:`integer_quantiles`, for 32-bit columns such as minutes, counts by value
   and sums the counts in two steps of at most 65,536 rows each.
 """
@@ -20,82 +18,125 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bits that each step looks at; they end at these places of the 64.
+DIGIT = 16
+PLACES = (48, 32, 16, 0)
+
+_MANTISSA = 1 << 52
 
-BUCKETS = 65_536
-STEPS = 2
 
+def _whole(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
-def _value(column: str) -> str:
-    """The column as DOUBLE; NaN is missing, as NULL is."""
-    return f"nullif(CAST({column} AS DOUBLE), double('NaN'))"
 
+def images(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``x0``, ``x1``, ...: each column as BIGINT in the order of its values; NULL and NaN are NULL.
 
-def _placed(df: DataFrame, columns: Sequence[str], bounds: Column) -> DataFrame:
-    """(target, v, lo, hi, rank) of every value for every target."""
+    A DOUBLE is its exponent and mantissa as one number, negative values the negative one. The logarithm
+    only guesses the exponent; comparing with both powers of two around corrects it.
+    """
     # In the order of df, so that this reader and others of df share its shuffles.
-    used = [c for c in df.columns if c in columns]
-    rows = ", ".join(f"named_struct('target', {i}, 'v', {_value(c)}, 'b', bounds[{i}])" for i, c in enumerate(columns))
-    placed = df.select(*used, bounds.alias("bounds")).select(F.expr(f"explode(array({rows}))").alias("p"))
-    return placed.select("p.target", "p.v", "p.b.lo", "p.b.hi", "p.b.rank").filter("v IS NOT NULL")
+    rows = df.select(*[c for c in df.columns if c in columns])
+    inner = [c for c in columns if not _whole(df, c)]
+    at = {c: columns.index(c) for c in columns}
+    number = "nullif(CAST({0} AS DOUBLE), double('NaN'))"
+    rows = rows.select("*", *[F.expr(number.format(c)).alias(f"_d{at[c]}") for c in inner])
+    guess = "CAST(greatest(least(floor(log2(abs(_d{0}))), 1023D), -1022D) AS INT)"
+    finite = "CASE WHEN abs(_d{0}) > 0 AND abs(_d{0}) < double('Infinity') THEN {1} END"
+    rows = rows.select("*", *[F.expr(finite.format(at[c], guess.format(at[c]))).alias(f"_g{at[c]}") for c in inner])
+    right = (
+        "CASE WHEN _g{0} > -1022 AND abs(_d{0}) < pow(2D, _g{0}) THEN _g{0} - 1 "
+        "WHEN _g{0} < 1023 AND abs(_d{0}) >= pow(2D, _g{0} + 1) THEN _g{0} + 1 ELSE _g{0} END"
+    )
+    rows = rows.select("*", *[F.expr(right.format(at[c])).alias(f"_e{at[c]}") for c in inner])
+    bits = (
+        f"CAST(signum(_d{{0}}) AS BIGINT) * CASE WHEN _d{{0}} = 0 THEN 0 WHEN _e{{0}} IS NULL THEN 2047 * {_MANTISSA} "
+        f"ELSE (_e{{0}} + 1022) * {_MANTISSA} + CAST(abs(_d{{0}}) / pow(2D, _e{{0}}) * {_MANTISSA}D AS BIGINT) END"
+    )
+    return rows.select(*[
+        (F.expr(bits.format(k)) if c in inner else F.col(c).cast("long")).alias(f"x{k}") for c, k in at.items()
+    ])
+
+
+def value_sql(x: str) -> str:
+    """The DOUBLE whose image is the SQL expression ``x``."""
+    exponent, mantissa = f"shiftright(abs({x}), 52)", f"(abs({x}) & {_MANTISSA - 1})"
+    return (
+        f"signum({x}) * CASE WHEN {exponent} = 2047 THEN double('Infinity') "
+        f"WHEN {exponent} = 0 THEN {mantissa} * pow(2D, -1074) "
+        f"ELSE (1D + {mantissa} / {float(_MANTISSA)}D) * pow(2D, {exponent} - 1023) END"
+    )
 
 
-def _cumulated(counts: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Counts with their running sum. One window partition per target; its rows are bounded, see the module text."""
-    ordered = Window.partitionBy("target").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("upto", F.sum("n").over(ordered))
+def _upto(counts: DataFrame, key: str) -> DataFrame:
+    """Counts with their running sum; one task sees them, 65,536 rows at most for each key."""
+    ordered = Window.partitionBy(key).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.repartition(1).withColumn("upto", F.sum("n").over(ordered))
 
 
-def _gathered(rows: DataFrame, targets: int, fields: str) -> Column:
+def _gathered(rows: DataFrame, conditions: Sequence[str], fields: str) -> Column:
     """One struct per target as an array, as a scalar subquery."""
-    each = ", ".join(f"max(CASE WHEN target = {i} THEN {fields} END)" for i in range(targets))
+    each = ", ".join(f"max(CASE WHEN {condition} THEN named_struct({fields}) END)" for condition in conditions)
     return rows.agg(F.expr(f"array({each})").alias("found")).scalar()
 
 
-def _narrowed(df: DataFrame, columns: Sequence[str], bounds: Column) -> Column:
-    """The bounds of the range that holds each target's rank."""
-    scaled = f"CAST(floor(least((v - lo) / (hi - lo) * {BUCKETS}, {BUCKETS - 1})) AS INT)"
-    bucket = f"CASE WHEN v < lo THEN -1 WHEN v > hi THEN {BUCKETS} WHEN lo = hi THEN 0 ELSE {scaled} END"
-    counts = (
-        _placed(df, columns, bounds).withColumn("bucket", F.expr(bucket)).groupBy("target", "bucket", "rank")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+def _first_counts(values: DataFrame) -> DataFrame:
+    """(c, p, n): how many values of each column (by number) have these first bits."""
+    each = ", ".join(f"named_struct('c', {k}, 'x', {x})" for k, x in enumerate(values.columns))
+    return (
+        values.select(F.expr(f"explode(array({each}))").alias("o")).filter("o.x IS NOT NULL")
+        .groupBy("o.c", F.shiftright("o.x", PLACES[0]).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def _next_counts(values: DataFrame, state: Column, columns: Sequence[int], place: int) -> DataFrame:
+    """(target, rank, total, p, n): how many values that share a target's bits so far have these next ones."""
+    each = ", ".join(f"named_struct('target', {i}, 'x', x{c}, 's', state[{i}])" for i, c in enumerate(columns))
+    placed = values.select("*", state.alias("state")).select(F.expr(f"explode(array({each}))").alias("o"))
+    same = placed.filter(f"shiftright(o.x, {place + DIGIT}) = o.s.prefix")
+    return (
+        same.groupBy("o.target", "o.s.rank", "o.s.total", F.shiftright("o.x", place).alias("p"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    hit = _cumulated(counts, ["bucket"]).filter("upto > rank AND upto - n <= rank")
-    return _gathered(hit, len(columns), "named_struct('lo', lo, 'hi', hi, 'rank', rank)")
 
 
 def _at_ranks(df: DataFrame, targets: Sequence[tuple[str, str]]) -> Column:
     """For each (column, 0-based rank as SQL over the number of values ``total``) the value at that rank and the next.
 
     An array of structs (low, high, total) in the order of the targets; high is low where no value
-    follows. NULL fields where the column has no value.
+    follows. NULL where the column has no value. low and high are BIGINT for integer columns only if all
+    columns are such; else DOUBLE.
     """
-    columns = [c for c, _ in targets]
-    first = []
-    for c, rank in targets:
-        v = _value(c)
-        finite = f"CASE WHEN abs({v}) < double('Infinity') THEN {v} END"
-        first.append(
-            f"named_struct('lo', coalesce(min({finite}), 0D), 'hi', coalesce(max({finite}), 0D), 'rank', "
-            f"CAST({rank.format(total=f'count({v})')} AS BIGINT))"
-        )
-    bounds = df.agg(F.expr(f"array({', '.join(first)})").alias("bounds")).scalar()
-    for _ in range(STEPS):
-        bounds = _narrowed(df, columns, bounds)
-    side = "CASE WHEN v < lo THEN -1 WHEN v > hi THEN 1 ELSE 0 END"
-    counts = (
-        _placed(df, columns, bounds).withColumn("side", F.expr(side))
-        .groupBy("target", "rank", "side", F.expr("CASE WHEN side = 0 THEN v END").alias("single"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    names = list(dict.fromkeys(c for c, _ in targets))
+    values = images(df, names)
+    ranks = [(names.index(c), r) for c, rank in targets for r in (rank, f"least({rank} + 1, {{total}} - 1)")]
+    columns = [c for c, _ in ranks]
+    counted = _upto(_first_counts(values), "c").withColumn("total", F.sum("n").over(Window.partitionBy("c")))
+    # The wanted rank of a column is a number only where there are values; it is never below 0.
+    wanted = [f"CAST({rank.format(total='total')} AS BIGINT)" for _, rank in ranks]
+    state = None
+    hits = [f"c = {c} AND upto > {w} AND upto - n <= {w}" for (c, _), w in zip(ranks, wanted)]
+    each = ", ".join(
+        f"max(CASE WHEN {hit} THEN named_struct('prefix', p, 'rank', {w} - (upto - n), 'total', total) END)"
+        for hit, w in zip(hits, wanted)
     )
-    ranked = _cumulated(counts, ["side", "single"])
-    low = "upto > rank AND upto - n <= rank"
-    high = "upto > rank + 1 AND upto - n <= rank + 1"
-    found = ranked.groupBy("target").agg(
-        F.expr(f"max(CASE WHEN {low} THEN v END)").alias("low"),
-        F.expr(f"coalesce(max(CASE WHEN {high} THEN v END), max(CASE WHEN {low} THEN v END))").alias("high"),
-        F.sum("n").alias("total"),
+    state = counted.agg(F.expr(f"array({each})").alias("found")).scalar()
+    for place in PLACES[1:]:
+        ranked = _upto(_next_counts(values, state, columns, place), "target")
+        inside = [f"target = {i} AND upto > rank AND upto - n <= rank" for i in range(len(columns))]
+        state = _gathered(ranked, inside, "'prefix', p, 'rank', rank - (upto - n), 'total', total")
+    whole = [_whole(df, c) for c, _ in targets]
+
+    def value(i: int, k: int) -> str:
+        return f"s[{i}].prefix" if all(whole) else f"CAST(s[{i}].prefix AS DOUBLE)" if whole[k] else value_sql(f"s[{i}].prefix")
+
+    pairs = ", ".join(
+        f"CASE WHEN s[{2 * k}].total IS NOT NULL THEN named_struct('low', {value(2 * k, k)}, 'high', {value(2 * k + 1, k)}, 'total', s[{2 * k}].total) END"
+        for k in range(len(targets))
     )
-    return _gathered(found, len(columns), "named_struct('low', low, 'high', high, 'total', total)")
+    return df.sparkSession.range(1).select(state.alias("s")).select(F.expr(f"array({pairs})").alias("found")).scalar()
 
 
 def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> Column:
@@ -112,7 +153,8 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> Column:
     for c, probs in wanted.items():
         values = []
         for p in probs:
-            low, high, place = f"f[{at}].low", f"f[{at}].high", f"((f[{at}].total - 1) * {float(p)!r}D)"
+            low, high = f"CAST(f[{at}].low AS DOUBLE)", f"CAST(f[{at}].high AS DOUBLE)"
+            place = f"((f[{at}].total - 1) * {float(p)!r}D)"
             weight = f"({place} - floor({place}))"
             values.append(f"CASE WHEN {low} = {high} OR {weight} = 0 THEN {low} ELSE {low} + ({high} - {low}) * {weight} END")
             at += 1
