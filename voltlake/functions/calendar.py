@@ -83,3 +83,12 @@ def last_start(sessions: DataFrame) -> Column:
 
 def days_before(moment: Column, days: int) -> Column:
     return moment - F.expr(f"INTERVAL {int(days)} DAYS")
+
+
+def micros(column: str) -> Column:
+    """A timestamp as whole microseconds since 1970, for rollups of BIGINT measures."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
+
+
+def from_micros(value: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", value, F.lit("1970-01-01").cast("timestamp_ntz"))

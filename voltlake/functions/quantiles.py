@@ -163,18 +163,20 @@ def quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> Column:
     return one.select(F.expr(f"named_struct({', '.join(columns)})").alias("q")).scalar()
 
 
-def integer_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> Column:
+def integer_quantiles(df: DataFrame, column: str, probs: Sequence[float], rows: Column | None = None) -> Column:
     """Linearly interpolated quantiles of a 32-bit integer column, as one scalar subquery (an array).
 
-    One pass over ``df`` counts by value; hot values combine before the shuffle.
+    One pass over ``df`` counts by value; hot values combine before the shuffle. Where ``df`` is a rollup,
+    ``rows`` says how many values a row stands for.
     """
     counts = (
-        df.select(F.col(column).cast("int").cast("long").alias("key"))  # wider values raise: the bound needs 32 bits
+        # wider values raise: the bound needs 32 bits
+        df.select(F.col(column).cast("int").cast("long").alias("key"), (F.lit(1) if rows is None else rows).cast("long").alias("rows"))
         .filter(F.col("key").isNotNull())
         .groupBy("key")
         # The value again as an aggregate: conditions on it stay above the shuffle, which
         # both readers of the counts then share.
-        .agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("v"))
+        .agg(F.sum("rows").alias("n"), F.max("key").alias("v"))
         .select("v", "n", F.shiftright("v", 16).alias("high_bits"))
     )
     # At most 65,536 rows, whatever the data: small enough for one window and a broadcast.

@@ -1,7 +1,8 @@
 """Charger statistics and the anomaly rules with their log.
 
-Every rule family reads the fact once: the two session rules, the three
-per-charger rules and the two period rules.
+The whole log takes three passes over the fact: one rollup at two grains, by charger and by duration, gives the
+volumes, the last start and the quartiles of the durations; the session rules read the sessions beyond those
+quartiles; the two period rules read the two last windows only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from voltlake.functions import calendar as cal
 from voltlake.functions import measures as m
 from voltlake.functions.quantiles import integer_quantiles, quantiles
-from voltlake.plans.rollups import sorted_once
+from voltlake.plans.rollups import Packed, packed, sorted_once
 from voltlake.sources.filters import ALL, GlobalFilter, filtered_sessions, since
 from voltlake.sources.tables import Tables
 
@@ -34,35 +35,58 @@ LOG = (
 )
 
 
-def _charger_volume(sessions: DataFrame) -> DataFrame:
-    keyed = sessions.filter(F.col("station_id").isNotNull() & F.col("charger_id").isNotNull())
-    return keyed.groupBy("station_id", "charger_id").agg(
-        F.count("session_id").alias("total_sessions"),
-        m.count_status("Completed").alias("successful_sessions"),
-        m.count_status("Failed").alias("failed_sessions"),
-        m.count_status("Cancelled").alias("interrupted_sessions"),
-        m.sum_long("duration_minutes").alias("minutes"),
-        F.count("duration_minutes").alias("timed"),
-        m.sum_units("energy_kwh").alias("energy_u"),
-        F.count("energy_kwh").alias("metered"),
-        m.sum_units("revenue").alias("revenue_u"),
-        F.count("revenue").alias("billed"),
+_VOLUME = (
+    "total_sessions", "successful_sessions", "failed_sessions", "interrupted_sessions",
+    "minutes", "timed", "energy_u", "metered", "revenue_u", "billed",
+)
+_BY_CHARGER, _BY_DURATION = 0, 1
+
+
+def _grains(sessions: DataFrame) -> Packed:
+    """Volume per charger and rows per duration, with the first and last start, from one pass."""
+    return packed(sessions, ["station_id", "charger_id", "duration_minutes"], {
+        "rows": F.count(F.lit(1)),
+        "total_sessions": F.count("session_id"),
+        "successful_sessions": m.count_status("Completed"),
+        "failed_sessions": m.count_status("Failed"),
+        "interrupted_sessions": m.count_status("Cancelled"),
+        "minutes": m.sum_long("duration_minutes"),
+        "timed": F.count("duration_minutes"),
+        "energy_u": m.sum_units("energy_kwh"),
+        "metered": F.count("energy_kwh"),
+        "revenue_u": m.sum_units("revenue"),
+        "billed": F.count("revenue"),
+        "first": F.min(cal.micros("start_time")),
+        "last": F.max(cal.micros("start_time")),
+    }, ["station_id", "charger_id"], ["duration_minutes"])
+
+
+def _last_start(grains: Packed) -> Column:
+    return grains.frame.agg(cal.from_micros(grains.max("last")).alias("last_start")).scalar()
+
+
+def _elapsed_days(grains: Packed) -> Column:
+    bounds = grains.frame.agg(
+        cal.from_micros(grains.min("first")).alias("lo"), cal.from_micros(grains.max("last")).alias("hi")
     )
+    return bounds.select(cal.whole_days("lo", "hi").alias("days")).scalar()
 
 
-def _charger_master(t: Tables, sessions: DataFrame) -> DataFrame:
+def _charger_master(t: Tables, grains: Packed) -> DataFrame:
     """Every charger with its volume, 0 without sessions."""
-    joined = t.chargers.join(_charger_volume(sessions), ["station_id", "charger_id"], "left")
-    return joined.na.fill(0, subset=[
-        "total_sessions", "successful_sessions", "failed_sessions", "interrupted_sessions",
-        "minutes", "timed", "energy_u", "metered", "revenue_u", "billed",
-    ]).withColumn("failure_rate_pct", m.rate("failed_sessions", "total_sessions") * 100.0)
+    volume = grains.frame.filter(
+        (F.col("grain") == _BY_CHARGER) & F.col("station_id").isNotNull() & F.col("charger_id").isNotNull()
+    ).select("station_id", "charger_id", *[grains.measure(name).alias(name) for name in _VOLUME])
+    joined = t.chargers.join(volume, ["station_id", "charger_id"], "left")
+    return joined.na.fill(0, subset=list(_VOLUME)).withColumn(
+        "failure_rate_pct", m.rate("failed_sessions", "total_sessions") * 100.0
+    )
 
 
 def charger_stats(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
     """Volume, outcome rates, averages and utilization of every charger."""
-    s = filtered_sessions(t, flt)
-    return _charger_master(t, s).select(
+    grains = _grains(filtered_sessions(t, flt))
+    return _charger_master(t, grains).select(
         "charger_id", "station_id", "charger_type", "power_kw", "charger_status",
         "total_sessions", "successful_sessions", "failed_sessions", "interrupted_sessions", "minutes",
         "failure_rate_pct",
@@ -70,7 +94,7 @@ def charger_stats(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
         m.rate("minutes", "timed").alias("avg_duration"),
         m.rate(m.from_units("energy_u"), "metered").alias("avg_energy"),
         m.rate(m.from_units("revenue_u"), "billed").alias("avg_revenue"),
-        m.charger_utilization("minutes", cal.elapsed_days(s)).alias("utilization_pct"),
+        m.charger_utilization("minutes", _elapsed_days(grains)).alias("utilization_pct"),
     )
 
 
@@ -101,9 +125,12 @@ def _log(df: DataFrame, entries: Sequence[Column]) -> DataFrame:
     return rows.filter(F.col("e").isNotNull()).select("charger_id", "station_id", "e.*").select(*LOG)
 
 
-def _session_rules(sessions: DataFrame, rules: Sequence[str], max_kwh: float = 2, k: float = 3) -> DataFrame:
+def _session_rules(
+    sessions: DataFrame, grains: Packed, rules: Sequence[str], max_kwh: float = 2, k: float = 3
+) -> DataFrame:
     """Long sessions and campers; a long session is never also a camper."""
-    quartiles = integer_quantiles(sessions, "duration_minutes", [0.25, 0.75])
+    durations = grains.frame.filter(F.col("grain") == _BY_DURATION)
+    quartiles = integer_quantiles(durations, "duration_minutes", [0.25, 0.75], grains.measure("rows"))
     minutes, upper, q3 = F.col("duration_minutes"), F.col("upper"), F.col("q3")
     rows = sessions.select("charger_id", "station_id", "start_time", "duration_minutes", "energy_kwh", quartiles.alias("q"))
     rows = rows.withColumns({
@@ -131,11 +158,11 @@ def _session_rules(sessions: DataFrame, rules: Sequence[str], max_kwh: float = 2
 
 
 def _charger_rules(
-    t: Tables, sessions: DataFrame, rules: Sequence[str],
+    t: Tables, grains: Packed, rules: Sequence[str],
     fail_k: float = 1.5, floor_lt: float = 1, floor_to: float = 2, min_sessions: int = 15, freq_k: float = 1.5,
 ) -> DataFrame:
     """Failure-rate and session-count outliers over all chargers, unused ones included."""
-    master = _charger_master(t, sessions).select(
+    master = _charger_master(t, grains).select(
         "charger_id", "station_id", "charger_status", "failed_sessions", "total_sessions", "failure_rate_pct"
     )
     wanted = {}
@@ -143,7 +170,7 @@ def _charger_rules(
         wanted["failure_rate_pct"] = [0.25, 0.75]
     if HIGH_FREQUENCY in rules or LOW_FREQUENCY in rules:
         wanted["total_sessions"] = [0.25, 0.75]
-    rows = master.withColumns({"q": quantiles(master, wanted), "stamp": cal.last_start(sessions)})
+    rows = master.withColumns({"q": quantiles(master, wanted), "stamp": _last_start(grains)})
     stamp = F.col("stamp")
     entries = {}
     if HIGH_FAILURE in rules:
@@ -172,7 +199,7 @@ def _charger_rules(
 
 
 def _drop_rules(
-    t: Tables, sessions: DataFrame, rules: Sequence[str],
+    t: Tables, sessions: DataFrame, last_start: Column, rules: Sequence[str],
     days: int = 15, revenue_base: float = 100, minutes_base: int = 500, pct: float = -60,
 ) -> DataFrame:
     """Chargers present in both windows whose revenue or minutes fell by more than ``pct``.
@@ -180,10 +207,8 @@ def _drop_rules(
     The last ``days`` dates against the ``days`` before, by conditional
     aggregation in one scan of both windows (the bound reaches the scan).
     """
-    last = sessions.agg(F.to_date(F.max("start_time")).alias("last")).scalar()
-    first_midnight = sessions.agg(
-        F.date_sub(F.to_date(F.max("start_time")), 2 * days - 1).cast("timestamp_ntz").alias("first")
-    ).scalar()
+    last = F.to_date(last_start)
+    first_midnight = F.date_sub(last, 2 * days - 1).cast("timestamp_ntz")
     late = F.col("late")
     both = since(sessions, first_midnight, inclusive=True).filter(F.col("charger_id").isNotNull())
     both = both.withColumn("late", cal.day() > F.date_sub(last, days))
@@ -222,12 +247,14 @@ def _drop_rules(
 
 def anomaly_long_session(t: Tables, k: float = 3, flt: GlobalFilter = ALL) -> DataFrame:
     """Sessions longer than Q3 + k x IQR of all durations."""
-    return _session_rules(filtered_sessions(t, flt), [LONG_SESSION], k=k)
+    s = filtered_sessions(t, flt)
+    return _session_rules(s, _grains(s), [LONG_SESSION], k=k)
 
 
 def anomaly_camper(t: Tables, max_kwh: float = 2, k: float = 3, flt: GlobalFilter = ALL) -> DataFrame:
     """Sessions above Q3 of all durations that drew less than ``max_kwh`` and are not long sessions."""
-    return _session_rules(filtered_sessions(t, flt), [CAMPER], max_kwh, k)
+    s = filtered_sessions(t, flt)
+    return _session_rules(s, _grains(s), [CAMPER], max_kwh, k)
 
 
 def anomaly_high_failure(
@@ -235,29 +262,32 @@ def anomaly_high_failure(
     flt: GlobalFilter = ALL,
 ) -> DataFrame:
     """Chargers failing above Q3 + k x IQR; a bound below ``floor_lt`` becomes ``floor_to``."""
-    return _charger_rules(t, filtered_sessions(t, flt), [HIGH_FAILURE], k, floor_lt, floor_to, min_sessions)
+    grains = _grains(filtered_sessions(t, flt))
+    return _charger_rules(t, grains, [HIGH_FAILURE], k, floor_lt, floor_to, min_sessions)
 
 
 def anomaly_revenue_drop(
     t: Tables, days: int = 15, min_base: float = 100, pct: float = -60, flt: GlobalFilter = ALL
 ) -> DataFrame:
-    return _drop_rules(t, filtered_sessions(t, flt), [REVENUE_DROP], days, revenue_base=min_base, pct=pct)
+    s = filtered_sessions(t, flt)
+    return _drop_rules(t, s, cal.last_start(s), [REVENUE_DROP], days, revenue_base=min_base, pct=pct)
 
 
 def anomaly_util_drop(
     t: Tables, days: int = 15, min_base: int = 500, pct: float = -60, flt: GlobalFilter = ALL
 ) -> DataFrame:
-    return _drop_rules(t, filtered_sessions(t, flt), [UTILIZATION_DROP], days, minutes_base=min_base, pct=pct)
+    s = filtered_sessions(t, flt)
+    return _drop_rules(t, s, cal.last_start(s), [UTILIZATION_DROP], days, minutes_base=min_base, pct=pct)
 
 
 def anomaly_high_freq(t: Tables, k: float = 1.5, flt: GlobalFilter = ALL) -> DataFrame:
     """Chargers with more sessions than Q3 + k x IQR."""
-    return _charger_rules(t, filtered_sessions(t, flt), [HIGH_FREQUENCY], freq_k=k)
+    return _charger_rules(t, _grains(filtered_sessions(t, flt)), [HIGH_FREQUENCY], freq_k=k)
 
 
 def anomaly_low_freq(t: Tables, k: float = 1.5, flt: GlobalFilter = ALL) -> DataFrame:
     """Active chargers with fewer sessions than max(1, Q1 - k x IQR)."""
-    return _charger_rules(t, filtered_sessions(t, flt), [LOW_FREQUENCY], freq_k=k)
+    return _charger_rules(t, _grains(filtered_sessions(t, flt)), [LOW_FREQUENCY], freq_k=k)
 
 
 def _by_severity(log: DataFrame) -> DataFrame:
@@ -273,9 +303,10 @@ def anomaly_log(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
 
 def _all_rules(t: Tables, flt: GlobalFilter) -> DataFrame:
     s = filtered_sessions(t, flt)
-    return _session_rules(s, [LONG_SESSION, CAMPER]).unionByName(
-        _charger_rules(t, s, [HIGH_FAILURE, HIGH_FREQUENCY, LOW_FREQUENCY])
-    ).unionByName(_drop_rules(t, s, [REVENUE_DROP, UTILIZATION_DROP]))
+    grains = _grains(s)
+    return _session_rules(s, grains, [LONG_SESSION, CAMPER]).unionByName(
+        _charger_rules(t, grains, [HIGH_FAILURE, HIGH_FREQUENCY, LOW_FREQUENCY])
+    ).unionByName(_drop_rules(t, s, _last_start(grains), [REVENUE_DROP, UTILIZATION_DROP]))
 
 
 def anomaly_log_by_severity(

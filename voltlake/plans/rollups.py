@@ -2,11 +2,14 @@
 
 Each one is a single pass over the fact. Spark combines before the shuffle, so a
 station with a third of all sessions sends one row per task, like any other.
-Dimension tables are joined to the aggregate, never to the fact.
+Dimension tables are joined to the aggregate; only what needs a row's own dimension joins the fact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,48 @@ def resum(*names: str) -> list[Column]:
     return [F.sum(n).alias(n) for n in names]
 
 
+@dataclass(frozen=True)
+class Packed:
+    """A rollup with all its measures in one array, which several readers share.
+
+    A reader that needs one measure, or some keys, would else have a shuffle of its own: Spark drops unused
+    measures, and moves conditions on keys, below the shuffle. The array holds the measures together, and an
+    entry that is not deterministic keeps conditions above. All readers then name the same shuffle, and
+    the fact is read once for all of them.
+    """
+
+    frame: DataFrame
+    names: tuple[str, ...]
+
+    def measure(self, name: str) -> Column:
+        return F.col("measures")[self.names.index(name)]
+
+    def sum(self, name: str) -> Column:
+        return F.sum(self.measure(name))
+
+    def min(self, name: str) -> Column:
+        return F.min(self.measure(name))
+
+    def max(self, name: str) -> Column:
+        return F.max(self.measure(name))
+
+
+def packed(sessions: DataFrame, keys: Sequence[str], measures: Mapping[str, Column], *grains: Sequence[str]) -> Packed:
+    """BIGINT measures per ``keys``, or at each of ``grains`` of the keys in one pass; ``grain`` then is the grain's number."""
+    array = F.array(*[c.cast("long") for c in measures.values()], F.spark_partition_id().cast("long")).alias("measures")
+    if not grains:
+        return Packed(sessions.groupBy(*keys).agg(array), tuple(measures))
+    # Copies of a row by explode: Spark numbers all columns of a GROUPING SETS anew in a second reader, and then
+    # takes its shuffle for another one.
+    types = {k: sessions.schema[k].dataType for k in keys}
+    copies = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("grain"), *[(F.col(k) if k in grain else F.lit(None)).cast(types[k]).alias(k) for k in keys])
+        for i, grain in enumerate(grains)
+    ])).alias("_key")
+    by = [F.col(f"_key.{k}").alias(k) for k in ("grain", *keys)]
+    return Packed(sessions.select("*", copies).groupBy(*by).agg(array), tuple(measures))
+
+
 def station_rollup(sessions: DataFrame) -> DataFrame:
     """Volume per station; sessions without a station are in no group."""
     return (
