@@ -1,8 +1,8 @@
 """Ten integrity rules over the raw tables. Rows are flagged, never dropped.
 
-Rules 1 to 8 and 10 look at sessions, rule 9 at chargers. Only the duplicate
-rule needs the sessions shuffled; the key checks need two joins against the
-dimension tables, which Spark broadcasts where they are small.
+Rules 1 to 8 and 10 look at sessions, rule 9 at chargers. The key rules depend on the
+station and the charger of a session alone, so they are checked once per pair, against the dimension
+tables; rows are joined once, to the list of violating pairs.
 """
 
 from __future__ import annotations
@@ -80,6 +80,22 @@ def _key_flags(t: Tables, rows: DataFrame) -> DataFrame:
     return joined.withColumns(flags).drop("known_station", "known_charger", "expected_station")
 
 
+def _with_key_flags(t: Tables, rows: DataFrame) -> DataFrame:
+    """``rows`` of the sessions with the key rules, by one null-safe join to the pairs that violate any.
+
+    The list has a row for each such pair at most, so a hot pair, or NULL, is split by AQE's skew join.
+    """
+    any_rule = F.lit(False)
+    for rule in KEY_RULES:
+        any_rule = any_rule | F.col(rule)
+    bad = _key_flags(t, _pairs(t)).filter(any_rule).select(
+        F.col("station_id").alias("bad_station"), F.col("charger_id").alias("bad_charger"), *KEY_RULES
+    )
+    same = F.col("station_id").eqNullSafe(F.col("bad_station")) & F.col("charger_id").eqNullSafe(F.col("bad_charger"))
+    joined = rows.join(bad, same, "left").drop("bad_station", "bad_charger")
+    return joined.withColumns({rule: F.coalesce(rule, F.lit(False)) for rule in KEY_RULES})
+
+
 def _one_rule(rule: str, counted: DataFrame) -> DataFrame:
     return counted.select(F.lit(RULES[rule][0]).alias("rule"), F.col("violations").cast("long").alias("violations"))
 
@@ -196,7 +212,7 @@ def dq_summary(t: Tables) -> DataFrame:
     """
     flags = _local_flags(t.sessions)
     base = t.sessions.select("session_id", "station_id", "charger_id", *[f.alias(n) for n, f in flags.items()])
-    flagged = _key_flags(t, base)
+    flagged = _with_key_flags(t, base)
     others = [r for r in SESSION_RULES if r != "duplicate"]
     bad = F.lit(False)
     for r in others:
@@ -234,7 +250,7 @@ def dq_flags(t: Tables) -> DataFrame:
     skew join, the list side having one row for it.
     """
     flags = _local_flags(t.sessions)
-    flagged = _key_flags(t, t.sessions.select("*", *[f.alias(n) for n, f in flags.items()]))
+    flagged = _with_key_flags(t, t.sessions.select("*", *[f.alias(n) for n, f in flags.items()]))
     copies = (
         t.sessions.groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"))
         .filter(F.col("rows") > 1)
