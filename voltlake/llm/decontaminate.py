@@ -1,21 +1,21 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items become word sequences. Runs of ``min_match`` words are hashed by Karp-Rabin;
-an equi-join on the hash pairs the places where a document and an item share such a seed. In each
-(document, item) pair the longest matching run of unmarked words is marked again and again, each time with
-the Karp-Rabin hashes of ever shorter runs, until no run of ``min_match`` words is left. Tiles do not
-overlap and may come in any order, so a passage with its sentences shuffled is covered like the original.
+an equi-join on the hash pairs the places where a document and an item share such a seed. Seeds in a row on
+one diagonal are one longer match, so the hashes of longer runs need not be made. In each (document, item)
+pair the longest match of unmarked words is marked again and again, until none of ``min_match`` words is
+left; a match that lost words to a longer one goes on with what is left of it. Tiles do not overlap and may come in any order, so a passage with its sentences shuffled is covered like the original.
 An item's coverage is the share of its words under tiles.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import gram_hashes, word_hashes
@@ -94,17 +94,21 @@ def tiles(matches: list[tuple[int, int]], size: int) -> list[tuple[int, int, int
     what is left of a match that lost words is tried again if it has ``size`` words or more. Returns
     (place in the document, place in the item, words).
     """
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    runs: dict[int, list[list[int]]] = defaultdict(list)
     for d, i in sorted(set(matches)):
         line = runs[d - i]
-        if line and line[-1][0] + line[-1][1] - size + 1 == d:
-            line[-1] = line[-1][0], line[-1][1] + 1
+        if line and line[-1][0] + line[-1][2] == d:
+            line[-1][2] += 1
         else:
-            line.append((d, size))
+            line.append([d, i, 1])
+    return tiles_of_runs([tuple(run) for line in runs.values() for run in line], size)
+
+
+def tiles_of_runs(runs: Iterable[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """:func:`tiles` of runs of seeds: (place in the document, place in the item, seeds in a row)."""
     by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for shift, line in runs.items():
-        for d, length in line:
-            by_length[length].append((d, d - shift))
+    for d, i, seeds in runs:
+        by_length[seeds + size - 1].append((d, i))
     marked_d: set[int] = set()
     marked_i: set[int] = set()
     found = []
@@ -138,25 +142,29 @@ def contamination(
     Words are compared in lower case without punctuation. An item of fewer than ``min_match`` words, or
     with a null text, has no seed and is never covered. Repeated rows of a document or an item count as
     one place list each (keys are expected to be unique). Documents are read once; only seed places that
-    pass a bit filter of the benchmark are shuffled. One group holds the seeds one document shares with
-    one item, however many documents share a passage.
+    pass a bit filter of the benchmark are shuffled. One group holds the runs of seeds that one document shares with
+    one item, however many documents share a passage; seeds in a row are one run before they meet in it, so
+    repeated words make as many runs as there are diagonals, not as there are pairs of places.
     """
     seeds = _grams(benchmark, item, item_text, min_match, None).select(
         F.col(item).alias("item_id"), F.col("place").alias("item_place"), F.col("n_words").alias("item_words"), "gram",
     ).distinct()
     hits = _grams(docs, key, text, min_match, _filter(seeds)).select(F.col(key).alias("doc_key"), "place", "gram")
-    pairs = (
-        hits.join(seeds, "gram")
-        .groupBy("doc_key", "item_id", "item_words")
-        .agg(F.collect_list(F.struct("place", "item_place")).alias("places"))
+    pair = ["doc_key", "item_id", "item_words"]
+    diagonal = F.col("place") - F.col("item_place")
+    matches = hits.join(seeds, "gram").select(*pair, "place", "item_place").distinct()
+    nth = F.row_number().over(Window.partitionBy(*pair, diagonal).orderBy("place"))
+    runs = matches.withColumn("run", F.col("place") - nth).groupBy(*pair, diagonal.alias("diagonal"), "run").agg(
+        F.min("place").alias("place"), F.min("item_place").alias("item_place"), F.count(F.lit(1)).cast("int").alias("seeds"),
     )
+    pairs = runs.groupBy(*pair).agg(F.collect_list(F.struct("place", "item_place", "seeds")).alias("runs"))
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("doc_key", "item_id")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                tiles([(p["place"], p["item_place"]) for p in places], min_match)
-                for places in batch.column("places").to_pylist()
+                tiles_of_runs([(r["place"], r["item_place"], r["seeds"]) for r in own], min_match)
+                for own in batch.column("runs").to_pylist()
             ]
             covered = np.array([sum(t[2] for t in own) for own in found], np.int32)
             words = batch.column("item_words").to_numpy()
@@ -174,6 +182,12 @@ def contamination(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **limits) -> DataFrame:
-    """``docs`` without those that cover an item; columns as given."""
-    bad = contamination(docs, benchmark, text, key, **limits).select(key).distinct()
-    return docs.join(bad, key, "left_anti").select(*docs.columns)
+    """``docs`` without the rows that cover an item; columns as given.
+
+    A row is known by its key and its text (two 64-bit hashes of it), so a null or repeated key neither saves a
+    row that covers an item nor takes a clean one along.
+    """
+    row = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("row"), text).alias("h2"))
+    bad = contamination(docs.select(row.alias("row"), F.col(text).alias("row_text")), benchmark, "row_text", "row", **limits)
+    bad = bad.select(F.col("row").alias("bad_row")).distinct()
+    return docs.select(F.struct("*").alias("doc"), row.alias("row")).join(bad, F.col("row") == F.col("bad_row"), "left_anti").select("doc.*")

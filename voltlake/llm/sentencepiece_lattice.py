@@ -108,15 +108,23 @@ class PieceModel:
         return ends
 
     def nbest_unit(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of one unit (score, ids) by backward A*, best first."""
+        """The n best segmentations of one unit (score, ids) by backward A*, best first.
+
+        Each of the n best has one of the n best ways from the end to every position on it, so a position that
+        has been taken off the queue n times is done; where many segmentations tie, the search would else
+        take up every one of them.
+        """
         ends = self.edges(unit)
         forward = [0.0] + [-inf] * len(unit)
         for end, found in enumerate(ends, 1):
             forward[end] = max(forward[start] + score for start, score, _ in found)
         queue: list[tuple] = [(-forward[-1], 0, len(unit), 0.0, ())]
-        best, order = [], 1
+        best, order, taken = [], 1, [0] * (len(unit) + 1)
         while queue and len(best) < n:
             _, _, end, behind, path = heapq.heappop(queue)
+            taken[end] += 1
+            if taken[end] > n:
+                continue
             if end == 0:
                 ids: list[int] = []
                 while path:
