@@ -7,9 +7,10 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from test_operators import documents, prose
-from voltlake.llm import decontaminate, sentencepiece_lattice
+from voltlake.llm import decontaminate, fuzzy_lines, sentencepiece_lattice
 
 MODEL = sentencepiece_lattice.DEFAULT_MODEL
 
@@ -91,3 +92,59 @@ def test_null_and_repeated_keys_in_decontamination(spark):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(0, texts[1]), (7, texts[2]), (0, ""), (0, "")])
     assert decontaminate.decontaminate(docs, benchmark.limit(0)).count() == 6
     assert decontaminate.decontaminate(docs.limit(0), benchmark).count() == 0
+
+
+def test_rows_that_share_a_key_lose_no_lines(spark):
+    texts, ids = ["first line here\nunique line B", "another line C\nfirst line here", "first line here", "first line here"], [1, 1, None, 2]
+    rows = fuzzy_lines.line_report(documents(spark, texts, ids)).collect()
+    kept = sorted(r["dedup_text"] for r in rows if r["doc_id"] == 1)
+    assert [len(t.split("\n")) for t in kept] in ([1, 2], [2, 1]) and "unique line B" in "\n".join(kept) and "another line C" in "\n".join(kept)
+    assert "\n".join(kept).count("first line here") == 1
+    assert [r["dedup_text"] for r in rows if r["doc_id"] is None] == ["first line here"] and [r["dedup_text"] for r in rows if r["doc_id"] == 2] == [""]
+
+
+def test_columns_named_as_helpers_stay(spark):
+    docs = documents(spark, ["one line of words\nown", "one line of words"])
+    for name in ("_kept", "_lines", "doc", "lines", "kept", "row", "place", "places", "key", "rejoined"):
+        docs = docs.withColumn(name, F.lit(7))
+    got = fuzzy_lines.deduplicate(docs)
+    assert got.columns == docs.columns
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows[1]["text"] == "" and rows[0]["n_chars"] == 21 and all(rows[0][n] == 7 for n in ("_kept", "_lines", "doc", "kept", "row"))
+
+
+def test_repeated_rows_count_as_one_document(spark):
+    texts, ids = ["same line of text\nsame line of text"] * 3, [5, 5, 6]
+    rows = fuzzy_lines.line_report(documents(spark, texts, ids)).collect()
+    assert sorted((r["doc_id"], r["dedup_text"]) for r in rows) == [(5, "same line of text")] * 2 + [(6, "")]
+
+
+def plain_lines(texts, similarity=0.8):
+    """Kept lines of documents 0, 1, ... by looking at all pairs of lines."""
+    places = [(d, p, line) for d, t in enumerate(texts) for p, line in enumerate(t.split("\n")) if line.strip()]
+    sets = [{low[k:k + 5] for k in range(max(1, len(low) - 4))} for low in (line.lower() for _, _, line in places)]
+    root = list(range(len(places)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(places)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    gone = {places[k][:2] for k in range(len(places)) if find(k) != k}
+    return ["\n".join(line for p, line in enumerate(t.split("\n")) if (d, p) not in gone) for d, t in enumerate(texts)]
+
+
+def test_lines_match_brute_force(spark):
+    """Edits far from the limit, where banding finds all: small ones near 1, large ones well below 0.8."""
+    draw, texts = random.Random(12), []
+    for k in range(25):
+        lines = [prose(100 + draw.randrange(12), 30) for _ in range(4)] + ["menu", "", "a longer line about something else"]
+        lines.append(prose(100 + draw.randrange(12), 30) + draw.choice(["", "s", " x", " 🙂"]))
+        texts.append("\n".join(draw.sample(lines, len(lines))))
+    rows = {r["doc_id"]: r["dedup_text"] for r in fuzzy_lines.line_report(documents(spark, texts), min_chars=1).collect()}
+    assert [rows[k] for k in range(len(texts))] == plain_lines(texts)

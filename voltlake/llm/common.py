@@ -57,6 +57,15 @@ def free(*tables: DataFrame) -> None:
             place.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let the executors delete the shuffle files of finished steps.
+
+    Spark deletes them when the driver's garbage collector meets what stood for them, which a driver with
+    little to do may not run for a long time.
+    """
+    spark._jvm.System.gc()
+
+
 def clean_text(text: str = "text") -> Column:
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(text), F.lit(""))
@@ -73,13 +82,14 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     Alternating large and small stars: each round links every node's larger (then smaller) neighbours to
     its smallest one. Both are an aggregate with map-side combine and a join on the node, which AQE
     splits where one node has a large share of the edges. Rounds end when the edges no longer change;
-    each is written, so the plan stays flat. Self-loops, repeated and null edges are ignored; nodes
+    each is written, so the plan stays flat, and then the one before is deleted. Self-loops, repeated and null edges are ignored; nodes
     without another node do not appear in the result.
     """
     edges = stored(_ordered(edges), name)
     mark = _mark(edges)
     for _ in range(max_rounds):
-        edges = stored(_small_star(_large_star(edges)), name)
+        before, edges = edges, stored(_small_star(_large_star(edges)), name)
+        free(before)
         last, mark = mark, _mark(edges)
         if mark == last:
             nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

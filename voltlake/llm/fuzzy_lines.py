@@ -4,8 +4,9 @@ A line's shingles are all its windows of ``WIDTH`` characters, one at every posi
 line is one shingle). Its signature is the bottom of their hashes: the ``BOTTOM`` smallest, of which each
 ``RUN`` in a row make a band key, and each two in a row as well where a line has less than ``FEW`` shingles.
 Lines of Jaccard 0.8 share a key with a chance of about 0.98. Lines that share a key are compared by the
-whole sets of their shingles. Everything is DataFrame expressions; a line is known by the 64-bit hash of
-its text.
+whole sets of their shingles. Everything is DataFrame expressions. Equal lines are one line from the start: each
+distinct text is signed once and has a number; occurrences find theirs by two 64-bit hashes. Tables and shuffles
+of a step are deleted once the next has been written.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, bucket_candidates, component_sizes, components, small_side, stored
+from .common import bound, bucket_candidates, component_sizes, components, forget_shuffles, free, small_side, stored
 
 WIDTH = 5
 BOTTOM = 20
@@ -25,8 +26,11 @@ MIN_CHARS = 4
 
 def _shingles(line: str) -> Column:
     """Hashes of the windows at every character, each once."""
-    window = rf"(?s)(?=(.{{{WIDTH}}}|^.{{1,{WIDTH - 1}}}\z))"
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(window), 1), lambda s: F.xxhash64(s)))
+    def windows(chars: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - WIDTH, F.lit(0)))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(chars, i + k) for k in range(WIDTH)])))
+
+    return bound(F.transform(F.split(F.lower(line), ""), lambda c: F.xxhash64(c)), windows)
 
 
 def _runs(least: Column, length: int) -> Column:
@@ -48,13 +52,22 @@ def _signature(shingles: Column) -> Column:
     return bound(shingles, signed)
 
 
+def _row(text: str) -> Column:
+    """Tells rows of one key apart."""
+    return F.xxhash64(F.col(text))
+
+
 def _occurrences(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
-    """doc, place (from 0), line of every line that is not blank and long enough to be compared."""
-    return docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n"))).select(
-        "doc", F.col("pos").alias("place"), F.col("col").alias("line"),
+    """doc, row, place (from 0), line of every line that is not blank and long enough to be compared."""
+    return docs.select(F.col(key).alias("doc"), _row(text).alias("row"), F.posexplode(F.split(text, "\n"))).select(
+        "doc", "row", F.col("pos").alias("place"), F.col("col").alias("line"),
     ).where((F.length(F.trim("line")) >= min_chars) & F.rlike("line", F.lit(r"[^\s\p{Z}]")))
 
 
+def _hashes() -> list[Column]:
+    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")]
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """Edges (u, v) of the pairs of ``lines`` (id, line) whose shingle sets have at least this Jaccard likeness."""
     one = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
@@ -68,61 +81,81 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     )
 
 
-def line_links(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS,
-) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (doc, place, id) of all compared lines, and components (node, component) of linked line ids."""
-    lines = _occurrences(docs, text, key, min_chars)
-    signed = stored(lines.select(
-        "doc", "place", F.xxhash64("line").alias("id"), _signature(_shingles("line")).alias("signature"),
-    ).select("doc", "place", "id", "signature.n", "signature.keys"), "lines")
+def _linked(texts: DataFrame, similarity: float) -> DataFrame:
+    """Components (node, component) of the numbers of the distinct lines ``texts`` (id, line) that are near copies."""
+    spark = texts.sparkSession
+    signature = _signature(_shingles("line")).alias("signature")
+    signed = stored(texts.select("id", signature).select("id", "signature.n", "signature.keys"), "line-signatures")
     members = signed.select("id", "n", F.explode("keys").alias("key"))
     crowded = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    crowded = small_side(stored(crowded, "line-keys"))
-    buckets = members.join(crowded, "key").distinct().withColumn("rest", F.col("n"))
-    buckets = stored(buckets, "line-buckets")
-    wanted = small_side(stored(buckets.select("id").distinct(), "line-ids"))
-    seen = lines.select(F.xxhash64("line").alias("id"), "line").join(wanted, "id", "left_semi")
-    seen = stored(seen.groupBy("id").agg(F.min("line").alias("line")), "line-texts")
-    edges = stored(_verified(bucket_candidates(buckets, None, similarity), seen, similarity), "line-edges")
-    known = component_sizes(components(edges, "line-components"))
-    more = stored(_verified(bucket_candidates(buckets, known, similarity), seen, similarity), "line-edges")
-    return signed.select("doc", "place", "id"), components(edges.unionByName(more), "line-components")
+    keys = stored(crowded, "line-keys")
+    buckets = stored(members.join(small_side(keys), "key").distinct().withColumn("rest", F.col("n")), "line-buckets")
+    free(signed, keys)
+    forget_shuffles(spark)
+
+    def alike(known: DataFrame | None) -> DataFrame:
+        pairs = stored(bucket_candidates(buckets, known, similarity), "line-pairs")
+        forget_shuffles(spark)
+        edges = stored(_verified(pairs, texts, similarity), "line-edges")
+        free(pairs)
+        forget_shuffles(spark)
+        return edges
+
+    first = alike(None)
+    found = components(first, "line-components")
+    known = component_sizes(found)
+    more = alike(known)
+    free(buckets, found, known)
+    linked = components(first.unionByName(more), "line-components")
+    free(first, more)
+    return linked
 
 
 def repeated_lines(
     docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS,
 ) -> DataFrame:
-    """Per document with lines to drop: doc, places (from 0, sorted). The line with the least (doc, place) stays."""
-    occurrences, linked = line_links(docs, text, key, similarity, min_chars)
-    grouped = occurrences.join(linked, occurrences.id == linked.node, "left").select(
-        "doc", "place", F.coalesce("component", "id").alias("group"),
-    )
-    # the first document of each group, then the first place within it: plain minima, combined before the shuffle
-    first_doc = grouped.groupBy("group").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first_doc = small_side(stored(first_doc.select("group", "first_doc"), "line-first"))
-    repeated = grouped.join(first_doc, "group")
-    inside = (
-        repeated.where("doc = first_doc").groupBy("group").agg(F.min("place").alias("first_place"))
-    )
-    inside = small_side(stored(inside, "line-place"))
-    dropped = repeated.join(inside, "group").where("doc != first_doc or place != first_place")
-    return dropped.groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    """Per row with lines to drop: doc, row (hash of its text), places (from 0, sorted).
+
+    Of a group the line with the least (doc, row, place) stays. A written table.
+    """
+    lines = _occurrences(docs, text, key, min_chars)
+    distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
+    texts = stored(distinct.select(F.monotonically_increasing_id().alias("id"), *_hashes(), "copies", "line"), "line-texts")
+    forget_shuffles(docs.sparkSession)
+    linked = _linked(texts.select("id", "line"), similarity)
+    groups = texts.join(linked, texts.id == linked.node, "left").where("copies > 1 or component is not null")
+    groups = stored(groups.select("h1", "h2", F.coalesce("component", "id").alias("group")), "line-groups")
+    free(texts, linked)
+    grouped = lines.select("doc", "row", "place", *_hashes()).join(small_side(groups), ["h1", "h2"])
+    grouped = stored(grouped.select("doc", "row", "place", "group"), "line-repeats")
+    # the first key of each group, then its first row, then the place there: plain minima, combined before the shuffle
+    rest = grouped
+    for column in ("doc", "row", "place"):
+        first = rest.groupBy("group").agg(F.min(column).alias("first"))
+        rest = rest.join(first, "group").where(F.col(column) == F.col("first")).drop("first")
+    kept = rest.select("group", F.col("doc").alias("kept_doc"), F.col("row").alias("kept_row"), F.col("place").alias("kept_place")).distinct()
+    dropped = grouped.join(kept, "group").where("doc != kept_doc or row != kept_row or place != kept_place")
+    drops = stored(dropped.groupBy("doc", "row").agg(F.sort_array(F.collect_set("place")).alias("places")), "line-drops")
+    free(groups, grouped)
+    return drops
 
 
 def _kept(docs: DataFrame, text: str, key: str, similarity: float, min_chars: int) -> DataFrame:
-    """``docs`` with its lines (_lines) and the places that stay (_kept)."""
-    places = small_side(stored(repeated_lines(docs, text, key, similarity, min_chars), "line-drops"), 300_000)
-    places = places.select(F.col("doc").alias("_doc"), F.col("places").alias("_places"))
-    lines = docs.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    return lines.join(places, F.col(key) == F.col("_doc"), "left").withColumn(
-        "_kept", F.when(F.col("_places").isNull(), every).otherwise(F.array_except(every, "_places")),
-    ).drop("_doc", "_places")
+    """doc (the row as it is), lines and the places that stay (kept)."""
+    drops = repeated_lines(docs, text, key, similarity, min_chars).select(
+        F.col("doc").alias("drop_doc"), F.col("row").alias("drop_row"), "places")
+    rows = docs.select(
+        F.struct("*").alias("doc"), F.col(key).alias("key"), _row(text).alias("row"),
+        F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"),
+    )
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    return rows.join(drops, (F.col("key") == F.col("drop_doc")) & (F.col("row") == F.col("drop_row")), "left").select(
+        "doc", "lines", F.when(F.col("places").isNull(), every).otherwise(F.array_except(every, "places")).alias("kept"),
+    )
 
 
 def _rejoined() -> Column:
-    return bound(F.col("_lines"), lambda lines: F.array_join(F.transform("_kept", lambda i: F.get(lines, i)), "\n"))
+    return bound(F.col("lines"), lambda lines: F.array_join(F.transform("kept", lambda i: F.get(lines, i)), "\n"))
 
 
 def line_report(
@@ -133,11 +166,11 @@ def line_report(
     Of all lines that a chain of near copies connects, across and within documents, the one with the
     least (``key``, place) stays. Blank lines and lines of fewer than ``min_chars`` characters are structure
     and always stay; with 1, every other line takes part. Null and empty texts are one empty line. Rows with the same key and text
-    count as one document; a null key takes no part in comparisons across rows that it could lose.
+    count as one document; a null key takes no part in comparisons across rows that it could lose. Rows that share a key only are separate.
     """
     rest = _kept(docs.select(key, text), text, key, similarity, min_chars)
     return rest.select(
-        key, F.size("_lines").alias("n_lines"), (F.size("_lines") - F.size("_kept")).alias("n_dropped"),
+        F.col("doc")[key].alias(key), F.size("lines").alias("n_lines"), (F.size("lines") - F.size("kept")).alias("n_dropped"),
         _rejoined().alias("dedup_text"),
     )
 
@@ -146,8 +179,9 @@ def deduplicate(
     docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS,
 ) -> DataFrame:
     """``docs`` without the dropped lines; a document may become empty but stays. n_chars, if there, is counted anew."""
-    rest = _kept(docs, text, key, similarity, min_chars)
-    rest = rest.withColumn(text, F.when(F.col(text).isNotNull(), _rejoined()))
-    if "n_chars" in docs.columns:
-        rest = rest.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return rest.select(*docs.columns)
+    rest = _kept(docs, text, key, similarity, min_chars).select(
+        "doc", F.when(F.col("doc")[text].isNotNull(), _rejoined()).alias("rejoined"))
+    columns = {c: F.col("doc")[c] for c in docs.columns} | {text: F.col("rejoined")}
+    if "n_chars" in columns and text != "n_chars":
+        columns["n_chars"] = F.length("rejoined").cast(docs.schema["n_chars"].dataType)
+    return rest.select(*[value.alias(c) for c, value in columns.items()])
