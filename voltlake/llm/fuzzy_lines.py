@@ -25,12 +25,12 @@ MIN_CHARS = 4
 
 
 def _shingles(line: str) -> Column:
-    """Hashes of the windows at every character, each once."""
+    """Hashes of the windows at every character (four bytes each), each once."""
     def windows(chars: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - WIDTH, F.lit(0)))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(chars, i + k) for k in range(WIDTH)])))
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(chars) - (4 * WIDTH - 1), F.lit(1)), F.lit(4))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(chars, i, F.lit(4 * WIDTH)))))
 
-    return bound(F.transform(F.split(F.lower(line), ""), lambda c: F.xxhash64(c)), windows)
+    return bound(F.encode(F.lower(line), "UTF-32"), windows)
 
 
 def _runs(least: Column, length: int) -> Column:
