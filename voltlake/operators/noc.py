@@ -107,16 +107,35 @@ def noc_station_health(
     )
 
 
-def _exact_moments(name: str, whole: Column, scale: float) -> list[Column]:
-    """Mean and sample deviation of ``whole`` / ``scale``, by sums of whole numbers."""
-    n = F.count(whole)
-    total = F.sum(whole.cast("decimal(20,0)"))
-    squares = F.sum((whole.cast("decimal(19,0)") * whole.cast("decimal(19,0)")).cast("decimal(38,0)"))
-    # n * squares - total ** 2 in DOUBLE of exact terms: one rounding each
-    mean = total.cast("double") / n
-    spread = F.greatest(squares.cast("double") - total.cast("double") * mean, F.lit(0.0))
-    deviation = F.when(n > 1, F.sqrt(F.try_divide(spread, (n - 1).cast("double"))))
-    return [(mean / scale).alias(f"mean_{name}"), (deviation / scale).alias(f"sd_{name}")]
+def _exact_sums(name: str, whole: Column) -> list[Column]:
+    """Count, sum and sum of squares of a column of whole numbers."""
+    square = (whole.cast("decimal(19,0)") * whole.cast("decimal(19,0)")).cast("decimal(38,0)")
+    return [
+        F.count(whole).cast("decimal(19,0)").alias(f"n_{name}"),
+        F.sum(whole.cast("decimal(20,0)")).cast("decimal(28,0)").alias(f"sum_{name}"),
+        F.sum(square).cast("decimal(38,0)").alias(f"squares_{name}"),
+    ]
+
+
+def _moments(sums: DataFrame, names: dict[str, float]) -> DataFrame:
+    """One row: mean and sample deviation of each column, whose whole numbers are its values times a scale.
+
+    With the whole part q of the mean and the rest r = sum - q * n, the squared distances from q add up to
+    squares - q * (sum + r), and those from the mean to that less r * r / n. As a square of a whole number is not
+    less than the number, this is a whole number (that sum less r) and r * (n - r) / n, neither below 0: nothing
+    cancels, however small the spread is beside the mean.
+    """
+    for name in names:
+        n, total, squares = f"n_{name}", f"sum_{name}", f"squares_{name}"
+        sums = sums.withColumn("q", F.expr(f"CAST({total} div {n} - CASE WHEN {total} % {n} < 0 THEN 1 ELSE 0 END AS DECIMAL(19,0))"))
+        sums = sums.withColumn("r", F.expr(f"CAST({total} - q * {n} AS DECIMAL(19,0))"))
+        scale = f"{float(names[name])!r}D"
+        spread = f"CAST({squares} - q * ({total} + r) - r AS DOUBLE) + CAST(r AS DOUBLE) * (CAST({n} - r AS DOUBLE) / CAST({n} AS DOUBLE))"
+        sums = sums.withColumns({
+            f"mean_{name}": F.expr(f"(CAST(q AS DOUBLE) + CAST(r AS DOUBLE) / CAST({n} AS DOUBLE)) / {scale}"),
+            f"sd_{name}": F.expr(f"CASE WHEN {n} > 1 THEN sqrt(({spread}) / CAST({n} - 1 AS DOUBLE)) / {scale} END"),
+        })
+    return sums
 
 
 def noc_zscore_behavior(
@@ -127,14 +146,17 @@ def noc_zscore_behavior(
 
     Mean and sample deviation of the whole set come as one scalar row, not from a
     window over the set: from the count, the exact sum and the exact sum of squares in
-    minutes and units, so neither they nor a label at a threshold depend on the order
-    in which partitions are merged.
+    minutes and units, without a difference of rounded numbers.
     """
     s = noc_sessions(t, flt)
-    stats = s.agg(F.struct(
-        *_exact_moments("duration_hrs", F.rint(F.col("duration_hrs") * 60.0).cast("long"), 60.0),
-        *_exact_moments("energy_kwh", m.units("energy_kwh"), float(m.SCALE)),
-    ).alias("s")).scalar()
+    sums = s.agg(
+        *_exact_sums("duration_hrs", F.rint(F.col("duration_hrs") * 60.0).cast("long")),
+        *_exact_sums("energy_kwh", m.units("energy_kwh")),
+    )
+    names = {"duration_hrs": 60.0, "energy_kwh": float(m.SCALE)}
+    # no value: the divisor is NULL, and so is all else
+    sums = sums.withColumns({f"n_{k}": F.expr(f"nullif(n_{k}, 0)") for k in names})
+    stats = _moments(sums, names).select(F.struct(*[f"{part}_{k}" for part in ("mean", "sd") for k in names]).alias("s")).scalar()
 
     def z(c: str):
         return F.try_divide(F.col(c) - F.col(f"s.mean_{c}"), F.col(f"s.sd_{c}"))
