@@ -74,6 +74,21 @@ def test_strict_and_lenient_timestamps(spark, tmp_path):
     assert got == {"Missing Values": 1, "Invalid Timestamps": 1}
 
 
+def test_broken_records_are_kept(spark, tmp_path):
+    path = _broken(tmp_path)
+    with open(f"{path}/charging_sessions.csv", "a") as file:
+        file.write("X4,S1,C1,K1,V,2025-01-01 10:00:00,2025-01-01 11:00:00,many,5.5,0.5,2.75,Completed,Paid\nX5,S1\n")
+        file.write("X6,S1,C1,K1,V,2025-01-01 10:00:00,2025-01-01 11:00:00,60,5.5,0.5,2.75,Completed,Paid,more\n")
+    raw = load_raw_tables(spark, path)
+    scan = {r["table_name"]: r for r in rows(quality.raw_scan(raw))}["charging_sessions"]
+    assert (scan["rows"], scan["unreadable"], scan["bad_timestamps"], scan["late_sessions"]) == (6, 3, 1, 1)
+    assert sorted(r["record"].split(",")[0] for r in rows(quality.unreadable_records(raw))) == ["X4", "X5", "X6"]
+    # what could be read of a broken record is there
+    assert raw.sessions.filter("session_id = 'X4'").first()["energy_kwh"] == 5.5
+    whole = Tables(raw.stations, raw.chargers, raw.sessions.drop("broken_record"))
+    assert rows(quality.raw_scan(whole))[-1]["unreadable"] == 0
+
+
 def ids(df):
     return sorted(r["session_id"] for r in df.collect())
 

@@ -61,3 +61,20 @@ FROM flagged
         **STEPS,
     ),
 }
+
+RAW_FAULT = """
+SELECT *, CASE WHEN session_id % 257 = 0 THEN 'number' WHEN session_id % 263 = 0 THEN 'short'
+  WHEN session_id % 269 = 0 THEN 'timestamp' WHEN session_id % 271 = 0 THEN 'early' END AS fault FROM sessions
+"""
+SQL |= {
+    "raw_scan": statement("""
+SELECT 'stations' AS table_name, count(*) AS rows, 0::BIGINT AS unreadable, 0::BIGINT AS bad_timestamps, 0::BIGINT AS late_sessions FROM stations
+UNION ALL SELECT 'chargers', count(*), 0, 0, 0 FROM chargers
+UNION ALL SELECT 'charging_sessions', count(*), count(*) FILTER (fault IN ('number', 'short')), count(*) FILTER (fault = 'timestamp'),
+  count(*) FILTER (fault = 'early') FROM raw_fault
+""", raw_fault=RAW_FAULT),
+    "unreadable_records": statement("""
+SELECT 'charging_sessions' AS table_name, CAST(session_id AS VARCHAR) AS session_id, CASE WHEN fault = 'short' THEN 5 ELSE 13 END::INTEGER AS fields
+FROM raw_fault WHERE fault IN ('number', 'short')
+""", raw_fault=RAW_FAULT),
+}

@@ -20,7 +20,7 @@ from voltlake.operators import (
     capacity, charger, customer, demand, geo, insights, model, network as net, noc, quality, reports, revenue, station,
 )
 from voltlake.sources.filters import GlobalFilter
-from voltlake.sources.tables import CHARGERS, SESSION_COLUMNS, STATIONS, Tables, load_tables, write_tables
+from voltlake.sources.tables import CHARGERS, SESSION_COLUMNS, STATIONS, Tables, load_raw_tables, load_tables, write_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -132,6 +132,37 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
+# What is wrong with the raw sessions, by session_id; the first that holds counts.
+RAW_FAULTS = {"number": 257, "short": 263, "timestamp": 269, "early": 271}
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> Tables:
+    """The network as CSV text without headers, with broken records, opened by the lenient reader. This runs the writing jobs."""
+    t, path = network(spark, sf_dir), shared_folder(spark)
+    t.stations.select(*STATIONS.names).write.csv(f"{path}/stations.csv")
+    t.chargers.withColumn("installation_date", F.lit(None).cast("date")).select(*CHARGERS.names).write.csv(f"{path}/chargers.csv")
+    fault = F.lit(None).cast("string")
+    for name, every in reversed(RAW_FAULTS.items()):
+        fault = F.when(F.col("session_id") % every == 0, name).otherwise(fault)
+    texts = {c: F.col(c).cast("string") for c in SESSION_COLUMNS}
+    texts["energy_kwh"] = F.when(F.col("fault") == "number", "n/a").otherwise(texts["energy_kwh"])
+    texts["start_time"] = F.when(F.col("fault") == "timestamp", "soon").otherwise(texts["start_time"])
+    texts["end_time"] = F.when(F.col("fault") == "early", F.col("start_time").cast("string")).otherwise(texts["end_time"])
+    line = F.concat_ws(",", *[F.coalesce(texts[c], F.lit("")) for c in SESSION_COLUMNS])
+    short = F.concat_ws(",", *[F.coalesce(texts[c], F.lit("")) for c in SESSION_COLUMNS[:5]])
+    lines = t.sessions.withColumn("fault", fault).select(F.when(F.col("fault") == "short", short).otherwise(line).alias("value"))
+    lines.write.text(f"{path}/charging_sessions.csv")
+    return load_raw_tables(spark, path, header=False)
+
+
+def _unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First field and number of fields of every broken record."""
+    fields = F.split("record", ",")
+    return quality.unreadable_records(_raw(spark, sf_dir)).select(
+        "table_name", fields[0].alias("session_id"), F.size(fields).alias("fields")
+    )
+
+
 def _performance_of_stored(fmt: str, ids: str) -> Query:
     """Station performance on tables that went through a file format; CSV ids come back as text."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +193,8 @@ def queries() -> dict[str, Query]:
     named = {op.__name__: _query(op, network) for op in OPERATORS}
     named.update({op.__name__: _query(op, faulty_network) for op in QUALITY})
     named["noc_station_filter"] = _highway_stations
+    named["raw_scan"] = _query(quality.raw_scan, _raw)
+    named["unreadable_records"] = _unreadable
     named["write_tables"] = _written
     named["csv_station_performance"] = _performance_of_stored("csv", "long")
     named["parquet_station_performance"] = _performance_of_stored("parquet", "long")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlake.functions import measures as m
-from voltlake.sources.tables import SESSION_COLUMNS, Tables
+from voltlake.sources.tables import BROKEN, SESSION_COLUMNS, Tables
 
 # Rule names, in rule order; descriptions are ours.
 RULES = {
@@ -264,3 +264,47 @@ def dq_flags(t: Tables) -> DataFrame:
     return joined.select(
         "session_id", "station_id", "charger_id", "start_time", *SESSION_RULES, invalid.alias("is_invalid")
     )
+
+
+def _text_moments(df: DataFrame) -> list[Column]:
+    """Timestamp columns that are still text and do not parse, as flags."""
+    return [
+        F.col(f.name).isNotNull() & F.col(f.name).try_cast("timestamp_ntz").isNull()
+        for f in df.schema if f.name in ("start_time", "end_time") and isinstance(f.dataType, T.StringType)
+    ]
+
+
+def raw_scan(t: Tables) -> DataFrame:
+    """Per table: rows, records that did not fit the schema, rows with an unparsable timestamp, sessions that end too early.
+
+    For tables of ``load_raw_tables``; each is read once. A timestamp that does not parse counts as missing in the
+    quality rules, so it is counted here on its own.
+    """
+    parts = []
+    for name, df in (("stations", t.stations), ("chargers", t.chargers), ("charging_sessions", t.sessions)):
+        broken = F.col(BROKEN).isNotNull() if BROKEN in df.columns else F.lit(False)
+        unparsed = F.lit(False)
+        for flag in _text_moments(df):
+            unparsed = unparsed | flag
+        late = F.lit(False)
+        if "end_time" in df.columns:
+            late = F.coalesce(_moment(df, "start_time") >= _moment(df, "end_time"), F.lit(False))
+        parts.append(df.agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(broken).alias("unreadable"),
+            F.count_if(unparsed).alias("bad_timestamps"), F.count_if(late).alias("late_sessions"),
+        ).select(F.lit(name).alias("table_name"), "*"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def unreadable_records(t: Tables) -> DataFrame:
+    """Every record that did not fit its schema: table_name and the line as it was."""
+    parts = [
+        df.filter(F.col(BROKEN).isNotNull()).select(F.lit(name).alias("table_name"), F.col(BROKEN).alias("record"))
+        for name, df in (("stations", t.stations), ("chargers", t.chargers), ("charging_sessions", t.sessions)) if BROKEN in df.columns
+    ]
+    if not parts:
+        return t.sessions.sparkSession.createDataFrame([], "table_name string, record string")
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    return found

@@ -50,6 +50,8 @@ SESSIONS = T.StructType([
 SESSION_COLUMNS = tuple(SESSIONS.names)
 FILES = {"stations": STATIONS, "chargers": CHARGERS, "charging_sessions": SESSIONS}
 MONTH_PARTITION = "start_month"
+#: Of raw CSV tables: the line of a record that does not fit the schema, else NULL.
+BROKEN = "broken_record"
 
 
 @dataclass(frozen=True)
@@ -93,22 +95,44 @@ def _location(path: str, name: str, fmt: str) -> str:
     return f"{path.rstrip('/')}/{name}.csv" if fmt == "csv" else f"{path.rstrip('/')}/{name}"
 
 
-def _read(spark: SparkSession, path: str, name: str, fmt: str, schema: T.StructType, strict: bool) -> DataFrame:
+def _read(
+    spark: SparkSession, path: str, name: str, fmt: str, schema: T.StructType, strict: bool, header: bool = True
+) -> DataFrame:
     if fmt == "parquet":
         # The files' own types: ids may be text or numbers. The month directories stay a column, for pruning.
         table = spark.read.parquet(_location(path, name, fmt))
         return table.select(*[c for c in (*schema.names, MONTH_PARTITION) if c in table.columns])
     if fmt != "csv":
         raise ValueError("fmt must be 'csv' or 'parquet'")
+    if not strict:
+        return _rescued(spark, _location(path, name, fmt), schema, header)
     return (
-        spark.read.schema(schema).option("header", True)
+        spark.read.schema(schema).option("header", header)
         .option("timestampNTZFormat", TIMESTAMP_FORMAT)
         .option("dateFormat", DATE_FORMAT)
-        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        .option("mode", "FAILFAST")
         .csv(_location(path, name, fmt))
     )
 
 
+def _rescued(spark: SparkSession, location: str, schema: T.StructType, header: bool) -> DataFrame:
+    """Lines of CSV as columns, with the line itself in ``BROKEN`` where it does not fit.
+
+    The CSV source converts only the columns a query asks for, so a record would be broken in one query and whole
+    in another. Here every line is parsed whole, whatever is asked for. A header is a line of the schema's names.
+    """
+    lines = spark.read.text(location).filter(F.length(F.trim("value")) > 0)
+    if header:
+        lines = lines.filter(F.col("value") != ",".join(schema.names))
+    fields = T.StructType([*schema, T.StructField(BROKEN, T.StringType())])
+    options = {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN,
+        "timestampNTZFormat": TIMESTAMP_FORMAT, "dateFormat": DATE_FORMAT,
+    }
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return lines.select(F.from_csv("value", typed, options).alias("record")).select("record.*")
+
+
 def load_tables(spark: SparkSession, path: str, fmt: str = "csv") -> Tables:
     """Typed tables, of CSV or of what :func:`write_tables` wrote as parquet.
 
@@ -121,14 +145,18 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "csv") -> Tables:
     return Tables(stations, chargers, sessions)
 
 
-def load_raw_tables(spark: SparkSession, path: str, fmt: str = "csv") -> Tables:
-    """Tables for the quality scan: start and end stay text, nothing is rejected on reading."""
+def load_raw_tables(spark: SparkSession, path: str, fmt: str = "csv", header: bool = True) -> Tables:
+    """Tables for the quality scan: start and end stay text, nothing is rejected on reading.
+
+    A CSV record that does not fit (a number that is none, too few or too many fields) comes back with what could be
+    read of it, NULL elsewhere, and its whole line in the column ``broken_record``.
+    """
     as_text = T.StructType([
         T.StructField(f.name, T.StringType()) if f.name in ("start_time", "end_time") else f for f in SESSIONS
     ])
     schemas = {**FILES, "charging_sessions": as_text if fmt == "csv" else SESSIONS}
     stations, chargers, sessions = (
-        _read(spark, path, name, fmt, schema, strict=False) for name, schema in schemas.items()
+        _read(spark, path, name, fmt, schema, strict=False, header=header) for name, schema in schemas.items()
     )
     return Tables(stations, chargers, sessions)
 
