@@ -43,11 +43,12 @@ def test_query_has_every_row(spark, name):
 
 
 def test_pipeline_is_its_stages(spark):
+    """Each stage by its own definition, over what the one before kept."""
     docs = table(spark, SF, "documents")
     model = toxicity.train(docs, table(spark, SF, "labels"))
     civil = docs.join(toxicity.score(docs, model).where("predicted = 0").select("doc_id"), "doc_id", "left_semi")
-    lines = fuzzy_lines.line_report(civil).selectExpr("doc_id", "dedup_text as text")
-    single = simhash.near_duplicates(lines).where("doc_id = component_id").select("doc_id")
+    lines = fuzzy_lines.line_report(civil, min_chars=1).selectExpr("doc_id", "dedup_text as text")
+    single = simhash.near_copies(lines).where("doc_id = component_id").select("doc_id")
     lines = lines.join(single, "doc_id", "left_semi")
     dirty = decontaminate.contamination(lines, table(spark, SF, "benchmark")).select("doc_id")
     want = {r["doc_id"] for r in lines.join(dirty, "doc_id", "left_anti").collect()}
