@@ -68,7 +68,8 @@ def main() -> None:
         for _ in range(repeat + 1):
             tables = load_tables(spark, f"{folder}/{kind}", "parquet")
             start = time.perf_counter()
-            run(operator, tables).collect()
+            # the rows are computed and dropped: bringing them to the driver would time Python
+            run(operator, tables).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         seconds[name] = round(min(runs[1:]), 3)
     spark.stop()
