@@ -1,8 +1,10 @@
 """Exact sums and guarded rates.
 
-Money and energy are summed as whole ten-thousandths in a BIGINT: the result
-does not depend on the order in which partitions are merged, and the partial
-aggregate stays in generated code (a DECIMAL(28, 4) buffer would not). A BIGINT
+Money and energy are summed in two BIGINT parts: whole ten-thousandths, and what a value has beyond
+them in hundred-millionths (-5,000 to 5,000, so that 10^15 rows fit). Nothing is rounded before it is
+summed, down to the eighth decimal; the result does not depend on the order in which partitions are
+merged, and the partial aggregate stays in generated code (a DECIMAL buffer would not). The two sums
+meet in one DECIMAL of eight decimals, one per group, which further sums keep exact. The first part
 holds 9.2e14 currency units or kWh; beyond that ANSI mode raises, it never wraps.
 
 Plain column names take the short way over a SQL expression: every Column call
@@ -15,6 +17,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCALE = 10_000
+FINE = SCALE * SCALE
+#: Type of an exact sum; sums of such sums widen it.
+EXACT = "decimal(24,8)"
 MINUTES_PER_DAY = 24 * 60
 INF = float("inf")
 
@@ -23,24 +28,52 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _units_sql(c: str) -> str:
-    return f"CAST(rint(nullif(CAST({c} AS DOUBLE), double('NaN')) * {SCALE}) AS BIGINT)"
+def _units_sql(c: str) -> tuple[str, str]:
+    """A value in ten-thousandths, and the rest in hundred-millionths; NaN is missing, as NULL is."""
+    value = f"nullif(CAST({c} AS DOUBLE), double('NaN'))"
+    near = f"rint({value} * {SCALE})"
+    return f"CAST({near} AS BIGINT)", f"CAST(rint(({value} - {near} / {float(SCALE)}D) * {FINE}) AS BIGINT)"
 
 
-def units(c: Column | str) -> Column:
-    """A money or energy value in whole ten-thousandths; NaN is missing, as NULL is."""
+def _units(c: Column | str) -> tuple[Column, Column]:
     if isinstance(c, str):
-        return F.expr(_units_sql(c))
-    value = _col(c).cast("double")
-    return F.when(~F.isnan(value), F.rint(value * SCALE)).cast("long")
+        first, rest = _units_sql(c)
+        return F.expr(first), F.expr(rest)
+    value = F.when(~F.isnan(_col(c).cast("double")), _col(c).cast("double"))
+    near = F.rint(value * SCALE)
+    return near.cast("long"), F.rint((value - near / F.lit(float(SCALE))) * FINE).cast("long")
 
 
-def sum_units(c: Column | str, when: Column | None = None) -> Column:
-    """Exact sum in ten-thousandths; 0 for no rows."""
+def fine_units(c: Column | str) -> Column:
+    """A money or energy value in whole hundred-millionths; NaN is missing, as NULL is."""
+    first, rest = _units(c)
+    return first * SCALE + rest
+
+
+def parts(name: str, c: str) -> dict[str, Column]:
+    """The two sums of a column as BIGINT measures ``name`` and ``name``_rest, for :func:`joined`."""
+    first, rest = _units_sql(c)
+    return {name: F.expr(f"coalesce(sum({first}), 0)"), f"{name}_rest": F.expr(f"coalesce(sum({rest}), 0)")}
+
+
+def joined(first: Column, rest: Column) -> Column:
+    """Both parts of a sum as one DECIMAL."""
+    tenthousandths = first.cast("decimal(19,0)") * F.expr("0.0001BD")
+    return (tenthousandths + rest.cast("decimal(19,0)") * F.expr("0.00000001BD")).cast(EXACT)
+
+
+def total_units(c: Column | str, when: Column | None = None) -> Column:
+    """Exact sum as DECIMAL; NULL for no values."""
     if isinstance(c, str) and when is None:
-        return F.expr(f"coalesce(sum({_units_sql(c)}), 0)")
-    value = units(c) if when is None else F.when(when, units(c))
-    return F.coalesce(F.sum(value), F.lit(0))
+        first, rest = (f"CAST(sum({part}) AS DECIMAL(19,0))" for part in _units_sql(c))
+        return F.expr(f"CAST({first} * 0.0001BD + {rest} * 0.00000001BD AS {EXACT})")
+    first, rest = (F.sum(part if when is None else F.when(when, part)) for part in _units(c))
+    return joined(first, rest)
+
+
+def sum_units(c: Column | str, when: Column | None = None) -> Column:
+    """Exact sum as DECIMAL; 0 for no values."""
+    return F.coalesce(total_units(c, when), F.lit(0).cast(EXACT))
 
 
 def sum_long(c: Column | str, when: Column | None = None) -> Column:
@@ -52,9 +85,8 @@ def sum_long(c: Column | str, when: Column | None = None) -> Column:
 
 
 def from_units(c: Column | str) -> Column:
-    if isinstance(c, str):
-        return F.expr(f"{c} / {float(SCALE)}D")
-    return _col(c) / F.lit(float(SCALE))
+    """An exact sum as the nearest DOUBLE."""
+    return _col(c).cast("double")
 
 
 def exact_sum(c: Column | str, when: Column | None = None) -> Column:

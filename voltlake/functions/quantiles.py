@@ -28,7 +28,10 @@ _MANTISSA = 1 << 52
 
 
 def _whole(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DecimalType):
+        return kind.scale == 0 and kind.precision <= 19
+    return isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
 
 def images(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -209,7 +212,7 @@ def integer_quantiles(df: DataFrame, column: str, probs: Sequence[float], rows:
 def top_share(df: DataFrame, column: str, share: float) -> DataFrame:
     """One row: how many values the largest ``share`` is (at least one), their sum, the total.
 
-    For an integer column. Ties at the cut do not matter for the sum: the cut
+    For an integer column, or a DECIMAL(19, 0) of values within BIGINT whose sums are not; sums are of the column's kind. Ties at the cut do not matter for the sum: the cut
     value is counted as often as there are places left.
     """
     places = f"greatest(1, CAST(floor({{total}} * {float(share)!r}D) AS BIGINT))"
@@ -218,7 +221,8 @@ def top_share(df: DataFrame, column: str, share: float) -> DataFrame:
     cut = one.select(F.expr(
         f"named_struct('cut', CAST(f[0].low AS BIGINT), 'top', {places.format(total='f[0].total')})"
     ).alias("c")).scalar()
-    above = F.col("v") > F.col("cut")
+    kind = df.schema[column].dataType
+    above, wide = F.col("v") > F.col("cut"), kind if isinstance(kind, T.DecimalType) else "long"
     return (
         df.select(F.col(column).cast("long").alias("v"), cut.alias("c"))
         .select("v", "c.cut", "c.top")
@@ -226,13 +230,13 @@ def top_share(df: DataFrame, column: str, share: float) -> DataFrame:
             F.max("top").cast("long").alias("top_count"),
             F.max("cut").alias("cut"),
             F.count_if(above).alias("above_count"),
-            F.coalesce(F.sum(F.when(above, F.col("v"))), F.lit(0)).alias("above_sum"),
-            F.sum("v").alias("total_sum"),
+            F.coalesce(F.sum(F.when(above, F.col("v").cast(wide))), F.lit(0).cast(wide)).alias("above_sum"),
+            F.sum(F.col("v").cast(wide)).alias("total_sum"),
         )
         .select(
             "top_count",
             (
-                F.col("above_sum") + (F.col("top_count") - F.col("above_count")) * F.col("cut")
+                F.col("above_sum") + (F.col("top_count") - F.col("above_count")) * F.col("cut").cast(wide)
             ).alias("top_sum"),
             "total_sum",
         )

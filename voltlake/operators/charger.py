@@ -39,6 +39,7 @@ _VOLUME = (
     "total_sessions", "successful_sessions", "failed_sessions", "interrupted_sessions",
     "minutes", "timed", "energy_u", "metered", "revenue_u", "billed",
 )
+_EXACT = ("energy_u", "revenue_u")
 _BY_CHARGER, _BY_DURATION = 0, 1
 
 
@@ -52,9 +53,9 @@ def _grains(sessions: DataFrame) -> Packed:
         "interrupted_sessions": m.count_status("Cancelled"),
         "minutes": m.sum_long("duration_minutes"),
         "timed": F.count("duration_minutes"),
-        "energy_u": m.sum_units("energy_kwh"),
+        **m.parts("energy_u", "energy_kwh"),
         "metered": F.count("energy_kwh"),
-        "revenue_u": m.sum_units("revenue"),
+        **m.parts("revenue_u", "revenue"),
         "billed": F.count("revenue"),
         "first": F.min(cal.micros("start_time")),
         "last": F.max(cal.micros("start_time")),
@@ -76,7 +77,9 @@ def _charger_master(t: Tables, grains: Packed) -> DataFrame:
     """Every charger with its volume, 0 without sessions."""
     volume = grains.frame.filter(
         (F.col("grain") == _BY_CHARGER) & F.col("station_id").isNotNull() & F.col("charger_id").isNotNull()
-    ).select("station_id", "charger_id", *[grains.measure(name).alias(name) for name in _VOLUME])
+    ).select("station_id", "charger_id", *[
+        (grains.exact(name) if name in _EXACT else grains.measure(name)).alias(name) for name in _VOLUME
+    ])
     joined = t.chargers.join(volume, ["station_id", "charger_id"], "left")
     return joined.na.fill(0, subset=list(_VOLUME)).withColumn(
         "failure_rate_pct", m.rate("failed_sessions", "total_sessions") * 100.0

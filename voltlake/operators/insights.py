@@ -42,7 +42,7 @@ class _Rollup:
         """
         v = self.volume
         totals = v.frame.filter(F.col("station_id").isNotNull()).groupBy("station_id").agg(
-            v.sum("sessions").alias("total_sessions"), v.sum("revenue_u").alias("revenue_u"),
+            v.sum("sessions").alias("total_sessions"), v.exact_sum("revenue_u").alias("revenue_u"),
             v.sum("minutes").alias("minutes"), v.sum("failed").alias("failed"),
         )
         active = F.coalesce(F.col("active_chargers"), F.lit(0))
@@ -63,7 +63,7 @@ def _rollup(t: Tables, flt: GlobalFilter, minutes: int = CAMPER_MINUTES, kwh: fl
     return _Rollup(t, packed(sessions, ["station_id", "hour"], {
         "rows": F.count(F.lit(1)),
         "sessions": F.count("session_id"),
-        "revenue_u": m.sum_units("revenue"),
+        **m.parts("revenue_u", "revenue"),
         "minutes": m.sum_long("duration_minutes"),
         "failed": m.count_status("Failed"),
         "campers": F.count_if(camper),
@@ -111,9 +111,9 @@ def _capacity_pressure(r: _Rollup, ratio: float = 1.5, zero_active: str = "inf")
 
 def _revenue_concentration(r: _Rollup, top: float = 0.10, pct: float = 15) -> DataFrame:
     per_station = r.volume.frame.filter(F.col("station_id").isNotNull()).groupBy("station_id").agg(
-        r.volume.sum("revenue_u").alias("revenue_u")
+        (r.volume.sum("revenue_u") * m.SCALE + r.volume.sum("revenue_u_rest")).cast("decimal(19,0)").alias("revenue_f")
     )
-    share = top_share(per_station, "revenue_u", top).select(
+    share = top_share(per_station, "revenue_f", top).select(
         "*", (m.rate("top_sum", "total_sum") * 100.0).alias("share")
     )
     hit = share.filter((F.col("total_sum") > 0) & (F.col("share") > float(pct)))
@@ -121,7 +121,7 @@ def _revenue_concentration(r: _Rollup, top: float = 0.10, pct: float = 15) -> Da
         hit, 2, "Revenue concentration", F.lit(None), F.col("share"), F.lit(float(top) * 100.0),
         F.col("top_count"),
         "The top ", F.col("top_count").cast("string"), " stations earn ", _text(F.col("share")),
-        "% of all revenue (", _text(m.from_units("top_sum"), 0), ").",
+        "% of all revenue (", _text(m.from_units(F.col("top_sum") * F.expr("0.00000001BD")), 0), ").",
     )
 
 

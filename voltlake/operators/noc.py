@@ -146,14 +146,14 @@ def noc_zscore_behavior(
 
     Mean and sample deviation of the whole set come as one scalar row, not from a
     window over the set: from the count, the exact sum and the exact sum of squares in
-    minutes and units, without a difference of rounded numbers.
+    minutes and hundred-millionths, without a difference of rounded numbers.
     """
     s = noc_sessions(t, flt)
     sums = s.agg(
         *_exact_sums("duration_hrs", F.rint(F.col("duration_hrs") * 60.0).cast("long")),
-        *_exact_sums("energy_kwh", m.units("energy_kwh")),
+        *_exact_sums("energy_kwh", m.fine_units("energy_kwh")),
     )
-    names = {"duration_hrs": 60.0, "energy_kwh": float(m.SCALE)}
+    names = {"duration_hrs": 60.0, "energy_kwh": float(m.FINE)}
     # no value: the divisor is NULL, and so is all else
     sums = sums.withColumns({f"n_{k}": F.expr(f"nullif(n_{k}, 0)") for k in names})
     stats = _moments(sums, names).select(F.struct(*[f"{part}_{k}" for part in ("mean", "sd") for k in names]).alias("s")).scalar()

@@ -17,7 +17,7 @@ YEAR = 365
 
 
 def _sql_units(c: str) -> Column:
-    return F.sum(m.units(c))
+    return m.total_units(c)
 
 
 def _mean(c: str) -> Column:

@@ -54,6 +54,13 @@ class Packed:
     def sum(self, name: str) -> Column:
         return F.sum(self.measure(name))
 
+    def exact(self, name: str) -> Column:
+        """A measure of two parts (:func:`voltlake.functions.measures.parts`)."""
+        return m.joined(self.measure(name), self.measure(f"{name}_rest"))
+
+    def exact_sum(self, name: str) -> Column:
+        return m.joined(self.sum(name), self.sum(f"{name}_rest"))
+
     def min(self, name: str) -> Column:
         return F.min(self.measure(name))
 
