@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import base64
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from test_operators import documents, prose
-from voltlake.llm import decontaminate, fuzzy_lines, sentencepiece_lattice
+from voltlake.llm import decontaminate, fuzzy_lines, secrets, sentencepiece_lattice
 
 MODEL = sentencepiece_lattice.DEFAULT_MODEL
 
@@ -148,3 +149,32 @@ def test_lines_match_brute_force(spark):
         texts.append("\n".join(draw.sample(lines, len(lines))))
     rows = {r["doc_id"]: r["dedup_text"] for r in fuzzy_lines.line_report(documents(spark, texts), min_chars=1).collect()}
     assert [rows[k] for k in range(len(texts))] == plain_lines(texts)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 9, 10, 99, 100, 101])
+def test_secret_spans_in_blocks_equal_python(spark, n):
+    """Any number of matches, some too short to count, with code points beyond 16 bits between them."""
+    rng = random.Random(n)
+    words = [rng.choice(["token=" + "a" * rng.randrange(10, 15), "AKIA" + "B" * rng.randrange(12, 17), "0f" * rng.randrange(6, 12)]) for _ in range(n)]
+    text = "".join(w + rng.choice([" ", " 😀 ", "\n--\n"]) for w in words)
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.report(docs).collect()}
+    want = sorted(
+        (m.start(), rank, kind, m.end())
+        for rank, (kind, pattern, group, least) in enumerate(secrets.RULES["base-1"])
+        for m in re.finditer(pattern, text) if len(m.group(group)) >= least
+    )
+    assert got[1].spans == ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in want)
+    assert got[2].spans == got[3].spans == ""
+
+
+def test_many_secrets_of_one_text(spark):
+    """100,000 spans in one text: places by arithmetic, and time that does not grow with the square."""
+    word = "0123456789abcdef"
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(word + " "), 100_000).alias("text"))
+    begin = time.monotonic()
+    row = secrets.report(docs).first()
+    assert time.monotonic() - begin < 60
+    assert row.n_hex == 100_000 and (row.n_assign, row.n_access) == (0, 0)
+    spans = row.spans.split(",")
+    assert spans == [f"hex:{17 * i}:{17 * i + 16}" for i in range(100_000)]

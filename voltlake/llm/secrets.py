@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, small_side, stored
+from .common import bound, clean_text, small_side, stored
 
 # The kinds of each rule set version in their order, the pattern, the group that must be long, and how long.
 RULES = {
@@ -32,7 +32,9 @@ SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans of the leftmost non-overlapping matches in ``text``, in code points, end exclusive.
 
-    The pieces between the matches and the matches alternate, so their lengths give the places.
+    The pieces between the matches and the matches alternate, so their lengths give the places. A fold copies what it
+    has found with every match; so the n matches are folded in some sqrt(n) blocks of as many, each counted from its
+    own begin, and the blocks are moved to their places then: n * sqrt(n) copies of a span at most.
     """
     regex = F.lit(pattern)
     whole, part = F.regexp_extract_all("text", regex, F.lit(0)), F.regexp_extract_all("text", regex, F.lit(group))
@@ -41,17 +43,35 @@ def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
         F.arrays_zip(whole.alias("whole"), part.alias("part")),
         lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["whole"]).alias("n"), (F.length(m["part"]) >= least).alias("ok")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    none = F.array().cast(SPAN)
 
     def step(state: Column, m: Column) -> Column:
         begin = state["at"] + m["gap"]
-        span = F.struct(
-            begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (begin + m["n"]).alias("end"),
-        )
-        found = F.when(m["ok"], F.concat(state["found"], F.array(span).cast(SPAN))).otherwise(state["found"])
+        found = F.when(m["ok"], F.concat(state["found"], F.array(span(begin, begin + m["n"])).cast(SPAN))).otherwise(state["found"])
         return F.struct((begin + m["n"]).alias("at"), found.alias("found"))
 
-    return F.when(F.rlike("text", regex), F.aggregate(pairs, start, step, lambda s: s["found"])).otherwise(F.array().cast(SPAN))
+    def span(begin: Column, end: Column) -> Column:
+        return F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
+
+    def folded(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("found")), step)
+
+    def blocks(matches: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(matches))), F.lit(1)).cast("int")
+        last = F.greatest(F.ceil(F.size(matches) / width) - 1, F.lit(0)).cast("int")
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: folded(F.slice(matches, i * width + 1, width)))
+        return bound(each, placed)
+
+    def placed(parts: Column) -> Column:
+        begins = F.aggregate(
+            parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins")),
+            lambda s, p: F.struct((s["at"] + p["at"]).alias("at"), F.concat(s["begins"], F.array(s["at"])).alias("begins")),
+            lambda s: s["begins"],
+        )
+        moved = lambda p, by: F.transform(p["found"], lambda x: span(x["start"] + by, x["end"] + by))
+        return F.flatten(F.zip_with(parts, begins, moved))
+
+    return F.when(F.rlike("text", regex), bound(pairs, blocks)).otherwise(none)
 
 
 def scan(blobs: DataFrame) -> DataFrame:
