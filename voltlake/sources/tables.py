@@ -91,6 +91,19 @@ def broadcast_if_small(df: DataFrame, measured: DataFrame | None = None, growth:
     return F.broadcast(df) if size is not None and 0 <= size * growth <= limit else df
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a join will broadcast ``df``: it carries the hint, or its estimate is below the session's threshold.
+
+    An unknown size counts as small: the join is then left to Catalyst and AQE.
+    """
+    limit = _threshold_bytes(df.sparkSession)
+    size = estimated_bytes(df)
+    if size is None:
+        return True
+    hinted = "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+    return hinted or size <= limit
+
+
 def _location(path: str, name: str, fmt: str) -> str:
     return f"{path.rstrip('/')}/{name}.csv" if fmt == "csv" else f"{path.rstrip('/')}/{name}"
 
