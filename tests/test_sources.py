@@ -11,7 +11,7 @@ from tiny import charger, rows, session, station, tables
 from voltlake import ALL, GlobalFilter, load_raw_tables, load_tables, write_tables
 from voltlake.fixtures.mapping import network
 from voltlake.operators import charger as charger_operators, model, network as net, quality, station as stn
-from voltlake.sources.filters import filtered_sessions
+from voltlake.sources.filters import filtered_sessions, last_start
 from voltlake.sources.tables import Tables, broadcast_if_small
 
 
@@ -145,9 +145,43 @@ def test_date_filter_reads_only_its_months(stored_year):
 
 
 def test_window_reads_only_its_months(stored_year):
-    """The greatest start is found in one pass; the window adds its own months only."""
+    """The greatest start is found in the last month; the window adds its own months only."""
     every = stored_year.sessions.count()
-    assert _rows_scanned(net.station_30d(stored_year)) < 1.4 * every + 1000
+    small = 20 * (stored_year.stations.count() + stored_year.chargers.count())
+    days = dict(stored_year.sessions.groupBy("start_month").count().collect())
+    newest = [days[month] for month in stored_year.months]
+    assert sum(newest) == every and len(newest) >= 12
+    # the last month for the start, then the months of the window
+    assert _rows_scanned(net.station_30d(stored_year)) <= newest[0] + sum(newest[:2]) + small < 0.6 * every + small
+    assert _rows_scanned(net.daily_trend(stored_year, 60)) <= newest[0] + sum(newest[:4]) + small
+    # the sixth month from the end: the directories after it are not searched
+    flt = GlobalFilter(date_to=stored_year.months[5])
+    assert _rows_scanned(net.station_30d(stored_year, flt=flt)) <= newest[5] + sum(newest[5:7]) + newest[6] + small
+
+
+@pytest.fixture(scope="module")
+def three_years(spark, tmp_path_factory):
+    """One session a month over three years, and one without a start; vehicle V2 in the last month but two, V3 in the first only."""
+    vehicles = {0: "V3", 33: "V2"}
+    sessions = [session(k, day=31 * k, vehicle_type=vehicles.get(k, "V1")) for k in range(36)]
+    sessions.append(session(99, start_time=None, vehicle_type="V4"))
+    path = str(tmp_path_factory.mktemp("years"))
+    write_tables(tables(spark, [station(1)], [charger(1, "S1")], sessions), path)
+    return load_tables(spark, path, "parquet")
+
+
+@pytest.mark.parametrize("vehicle, position, read", [
+    (None, 35, 1), ("V1", 35, 1), ("V2", 33, 13), ("V3", 0, 36), ("V4", None, 36), ("none", None, 36),
+])
+def test_last_start_walks_the_months_down(spark, three_years, vehicle, position, read):
+    flt = GlobalFilter(vehicle_type=vehicle)
+    s = filtered_sessions(three_years, flt)
+    found = spark.range(1).select(last_start(three_years, s, flt).alias("last"))
+    want = None if position is None else session(0, day=31 * position)["start_time"]
+    assert found.collect()[0]["last"] == want
+    assert len(three_years.months) == 36 and _rows_scanned(found) <= read
+    got = rows(net.daily_trend(three_years, 1, flt=flt))
+    assert [r["sessions"] for r in got] == ([] if want is None else [1])
 
 
 def test_window_after_a_filter_without_a_match_in_the_last_month(spark, stored_year):

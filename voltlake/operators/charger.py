@@ -16,7 +16,7 @@ from voltlake.functions import calendar as cal
 from voltlake.functions import measures as m
 from voltlake.functions.quantiles import integer_quantiles, quantiles
 from voltlake.plans.rollups import Packed, packed, sorted_once
-from voltlake.sources.filters import ALL, GlobalFilter, filtered_sessions, since
+from voltlake.sources.filters import ALL, GlobalFilter, filtered_sessions, last_start, since
 from voltlake.sources.tables import Tables
 
 # Rule names and severities of the log.
@@ -273,14 +273,14 @@ def anomaly_revenue_drop(
     t: Tables, days: int = 15, min_base: float = 100, pct: float = -60, flt: GlobalFilter = ALL
 ) -> DataFrame:
     s = filtered_sessions(t, flt)
-    return _drop_rules(t, s, cal.last_start(s), [REVENUE_DROP], days, revenue_base=min_base, pct=pct)
+    return _drop_rules(t, s, last_start(t, s, flt), [REVENUE_DROP], days, revenue_base=min_base, pct=pct)
 
 
 def anomaly_util_drop(
     t: Tables, days: int = 15, min_base: int = 500, pct: float = -60, flt: GlobalFilter = ALL
 ) -> DataFrame:
     s = filtered_sessions(t, flt)
-    return _drop_rules(t, s, cal.last_start(s), [UTILIZATION_DROP], days, minutes_base=min_base, pct=pct)
+    return _drop_rules(t, s, last_start(t, s, flt), [UTILIZATION_DROP], days, minutes_base=min_base, pct=pct)
 
 
 def anomaly_high_freq(t: Tables, k: float = 1.5, flt: GlobalFilter = ALL) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voltlake.functions import calendar as cal
 from voltlake.functions import measures as m
 from voltlake.plans.rollups import active_chargers, active_total
-from voltlake.sources.filters import ALL, GlobalFilter, filtered_sessions, since
+from voltlake.sources.filters import ALL, GlobalFilter, filtered_sessions, last_start, since
 from voltlake.sources.tables import Tables
 
 # The nine period metrics and whether more of each is better.
@@ -34,9 +34,10 @@ def landing_kpis(t: Tables) -> DataFrame:
     ).select(stations.alias("total_stations"), "total_sessions", "total_revenue", "total_energy_kwh")
 
 
-def _trailing(sessions: DataFrame, days: int) -> DataFrame:
-    """Sessions of the last ``days`` days before the last start: (last - days, last]."""
-    return since(sessions, cal.days_before(cal.last_start(sessions), days))
+def _trailing(t: Tables, days: int, flt: GlobalFilter) -> DataFrame:
+    """Filtered sessions of the last ``days`` days before the last start: (last - days, last]."""
+    s = filtered_sessions(t, flt)
+    return since(s, cal.days_before(last_start(t, s, flt), days))
 
 
 def _active_stations(t: Tables) -> Column:
@@ -51,7 +52,7 @@ def _active_stations(t: Tables) -> Column:
 def period_metrics(t: Tables, days: int = 30, flt: GlobalFilter = ALL) -> DataFrame:
     """Nine metrics of the last ``days`` days and of as many days before: two rows, one scan."""
     s = filtered_sessions(t, flt)
-    last = cal.last_start(s)
+    last = last_start(t, s, flt)
     split = cal.days_before(last, days)
     both = since(s, cal.days_before(last, 2 * days))
     both = both.withColumn("late", F.col("start_time") > split)
@@ -155,7 +156,7 @@ def health_score(
 def daily_trend(t: Tables, days: int = 90, flt: GlobalFilter = ALL) -> DataFrame:
     """Revenue, energy, sessions and network utilization per date of the last ``days`` days."""
     s = filtered_sessions(t, flt)
-    recent = since(s, cal.days_before(cal.last_start(s), days), inclusive=True)
+    recent = since(s, cal.days_before(last_start(t, s, flt), days), inclusive=True)
     daily = recent.groupBy(cal.day().alias("date")).agg(
         m.exact_sum("revenue").alias("revenue"),
         m.exact_sum("energy_kwh").alias("energy_kwh"),
@@ -183,7 +184,7 @@ def station_30d(
     t: Tables, days: int = 30, zero_active: str = "inf", flt: GlobalFilter = ALL
 ) -> DataFrame:
     """Stations with a session in the last ``days`` days: volume, failure and utilization percent."""
-    recent = _trailing(filtered_sessions(t, flt), days).filter(F.col("station_id").isNotNull())
+    recent = _trailing(t, days, flt).filter(F.col("station_id").isNotNull())
     rollup = recent.groupBy("station_id").agg(
         F.count("session_id").alias("total_sessions"),
         m.count_status("Failed").alias("failed_sessions"),
@@ -252,7 +253,7 @@ def alert_abnormal_chargers(
     t: Tables, days: int = 30, n: int | None = None, flt: GlobalFilter = ALL
 ) -> DataFrame:
     """Chargers by their abnormal sessions of the last ``days`` days, most first."""
-    recent = _trailing(filtered_sessions(t, flt), days).filter(
+    recent = _trailing(t, days, flt).filter(
         m.is_status("Abnormal") & F.col("station_id").isNotNull() & F.col("charger_id").isNotNull()
     )
     counts = recent.groupBy("station_id", "charger_id").agg(F.count(F.lit(1)).alias("incidents"))

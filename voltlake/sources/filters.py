@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltlake.functions import calendar as cal
 from voltlake.sources.tables import MONTH_PARTITION, Tables
 
 
@@ -30,6 +31,8 @@ class GlobalFilter:
 
 
 ALL = GlobalFilter()
+#: Later than any month directory.
+NEVER = dt.date(9999, 12, 31)
 
 
 def _midnight(d: dt.date):
@@ -49,6 +52,32 @@ def since(sessions: DataFrame, moment: Column, inclusive: bool = False) -> DataF
     return late
 
 
+#: Months of each step of the search for the last start; the step after them reads the rest.
+STEPS = (1, 12)
+
+
+def last_start(t: Tables, sessions: DataFrame, flt: GlobalFilter = ALL) -> Column:
+    """The greatest start of ``sessions``, the sessions of ``t`` that pass ``flt``, as a scalar subquery.
+
+    With month directories the newest month is searched first, then the twelve before it, then the rest; a step
+    after the one that found a session prunes every directory at run time and reads nothing. Else one scan of
+    the start times.
+    """
+    months = [month for month in t.months if flt.date_to is None or month <= flt.date_to]
+    found = None
+    for at, end in ((0, STEPS[0]), (STEPS[0], sum(STEPS)), (sum(STEPS), len(months))):
+        part = months[at:end]
+        if len(months) < 2 or not part:
+            break
+        lowest = F.lit(part[-1])
+        if found is not None:
+            lowest = F.when(found.isNull(), lowest).otherwise(F.lit(NEVER))
+        step = sessions.filter((F.col(MONTH_PARTITION) >= lowest) & (F.col(MONTH_PARTITION) <= F.lit(part[0])))
+        last = cal.last_start(step)
+        found = last if found is None else F.coalesce(found, last)
+    return cal.last_start(sessions) if found is None else found
+
+
 def filtered_sessions(t: Tables, flt: GlobalFilter = ALL) -> DataFrame:
     """The sessions that pass ``flt``, without added columns.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,11 +58,15 @@ BROKEN = "broken_record"
 
 @dataclass(frozen=True)
 class Tables:
-    """Stations, chargers and charging sessions; sessions are the fact."""
+    """Stations, chargers and charging sessions; sessions are the fact.
+
+    ``months`` are the month directories of the sessions, newest first, where they are stored so.
+    """
 
     stations: DataFrame
     chargers: DataFrame
     sessions: DataFrame
+    months: tuple[dt.date, ...] = ()
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -155,7 +161,15 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "csv") -> Tables:
     stations, chargers, sessions = (
         _read(spark, path, name, fmt, schema, strict=True) for name, schema in FILES.items()
     )
-    return Tables(stations, chargers, sessions)
+    return Tables(stations, chargers, sessions, _months(sessions))
+
+
+def _months(sessions: DataFrame) -> tuple[dt.date, ...]:
+    """Month directories with files, newest first, from the listing Spark made when it opened the table."""
+    if MONTH_PARTITION not in sessions.columns:
+        return ()
+    named = (re.search(rf"/{MONTH_PARTITION}=(\d{{4}}-\d\d-\d\d)/", file) for file in sessions.inputFiles())
+    return tuple(sorted({dt.date.fromisoformat(found.group(1)) for found in named if found}, reverse=True))
 
 
 def load_raw_tables(spark: SparkSession, path: str, fmt: str = "csv", header: bool = True) -> Tables:
