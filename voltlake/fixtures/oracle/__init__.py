@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from voltlake.fixtures.oracle.base import NET_ACTIVE, filtered
 from voltlake.fixtures.oracle import (
-    capacity, charger, customer, demand, geo, insights, model, network, noc, quality, reports, revenue, station,
+    capacity, charger, customer, demand, distinct, geo, insights, model, network, noc, quality, reports, revenue, station,
 )
 
 MODULES = (
-    model, network, station, demand, charger, revenue, geo, capacity, customer, quality, insights, noc, reports,
+    model, network, station, demand, charger, revenue, geo, capacity, customer, distinct, quality, insights, noc, reports,
 )
 
 WHERE = {
@@ -19,7 +19,8 @@ WHERE = {
 }
 FILTERED = (
     "station_performance", "station_cpi", "demand_kpis", "peak_vs_offpeak", "period_metrics", "charger_stats", "anomaly_log",
-    "revenue_kpis", "customer_kpis", "insights",
+    "revenue_kpis", "customer_kpis", "insights", "revenue_quadrants", "geo_metrics", "area_summary", "capacity_baseline",
+    "customer_segments", "segment_summary", "health_score", "daily_trend",
 )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from voltlake.fixtures.mapping import faulty_network, network
 from voltlake.functions import measures as m
 from voltlake.operators import (
-    capacity, charger, customer, demand, geo, insights, model, network as net, noc, quality, reports, revenue, station,
+    capacity, charger, customer, demand, distinct, geo, insights, model, network as net, noc, quality, reports, revenue, station,
 )
 from voltlake.sources.filters import GlobalFilter
 from voltlake.sources.tables import CHARGERS, SESSION_COLUMNS, STATIONS, Tables, load_raw_tables, load_tables, write_tables
@@ -65,6 +65,7 @@ OPERATORS = (
     geo.area_underutilized, geo.area_risk,
     capacity.capacity_baseline, capacity.capacity_scenarios,
     customer.customer_kpis, customer.customer_segments, customer.segment_summary, customer.vehicle_intelligence,
+    distinct.trailing_distinct_check,
     insights.insight_capacity_pressure, insights.insight_revenue_concentration, insights.insight_failure,
     insights.insight_underutilized, insights.insight_peak_hour, insights.insight_campers, insights.insights,
     noc.noc_kpis, noc.noc_daily_energy, noc.noc_station_health, noc.noc_zscore_behavior, noc.noc_expansion,
@@ -180,6 +181,8 @@ FILTERS = {
 FILTERED = (
     station.station_performance, station.station_cpi, demand.demand_kpis, demand.peak_vs_offpeak, net.period_metrics,
     charger.charger_stats, charger.anomaly_log, revenue.revenue_kpis, customer.customer_kpis, insights.insights,
+    revenue.revenue_quadrants, geo.geo_metrics, geo.area_summary, capacity.capacity_baseline, customer.customer_segments,
+    customer.segment_summary, net.health_score, net.daily_trend,
 )
 
 
