@@ -1,13 +1,20 @@
 """Layout-aware text of web pages: all visible text, with block spacing, lists and aligned table cells.
 
 A tree builder opens and closes the elements that HTML lets authors leave out. Elements that are not
-rendered, or hidden by attribute or inline style, give nothing. What is left is laid out in lines.
+rendered, or hidden by attribute, inline style or a simple rule of a style element, give nothing; what says
+``visibility: visible`` inside an invisible element shows again. What is left is laid out in lines, tables on a
+grid that row and column spans keep in place.
+
+Rules of style elements count if their selector is an element name, classes and an id written together
+(``div.note``), not inside an at-rule or a style element for other media; style sheets in other files are not read.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass, field
+from html import unescape
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -44,23 +51,84 @@ IMPLIED = {
 }
 CLOSES_P = SPACED | frozenset("div section article aside header footer nav main address details center li dt dd".split())
 SCOPE = frozenset("td th table caption button object html body".split())
-HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: Input types that show no value, and those that show their value only (no placeholder).
+MUTE_INPUTS = frozenset("hidden checkbox radio range color file".split())
+BUTTON_INPUTS = frozenset("submit reset button".split())
+SCREEN = frozenset(("", "all", "screen"))
+DECLARED = re.compile(r"(?:^|[;{])\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+SIMPLE = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)", re.I)
+MOST_COLUMNS = 1000  # HTML reads a larger colspan as 1000
 BLANKS = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "seen")
+    """An element: ``seen`` if it is laid out at all, ``shown`` if its own text is visible."""
+
+    __slots__ = ("tag", "attrs", "children", "seen", "shown")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None], seen: bool) -> None:
-        self.tag, self.attrs, self.seen = tag, attrs, seen
+    def __init__(self, tag: str, attrs: dict[str, str | None], seen: bool, shown: bool = True) -> None:
+        self.tag, self.attrs, self.seen, self.shown = tag, attrs, seen, shown
         self.children: list[Node | str] = []
 
 
+@dataclass
+class Rules:
+    """Declarations of display and visibility by the id, class or name that their selectors end in."""
+
+    by_key: dict[str, list[tuple]] = field(default_factory=dict)
+    count: int = 0
+
+    def read(self, sheet: str) -> None:
+        for selectors, body in _top_rules(COMMENT.sub(" ", sheet)):
+            declared = {name.lower(): value.lower() for name, value in DECLARED.findall(body)}
+            for selector in selectors.split(",") if declared else ():
+                found = SIMPLE.fullmatch(selector.strip())
+                if not found or not selector.strip():
+                    continue
+                name = (found.group(1) or "*").lower()
+                marks = re.findall(r"[.#][\w-]+", found.group(2))
+                ids = [m[1:] for m in marks if m[0] == "#"]
+                classes = frozenset(m[1:] for m in marks if m[0] == ".")
+                key = f"#{ids[0]}" if ids else f".{min(classes)}" if classes else name
+                self.count += 1
+                weight = (len(ids), len(classes), name != "*", self.count)
+                self.by_key.setdefault(key, []).append((weight, name, frozenset(ids), classes, declared))
+
+    def of(self, tag: str, attrs: dict[str, str | None]) -> dict[str, str]:
+        """What holds for an element; of two rules the more specific, then the later one."""
+        if not self.by_key:
+            return {}
+        own, classes = attrs.get("id"), frozenset((attrs.get("class") or "").split())
+        keys = ["*", tag, *(f".{c}" for c in classes), *([f"#{own}"] if own else [])]
+        rules = [r for k in keys for r in self.by_key.get(k, ()) if r[1] in ("*", tag) and r[2] <= {own} and r[3] <= classes]
+        held: dict[str, str] = {}
+        for rule in sorted(rules, key=lambda r: r[0]):
+            held.update(rule[4])
+        return held
+
+
+def _top_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, body) of the rules outside at-rules; a block that is never closed ends with the sheet."""
+    at = 0
+    while (start := sheet.find("{", at)) >= 0:
+        head = sheet[at:start].rsplit(";", 1)[-1].strip()
+        depth, end = 1, start + 1
+        while depth and end < len(sheet):
+            depth += {"{": 1, "}": -1}.get(sheet[end], 0)
+            end += 1
+        if not head.startswith("@"):
+            yield head, sheet[start:end].rstrip("}")
+        at = end
+
+
 class TreeBuilder(HTMLParser):
     """The element tree of a page; unclosed and misnested tags are repaired, none is lost."""
 
-    def __init__(self) -> None:
+    def __init__(self, rules: Rules | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.rules = rules or Rules()
+        self.sheets: list[str] = []
         self.root = Node("html", {}, True)
         self.open = [self.root]
 
@@ -82,6 +150,8 @@ class TreeBuilder(HTMLParser):
         if tag in VOID:
             if self.open[-1] is node:
                 self.open.pop()
+        elif tag == "textarea":
+            self.set_cdata_mode(tag)  # its content is text, tags included
         return node
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -109,18 +179,30 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
             self.open.pop()
-        self.open[-1].children.append(data)
+        node = self.open[-1]
+        if node.tag == "style" and (node.attrs.get("media") or "").strip().lower() in SCREEN:
+            self.sheets.append(data)
+        elif node.tag == "textarea" and self.cdata_elem:
+            data = unescape(data)
+        if node.shown:
+            node.children.append(data)
 
     def _push(self, tag: str, attrs: dict[str, str | None]) -> Node:
         parent = self.open[-1]
+        style = self.rules.of(tag, attrs)
+        if attrs.get("style"):
+            style = style | {name.lower(): value.lower() for name, value in DECLARED.findall(attrs["style"])}
+        display = style.get("display", "none" if "hidden" in attrs or (tag == "dialog" and "open" not in attrs) else "")
+        visibility = style.get("visibility", "inherit")
+        shown = visibility in ("visible", "initial") or (parent.shown and visibility not in ("hidden", "collapse"))
+        deep = len(self.open) >= MAX_DEPTH
         hidden = (
-            tag in UNSEEN or "hidden" in attrs or bool(HIDING.search(attrs.get("style") or ""))
-            or (tag == "input" and (attrs.get("type") or "").lower() == "hidden") or (tag == "dialog" and "open" not in attrs)
-            or (tag in FOREIGN_UNSEEN and self._foreign())
+            tag in UNSEEN or display == "none" or (tag in FOREIGN_UNSEEN and self._foreign())
+            or (deep and not shown)  # it gets no node of its own to hold what shows again
         )
-        node = Node(tag, attrs, not hidden)
+        node = Node(tag, attrs, not hidden, shown)
         parent.children.append(node)
-        if len(self.open) < MAX_DEPTH or hidden:
+        if not deep or hidden:
             self.open.append(node)
         return node
 
@@ -193,12 +275,19 @@ def _element(node: Node, out: Lines) -> None:
     tag, gap = node.tag, int(node.tag in SPACED)
     if tag == "br":
         out.line_break()
+    elif tag in VOID and not node.shown:
+        return
     elif tag == "hr":
         out.whole(["---"], 1)
     elif tag == "img":
         out.text(node.attrs.get("alt") or "")
     elif tag == "input":
-        out.text(node.attrs.get("value") or node.attrs.get("placeholder") or "")
+        out.text(_input_text(node.attrs))
+    elif tag == "details" and "open" not in node.attrs:
+        # closed: the first summary is all that shows
+        summary = next((c for c in node.children if isinstance(c, Node) and c.tag == "summary"), None)
+        if summary is not None and summary.seen:
+            _element(summary, out)
     elif tag in ("pre", "textarea"):
         out.whole(_raw(node).strip("\n").expandtabs(8).split("\n"), 1)
     elif tag in ("ul", "ol", "menu", "dir"):
@@ -221,6 +310,18 @@ def _element(node: Node, out: Lines) -> None:
         _laid_out(node, out)
 
 
+def _input_text(attrs: dict[str, str | None]) -> str:
+    kind = (attrs.get("type") or "").strip().lower()
+    value, hint = attrs.get("value") or "", attrs.get("placeholder") or ""
+    if kind in MUTE_INPUTS:
+        return ""
+    if kind == "image":
+        return attrs.get("alt") or ""
+    if kind == "password":
+        return "" if value else hint
+    return value if kind in BUTTON_INPUTS else value or hint
+
+
 def _inner(node: Node, in_item: bool = False) -> list[str]:
     out = Lines(in_item)
     _laid_out(node, out)
@@ -233,22 +334,28 @@ def _raw(node: Node) -> str:
     )
 
 
+def _whole(text: str | None, default: int) -> int:
+    return int(text) if re.fullmatch(r"[+-]?\d{1,9}", (text or "").strip(), re.A) else default
+
+
 def _list(node: Node) -> list[str]:
     """Items with a dash or their number; what an item holds is indented below its mark."""
     lines: list[str] = []
-    start = node.attrs.get("start") or ""
-    number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+    step = -1 if "reversed" in node.attrs else 1
+    items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
+    number = _whole(node.attrs.get("start"), items if step < 0 else 1)
     for child in node.children:
         if isinstance(child, str) or child.tag != "li":
             loose = Node("div", {}, True)
             loose.children = [child]
             lines += [f"  {line}".rstrip() for line in _inner(loose)] if isinstance(child, str) or child.seen else []
             continue
-        if child.seen:
+        number = _whole(child.attrs.get("value"), number)
+        if child.seen and (child.shown or any(_inner(child, True))):
             mark = f"{number}. " if node.tag == "ol" else "- "
             inner = _inner(child, True) or [""]
             lines += [(mark if k == 0 else " " * len(mark) if line else "") + line for k, line in enumerate(inner)]
-        number += 1
+        number += step
     return [line.rstrip() for line in lines]
 
 
@@ -259,16 +366,18 @@ def _holds(node: Node, tags: frozenset) -> bool:
     )
 
 
-def _rows(node: Node, stray: list[Node | str]) -> Iterator[Node]:
-    """The rows of a table, also those in forms and other elements; all else that it holds goes to ``stray``."""
+def _rows(node: Node, stray: list[Node | str], group: Node | None = None) -> Iterator[tuple[Node, Node | None]]:
+    """The rows of a table with their row group, also those in forms and other elements; all else goes to ``stray``."""
     for child in node.children:
         if isinstance(child, str):
             stray.append(child)
         elif child.seen:
             if child.tag == "tr":
-                yield child
-            elif child.tag in TABLE_PARTS or child.tag == "colgroup" or (child.tag != "table" and _holds(child, ROWS)):
-                yield from _rows(child, stray)
+                yield child, group
+            elif child.tag in TABLE_PARTS:
+                yield from _rows(child, stray, child)
+            elif child.tag == "colgroup" or (child.tag != "table" and _holds(child, ROWS)):
+                yield from _rows(child, stray, group)
             else:
                 stray.append(child)
 
@@ -287,39 +396,75 @@ def _width(text: str) -> int:
 
 
 def _table(node: Node) -> list[str]:
-    """Rows of cells, every column as wide as its widest line, two blanks apart; captions and stray text first."""
+    """Rows of cells, every column as wide as its widest line, two blanks apart; captions and stray text first.
+
+    A cell takes the first free columns of its row, as many as it spans, and keeps them for the rows it spans, at most
+    to the end of its row group (span 0: all of them). Columns without text take no room; cells that are not laid out
+    take no column.
+    """
     stray = Node("div", {}, True)
-    rows = []
-    for row in _rows(node, stray.children):
-        cells: list[list[str]] = []
+    grid: list[dict[int, list[str]]] = []
+    held: list[tuple[int, int, float]] = []  # columns from, to and last row of the cells above that reach further down
+    last_group: Node | None = None
+    for row, group in _rows(node, stray.children):
+        if group is not last_group:
+            held, last_group = [], group
+        held = [span for span in held if span[2] >= len(grid)]
+        placed: dict[int, list[str]] = {}
+        reaching = []
+        at = passed = 0
         for child in _cells(row):
+            across, down = 1, 1
             if isinstance(child, str) or child.tag not in CELLS:
-                if (isinstance(child, str) and child.strip()) or (isinstance(child, Node) and child.seen):
-                    loose = Node("div", {}, True)
-                    loose.children = [child]
-                    cells.append(_inner(loose))
+                if not (isinstance(child, Node) and child.seen) and not (isinstance(child, str) and child.strip()):
+                    continue
+                loose = Node("div", {}, True)
+                loose.children = [child]
+                inner = _inner(loose)
+            elif child.seen:
+                across = min(max(_whole(child.attrs.get("colspan"), 1), 1), MOST_COLUMNS)
+                down = max(_whole(child.attrs.get("rowspan"), 1), 0)
+                inner = _inner(child)
+            else:
                 continue
-            span = child.attrs.get("colspan") or "1"
-            cells.append(_inner(child) if child.seen else [])
-            cells += [[] for _ in range(min(int(span), 100) - 1 if span.isdigit() else 0)]
-        rows.append(cells)
-    widths = [
-        max((_width(line) for row in rows if k < len(row) for line in row[k]), default=0)
-        for k in range(max(map(len, rows), default=0))
-    ]
+            while passed < len(held) and held[passed][0] <= at:
+                at = max(at, held[passed][1])
+                passed += 1
+            placed[at] = inner
+            if down != 1:
+                reaching.append((at, at + across, len(grid) + down - 1 if down else float("inf")))
+            at += across
+        if reaching:
+            held = sorted(held + reaching)
+        grid.append(placed)
+    widths: dict[int, int] = {}
+    for placed in grid:
+        for c, cell in placed.items():
+            widths[c] = max(widths.get(c, 0), *map(_width, cell or [""]))
+    columns = sorted(c for c, width in widths.items() if width)
     lines = _inner(stray)
-    for row in rows:
-        for k in range(max((len(cell) for cell in row), default=0)):
-            parts = [cell[k] if k < len(cell) else "" for cell in row]
-            lines.append("  ".join(p + " " * (w - _width(p)) for p, w in zip(parts, widths)).rstrip())
+    for placed in grid:
+        for k in range(max((len(cell) for cell in placed.values()), default=0)):
+            parts = [(placed[c][k] if c in placed and k < len(placed[c]) else "", widths[c]) for c in columns]
+            lines.append("  ".join(p + " " * (w - _width(p)) for p, w in parts).rstrip())
     return lines
 
 
-def page_text(html: str) -> str:
-    """The visible text of one page, laid out in lines."""
-    builder = TreeBuilder()
+def _built(html: str, rules: Rules | None = None) -> TreeBuilder:
+    builder = TreeBuilder(rules)
     builder.feed(html)
     builder.close()
+    return builder
+
+
+def page_text(html: str) -> str:
+    """The visible text of one page, laid out in lines."""
+    builder = _built(html)
+    if builder.sheets:
+        rules = Rules()
+        rules.read("".join(builder.sheets))
+        if rules.by_key:  # rules hold for elements before them, too
+            builder = _built(html, rules)
     out = Lines()
     _laid_out(builder.root, out)
     return "\n".join(out.finished())
