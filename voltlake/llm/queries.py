@@ -57,8 +57,8 @@ def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signature set of every document and of its edited text, and their likenesses."""
-    return spotsigs.edited_report(table(spark, sf_dir, "documents"))
+    """Signature set of every document and of its edited text, their likenesses, and the documents of near-equal sets."""
+    return spotsigs.full_report(table(spark, sf_dir, "documents"))
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,10 +136,23 @@ def edited_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
         fingerprint(F.col("signature")).alias("fingerprint"), fingerprint(F.col("edited_signature")).alias("edited_fingerprint"),
         likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
         likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
-        F.size("signature").alias("n_signatures"),
+        F.size("signature").alias("n_signatures"), F.xxhash64("signature").alias("set_id"),
     )
 
 
+def full_report(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """:func:`edited_report` with set_id and component_id of :func:`near_duplicates`.
+
+    They meet on (``key``, set_id), which spreads groups of equal texts over the tasks; rows that agree in both have
+    one component, so repeated rows, rows of one key with other texts and null keys each come back once.
+    """
+    near = near_duplicates(docs, text, key, similarity).groupBy(key, "set_id").agg(F.first("component_id").alias("component_id"))
+    near = near.withColumnsRenamed({key: "near_key", "set_id": "near_set"})
+    report = edited_report(docs, text, key)
+    same = F.col(key).eqNullSafe(F.col("near_key")) & (F.col("set_id") == F.col("near_set"))
+    return report.join(near, same).drop("near_key", "near_set")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """Per row: ``key``, set_id (equal sets share it) and component_id, the least ``key`` reachable over
     sets of at least this Jaccard likeness.
