@@ -2,7 +2,8 @@
 
 The whole log takes three passes over the fact: one rollup at two grains, by charger and by duration, gives the
 volumes, the last start and the quartiles of the durations; the session rules read the sessions beyond those
-quartiles; the two period rules read the two last windows only.
+quartiles; the two period rules read the two last windows only. Where the sessions come from joins, the passes
+share the shuffles of those.
 """
 
 from __future__ import annotations
@@ -203,17 +204,17 @@ def _charger_rules(
 
 def _drop_rules(
     t: Tables, sessions: DataFrame, last_start: Column, rules: Sequence[str],
-    days: int = 15, revenue_base: float = 100, minutes_base: int = 500, pct: float = -60,
+    days: int = 15, revenue_base: float = 100, minutes_base: int = 500, pct: float = -60, shared: bool = False,
 ) -> DataFrame:
     """Chargers present in both windows whose revenue or minutes fell by more than ``pct``.
 
     The last ``days`` dates against the ``days`` before, by conditional
-    aggregation in one scan of both windows (the bound reaches the scan).
+    aggregation in one scan of both windows (the bound reaches the scan; ``shared`` as in :func:`since`).
     """
     last = F.to_date(last_start)
     first_midnight = F.date_sub(last, 2 * days - 1).cast("timestamp_ntz")
     late = F.col("late")
-    both = since(sessions, first_midnight, inclusive=True).filter(F.col("charger_id").isNotNull())
+    both = since(sessions, first_midnight, inclusive=True, shared=shared).filter(F.col("charger_id").isNotNull())
     both = both.withColumn("late", cal.day() > F.date_sub(last, days))
     change = both.groupBy("charger_id").agg(
         F.count_if(~late).alias("n1"),
@@ -309,7 +310,7 @@ def _all_rules(t: Tables, flt: GlobalFilter) -> DataFrame:
     grains = _grains(s)
     return _session_rules(s, grains, [LONG_SESSION, CAMPER]).unionByName(
         _charger_rules(t, grains, [HIGH_FAILURE, HIGH_FREQUENCY, LOW_FREQUENCY])
-    ).unionByName(_drop_rules(t, s, _last_start(grains), [REVENUE_DROP, UTILIZATION_DROP]))
+    ).unionByName(_drop_rules(t, s, _last_start(grains), [REVENUE_DROP, UTILIZATION_DROP], shared=True))
 
 
 def anomaly_log_by_severity(

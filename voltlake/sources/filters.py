@@ -39,14 +39,18 @@ def _midnight(d: dt.date):
     return F.lit(d.isoformat()).cast("timestamp_ntz")
 
 
-def since(sessions: DataFrame, moment: Column, inclusive: bool = False) -> DataFrame:
+def since(sessions: DataFrame, moment: Column, inclusive: bool = False, shared: bool = False) -> DataFrame:
     """Sessions that start after ``moment`` (or at it, if ``inclusive``).
 
     Where the table has month directories, the month of the moment is a bound on them as well: a scalar
     subquery as moment then prunes directories at run time. The bound on start_time alone skips nothing.
+    ``shared`` is for a query that reads ``sessions`` elsewhere, too: of a comparison Spark infers that its columns
+    are not NULL and asks for that below the joins that made the sessions, so that this reader would have
+    shuffles of its own. Nothing is inferred where a NULL comparison is false.
     """
     start = F.col("start_time")
-    late = sessions.filter(start >= moment if inclusive else start > moment)
+    bound = start >= moment if inclusive else start > moment
+    late = sessions.filter(F.coalesce(bound, F.lit(False)) if shared else bound)
     if MONTH_PARTITION in sessions.columns:
         late = late.filter(F.col(MONTH_PARTITION) >= F.trunc(F.to_date(moment), "month"))
     return late
