@@ -41,3 +41,30 @@ def test_sessions_without_a_start_are_in_no_window(spark):
     wanted = [chargers.REVENUE_DROP, chargers.UTILIZATION_DROP]
     alone = rows(chargers.anomaly_revenue_drop(t)) + rows(chargers.anomaly_util_drop(t))
     assert [r for r in rows(chargers.anomaly_log(t)) if r["anomaly_type"] in wanted] == alone and len(alone) == 1
+
+
+def test_summary_keeps_little_per_session(spark, plan):
+    """Rows stream past the hashed pairs unsorted, and an id takes three numbers."""
+    text = plan(quality.dq_summary(faulty_network(spark, f"{TESTDATA}/sf0.001")))
+    joins = [line for line in text.splitlines() if "bad_station" in line and "Join" in line]
+    assert joins and all("ShuffledHashJoin" in line for line in joins)
+    per_id = re.findall(r"HashAggregate\(keys=\[session_id#\d+L?\], functions=\[(.*?)\], output", text) or \
+        re.findall(r"HashAggregate\(keys=\[session_id#\d+L?\], functions=\[(.*)\]", text)
+    assert per_id and all(len(re.findall(r"(?:count|bit_or)\(", f)) <= 3 for f in per_id)
+
+
+def test_summary_by_hand(spark):
+    good = [session(k) for k in range(4)]
+    bad = [
+        session(10, vehicle_type=None), session(11, minutes=0), session(12, energy=-1.0), session(13, revenue=-1.0),
+        session(14, station_id="S9"), session(15, charger_id="C9"), session(16, station_id="S2"),
+        session(17, charger_id=None), session(18), session(18), session(19, station_id=None),
+    ]
+    t = tables(spark, [station(1), station(2)], [charger(1, "S1"), charger(2, "S9")], good + bad)
+    got = quality.dq_summary(t).first().asDict()
+    # all ten rules: zero minutes end when they start
+    assert (got["total_records"], got["invalid_records"], got["warnings"]) == (15, 11, 10)
+    flags = quality.dq_flags(t).filter("is_invalid").count()
+    assert flags == 11
+    empty = quality.dq_summary(tables(spark, [station(1)], [charger(1, "S1")], [])).first().asDict()
+    assert (empty["total_records"], empty["invalid_records"], empty["warnings"]) == (0, 0, 0)

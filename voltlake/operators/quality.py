@@ -58,6 +58,14 @@ def _local_flags(sessions: DataFrame) -> dict[str, Column]:
     return {name: F.coalesce(flag, F.lit(False)) for name, flag in flags.items()}
 
 
+def _bits(flags: dict[str, Column], rules: tuple[str, ...]) -> Column:
+    """The flags of some rules as one BIGINT, a bit for each rule."""
+    bits = F.lit(0).cast("long")
+    for rule in rules:
+        bits = bits.bitwiseOR(F.when(flags[rule], F.lit(1 << SESSION_RULES.index(rule)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return bits
+
+
 def _known_stations(t: Tables) -> DataFrame:
     return t.stations.select("station_id").distinct().withColumn("known_station", F.lit(True))
 
@@ -83,7 +91,8 @@ def _key_flags(t: Tables, rows: DataFrame) -> DataFrame:
 def _with_key_flags(t: Tables, rows: DataFrame) -> DataFrame:
     """``rows`` of the sessions with the key rules, by one null-safe join to the pairs that violate any.
 
-    The list has a row for each such pair at most, so a hot pair, or NULL, is split by AQE's skew join.
+    The list has a row for each such pair at most, so a hot pair, or NULL, is split by AQE's skew join. The list is
+    hashed in each task, a part of the pairs, and the rows stream past it: they are not sorted.
     """
     any_rule = F.lit(False)
     for rule in KEY_RULES:
@@ -92,7 +101,7 @@ def _with_key_flags(t: Tables, rows: DataFrame) -> DataFrame:
         F.col("station_id").alias("bad_station"), F.col("charger_id").alias("bad_charger"), *KEY_RULES
     )
     same = F.col("station_id").eqNullSafe(F.col("bad_station")) & F.col("charger_id").eqNullSafe(F.col("bad_charger"))
-    joined = rows.join(bad, same, "left").drop("bad_station", "bad_charger")
+    joined = rows.join(bad.hint("shuffle_hash"), same, "left").drop("bad_station", "bad_charger")
     return joined.withColumns({rule: F.coalesce(rule, F.lit(False)) for rule in KEY_RULES})
 
 
@@ -206,33 +215,28 @@ def dq_report(t: Tables) -> DataFrame:
 def dq_summary(t: Tables) -> DataFrame:
     """Rows in total, valid and invalid (violating any session rule), and rules violated.
 
-    Per session_id the rows, the rows violating another rule and the violations
-    of each rule are counted: of an id with several rows all are invalid. Flags
-    are not joined back, and a hot id is combined before the shuffle.
+    Per session_id the rows, the rows violating another rule and the rules violated by any are found: of an id with
+    several rows all are invalid. Flags are not joined back, and a hot id is combined before the shuffle. The flags
+    of a row, and of an id, are the bits of one number, so that an id takes three numbers of a task's memory.
     """
-    flags = _local_flags(t.sessions)
-    base = t.sessions.select("session_id", "station_id", "charger_id", *[f.alias(n) for n, f in flags.items()])
-    flagged = _with_key_flags(t, base)
-    others = [r for r in SESSION_RULES if r != "duplicate"]
-    bad = F.lit(False)
-    for r in others:
-        bad = bad | F.col(r)
-    per_id = flagged.groupBy("session_id").agg(
+    local = _bits(_local_flags(t.sessions), LOCAL_RULES)
+    flagged = _with_key_flags(t, t.sessions.select("session_id", "station_id", "charger_id", local.alias("local")))
+    rules = F.col("local").bitwiseOR(_bits({r: F.col(r) for r in KEY_RULES}, KEY_RULES))
+    per_id = flagged.select("session_id", rules.alias("rules")).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(bad).alias("bad"),
-        *[F.count_if(r).alias(r) for r in others],
+        F.count_if(F.col("rules") > 0).alias("bad"),
+        F.bit_or("rules").alias("rules"),
     )
     copies = F.col("rows") > 1
     totals = per_id.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("total_records"),
         F.coalesce(F.sum(F.when(copies, F.col("rows")).otherwise(F.col("bad"))), F.lit(0)).alias("invalid_records"),
         F.count_if(copies).alias("duplicate"),
-        *[F.coalesce(F.sum(r), F.lit(0)).alias(r) for r in others],
+        F.coalesce(F.bit_or("rules"), F.lit(0).cast("long")).alias("rules"),
     )
     orphans = _orphan_chargers(t).scalar()
-    violated = F.when(orphans > 0, 1).otherwise(0)
-    for r in SESSION_RULES:
-        violated = violated + F.when(F.col(r) > 0, 1).otherwise(0)
+    violated = F.when(orphans > 0, 1).otherwise(0) + F.when(F.col("duplicate") > 0, 1).otherwise(0)
+    violated = violated + F.bit_count("rules")
     valid = F.col("total_records") - F.col("invalid_records")
     return totals.select(
         "total_records",
