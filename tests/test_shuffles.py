@@ -68,3 +68,22 @@ def test_summary_by_hand(spark):
     assert flags == 11
     empty = quality.dq_summary(tables(spark, [station(1)], [charger(1, "S1")], [])).first().asDict()
     assert (empty["total_records"], empty["invalid_records"], empty["warnings"]) == (0, 0, 0)
+
+
+def test_looked_up_names_do_not_travel(spark, plan):
+    """A side that is broadcast joins after the one that shuffles; hot keys are counted on the sessions alone."""
+    t = network(spark, f"{TESTDATA}/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    names = network(spark, f"{TESTDATA}/sf0.001").stations
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    lines = plan(model.enrich_sessions(type(t)(names, t.chargers, t.sessions))).splitlines()
+    salted = next(k for k, line in enumerate(lines) if "Exchange hashpartitioning(charger_id" in line and "_salt" in line)
+    assert "station_name" not in lines[salted + 1] and any("station_name" in line for line in lines[:salted])
+    text = plan(model.enrich_sessions(t))  # both sides shuffle
+    lines = text.splitlines()
+    deep = [re.search(r"\w", line).start() if re.search(r"\w", line) else 0 for line in lines]
+    counts = [k for k, line in enumerate(lines) if "partial_approx_top_k" in line]
+    assert len(counts) >= 2
+    for k in counts:
+        end = next((j for j in range(k + 1, len(lines)) if deep[j] <= deep[k]), len(lines))
+        assert not any("_salt" in line for line in lines[k:end])

@@ -63,8 +63,16 @@ def _chargers(stations: DataFrame) -> DataFrame:
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One session per line item; status, minutes and energy follow from ``u``."""
-    lineitem = _table(spark, sf_dir, "lineitem")
+    """One session per line item; status, minutes and energy follow from ``u``.
+
+    Price and date become the small numbers that are needed of them before the joins shuffle the line items. FLOOR
+    and datediff never raise, so a row that joins nothing cannot fail; casts that may are left to the joined rows.
+    """
+    lineitem = _table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+        "FLOOR(l_extendedprice / 12) AS dozens",
+        "datediff(l_shipdate, DATE'1995-01-01') % 365 AS dd",
+    )
     orders = _table(spark, sf_dir, "orders")
     part = _table(spark, sf_dir, "part")
     joined = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
@@ -76,12 +84,12 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey * 100 + l_partkey % (4 + l_suppkey % 16) AS charger_id",
         "o_custkey AS customer_id",
         "p_brand AS vehicle_type",
-        "datediff(l_shipdate, DATE'1995-01-01') % 365 AS dd",
+        "dd",
         "CAST((l_partkey % 12 + l_orderkey % 13) * 60"
         " + (l_orderkey * 7 + l_linenumber * 13) % 60 AS INT) AS minute_of_day",
         "CAST(l_quantity AS INT) AS q",
         "l_partkey AS pk",
-        "CAST(FLOOR(l_extendedprice / 12) AS INT) AS e100",
+        "CAST(dozens AS INT) AS e100",
         "(l_orderkey * 31 + l_partkey * 17 + l_linenumber * 7 + l_suppkey * 3) % 100 AS u",
     )
     shaped = drawn.selectExpr(

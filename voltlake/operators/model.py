@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltlake.functions import calendar as cal
 from voltlake.plans.rollups import active_chargers
-from voltlake.plans.skew import lookup
+from voltlake.plans.skew import lookups
 from voltlake.sources.filters import ALL, GlobalFilter, filtered_sessions
 from voltlake.sources.tables import SESSION_COLUMNS, Tables
 
@@ -15,9 +15,8 @@ from voltlake.sources.tables import SESSION_COLUMNS, Tables
 def _enrich(t: Tables, sessions: DataFrame) -> DataFrame:
     names = t.stations.select("station_id", "station_name", "city")
     types = t.chargers.select("charger_id", "charger_type")
-    named = lookup(sessions, names, "station_id", "session_id")
     return (
-        lookup(named, types, "charger_id", "session_id")
+        lookups(sessions, "session_id", (names, "station_id"), (types, "charger_id"))
         .select(
             *SESSION_COLUMNS,
             cal.day().alias("date"),

@@ -38,13 +38,17 @@ def hot_keys(fact: DataFrame, key: str, partitions: int | None = None) -> DataFr
     return top.select(F.col("top.item").alias("hot_key"), salts.alias("salts")).filter("salts > 1")
 
 
-def salted_lookup(fact: DataFrame, side: DataFrame, key: str, row_key: str, partitions: int | None = None) -> DataFrame:
+def salted_lookup(
+    fact: DataFrame, side: DataFrame, key: str, row_key: str, partitions: int | None = None, counted: DataFrame | None = None,
+) -> DataFrame:
     """``fact`` left join ``side`` on ``key``; rows of one hot key are dealt over its salts by ``row_key``.
 
     Returns the key, the fact's and the side's other columns, as a join on the name does. The salt is a hash, so
-    a task that is run again deals its rows alike; rows with one ``row_key`` stay together.
+    a task that is run again deals its rows alike; rows with one ``row_key`` stay together. Hot keys are those of
+    ``counted``, where ``fact`` is that table after other lookups, which need not be made for counting.
     """
-    hot = F.broadcast(hot_keys(fact, key, partitions))  # at most one row per shuffle partition
+    # at most one row per shuffle partition
+    hot = F.broadcast(hot_keys(fact if counted is None else counted, key, partitions))
     salt = F.coalesce(F.pmod(F.xxhash64(row_key), F.col("salts")).cast("int"), F.lit(0))
     repeats = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))
     rows = fact.join(hot, F.col(key).eqNullSafe(F.col("hot_key")), "left").select(*fact.columns, salt.alias("_salt"))
@@ -52,8 +56,16 @@ def salted_lookup(fact: DataFrame, side: DataFrame, key: str, row_key: str, part
     return rows.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
-def lookup(fact: DataFrame, side: DataFrame, key: str, row_key: str) -> DataFrame:
-    """``fact`` left join ``side``: by broadcast where the side is known to be small, else with salted hot keys."""
-    if fits_broadcast(side):
-        return fact.join(side, key, "left")
-    return salted_lookup(fact, side, key, row_key)
+def lookups(fact: DataFrame, row_key: str, *sides: tuple[DataFrame, str]) -> DataFrame:
+    """``fact`` left join each of ``sides`` (table, key): by broadcast where a side is known to be small, else with
+    salted hot keys.
+
+    Joins that shuffle come first, so that what the others look up does not travel. Columns come in no certain order.
+    """
+    joined = fact
+    for side, key in sorted(sides, key=lambda one: fits_broadcast(one[0])):
+        if fits_broadcast(side):
+            joined = joined.join(side, key, "left")
+        else:
+            joined = salted_lookup(joined, side, key, row_key, counted=fact)
+    return joined
