@@ -6,9 +6,10 @@ sum t_i = radius - m + 1, agree within t_i bits on at least one part (t_i = -1:
 thresholds by dynamic programming on estimated candidate counts; ``links`` probes every fingerprint's
 t_i-neighbours of part i by an equi-join and verifies all 64 bits.
 
-``near_copies`` finds texts of a wanted Jaccard likeness. Those are often 4 to 11 bits apart, where the probes of
-64 bits meet a share of all pairs; so it takes no radius but each set's rarest shingles, which no two such sets
-can both avoid, and verifies the whole sets. It misses no pair.
+``near_copies`` finds texts of a wanted Jaccard likeness: the texts' fingerprints are linked as above, and
+the whole shingle sets of each link are compared. Such texts are often 4 to 11 bits apart, where the probes of 64 bits meet a
+share of all pairs; so what the links have not joined is then looked for by each set's rarest shingles, which no
+two such sets can both avoid, and verified alike. It misses no pair.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import bucket_candidates, component_sizes, components, small_side, stored
 
 BITS = 64
+PRINT_WIDTH = 3
 COPY_WIDTH = 5
 COPY_SIMILARITY = 0.8
 
@@ -58,7 +60,7 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(np.frombuffer(_digests(text, width), np.int64))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = PRINT_WIDTH) -> DataFrame:
     """``key`` and ``fp`` (the 64 bits as a signed long) of every whole text.
 
     A-Z is lowered; words are runs of other characters than space and tab to carriage return; shingles
@@ -321,40 +323,46 @@ def _rare_first(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.n
 
 
 def _prefixes(docs: DataFrame, text: str, key: str, width: int, similarity: float, common: tuple) -> DataFrame:
-    """``key``, id and size n of the shingle set, and keys: its rarest shingles, which two alike sets cannot both avoid."""
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, id long, n int, keys array<long>"
+    """``key``, id and size n of the shingle set, fp, the text's fingerprint as of :func:`fingerprints`, and keys: its rarest shingles, which two alike sets cannot both avoid."""
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, id long, n int, fp long, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(value.as_py() or "", width) for value in batch.column(1)]
+            texts = [value.as_py() or "" for value in batch.column(1)]
+            sets = [shingle_set(value, width) for value in texts]
+            prints = np.array([fingerprint_bytes(value, PRINT_WIDTH) for value in texts], np.uint64).view(np.int64)
             keys = [_rare_first(own, *common)[: len(own) - ceil(similarity * len(own) - 1e-9) + 1] for own in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([_set_id(own) for own in sets], pa.int64()),
-                pa.array([len(own) for own in sets], pa.int32()), _lists(keys),
-            ], names=[key, "id", "n", "keys"])
+                pa.array([len(own) for own in sets], pa.int32()),
+                pa.array(prints), _lists(keys),
+            ], names=[key, "id", "n", "fp", "keys"])
 
     return docs.select(key, text).mapInArrow(run, schema)
 
 
 def near_copies(
     docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = COPY_WIDTH, similarity: float = COPY_SIMILARITY,
-    sample_rows: int = 10_000, most_common: int = 200_000,
+    sample_rows: int = 10_000, most_common: int = 200_000, radius: int = 3,
 ) -> DataFrame:
     """Per row of ``docs``: ``key`` and component_id, the smallest ``key`` reachable over texts whose sets of
     ``width``-word shingles have at least this Jaccard likeness.
 
-    Equal sets are one class, and texts without a word are alike. Repeated rows come back repeated.
+    Equal sets are one class, and texts without a word are alike. Repeated rows come back repeated. Classes whose
+    fingerprints are within ``radius`` bits are compared first; pairs farther apart come from the rarest shingles.
     ``sample_rows`` and ``most_common`` bound what the order of the shingles is learned from, not what is found.
     """
     common = _common_shingles(docs, text, key, width, sample_rows, most_common)
     rows = stored(_prefixes(docs, text, key, width, similarity, common), "copy-prefixes")
-    classes = rows.groupBy("id").agg(F.min(key).alias("least"))
+    classes = stored(rows.groupBy("id").agg(F.min(key).alias("least"), F.min("fp").alias("fp")), "copy-classes")
+    close = _alike(_close_sets(classes, radius), docs, classes, text, key, width, similarity)
     members = rows.select("id", "n", F.posexplode("keys").alias("place", "key"))
     crowded = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     crowded = small_side(stored(crowded, "copy-keys"))
     buckets = members.join(crowded, "key").select("key", "id", "n", (F.col("n") - F.col("place")).alias("rest"))
     buckets = stored(buckets.distinct(), "copy-buckets")
     first = _alike(bucket_candidates(buckets, None, similarity), docs, classes, text, key, width, similarity)
+    first = first.unionByName(close)
     known = component_sizes(components(first, "copy-components"))
     more = _alike(bucket_candidates(buckets, known, similarity), docs, classes, text, key, width, similarity)
     found = components(first.unionByName(more), "copy-components").withColumnRenamed("node", "id")
@@ -364,6 +372,15 @@ def near_copies(
     return rows.select(key, "id").join(named, "id").select(key, "component_id")
 
 
+def _close_sets(classes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of ids of ``classes`` (id, fp) whose fingerprints are linked, by the least id of each fingerprint."""
+    named = classes.groupBy("fp").agg(F.min("id").alias("least_id"))
+    equal = classes.join(named, "fp").where("id != least_id").select(F.col("id").alias("a"), F.col("least_id").alias("b"))
+    linked = links(named, radius).join(named.select(F.col("fp").alias("u"), F.col("least_id").alias("a")), "u").join(
+        named.select(F.col("fp").alias("v"), F.col("least_id").alias("b")), "v")
+    return equal.unionByName(linked.select("a", "b"))
+
+
 def _alike(
     pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, key: str, width: int, similarity: float,
 ) -> DataFrame:
