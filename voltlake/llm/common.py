@@ -113,11 +113,13 @@ def rarest_buckets(sets: DataFrame, similarity: float) -> DataFrame:
     n is the set's size and rest how many of its members come at this one or later: two sets whose first
     common member this is have no more in common than the smaller rest.
     """
-    each = sets.select("id", F.size("members").alias("n"), F.explode("members").alias("key"))
-    frequency = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = each.join(frequency, "key").groupBy("id", "n").agg(
+    each = sets.select("id", F.explode("members").alias("key"))
+    frequency = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "set-members")
+    forget_shuffles(sets.sparkSession)
+    order = each.join(small_side(frequency), "key").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"),
     )
+    shared = order.join(sets.select("id", F.size("members").alias("n")), "id")
     alone = F.col("n") - F.size("order")
     places = F.col("n") - F.ceil(F.lit(similarity) * F.col("n")).cast("int") + 1 - alone
     return shared.where(places > 0).select(
@@ -125,12 +127,35 @@ def rarest_buckets(sets: DataFrame, similarity: float) -> DataFrame:
     ).select("one.key", "id", "n", (F.col("shared") - F.col("place")).alias("rest"))
 
 
-def bucket_candidates(buckets: DataFrame, known: DataFrame | None, similarity: float) -> DataFrame:
+#: Words of 64 bits in a set's parity.
+PARITY_WORDS = 4
+
+
+def parity(members: Column) -> list[Column]:
+    """Words p0, p1, ... of a bitmap of a set of hashes (distinct longs), in which each member flips one bit.
+
+    Two sets differ in at least as many members as their bitmaps differ in bits.
+    """
+    def word(number: int) -> Column:
+        def flip(bits: Column, h: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+            own = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(PARITY_WORDS - 1).cast("long")) == number
+            return F.when(own, bits.bitwiseXOR(bit)).otherwise(bits)
+
+        return F.aggregate(members, F.lit(0).cast("long"), flip).alias(f"p{number}")
+
+    return [word(number) for number in range(PARITY_WORDS)]
+
+
+def bucket_candidates(
+    buckets: DataFrame, known: DataFrame | None, similarity: float, parities: DataFrame | None = None,
+) -> DataFrame:
     """Pairs (a, b) to verify in each bucket (key, id, n, rest), without all pairs of a bucket.
 
     First (``known`` is None) every id meets the least one of its bucket. Then, with the components of
     what that verified, ids of different components meet; the bucket's largest component is not compared
-    with itself, and a bucket of one component not at all.
+    with itself, and a bucket of one component not at all. ``parities`` (id and the words of :func:`parity` for every
+    id, where n is the size of the same set) drop pairs there that differ in too many members to be alike, and no other.
     """
     if known is None:
         least = buckets.groupBy("key").agg(F.min(F.struct("id", "n", "rest")).alias("one")).select(
@@ -145,14 +170,22 @@ def bucket_candidates(buckets: DataFrame, known: DataFrame | None, similarity: f
         F.max_by("component", order).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"),
     ).where("lo < hi").select("key", "main")
     marked = marked.join(mixed, "key")
+    words = [] if parities is None else [f"p{number}" for number in range(PARITY_WORDS)]
+    if words:
+        marked = marked.join(parities, "id")
     odd = marked.where("component != main").select(
         "key", "main", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("rest").alias("rx"),
+        *[F.col(word).alias(f"x{word}") for word in words],
     )
     other = marked.select(
         "key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("rest").alias("ry"),
+        *[F.col(word).alias(f"y{word}") for word in words],
     )
     # of two sets this alike, the smaller rest at their first common member holds the common part
     enough = F.least("rx", "ry") * (1 + similarity) >= (F.col("nx") + F.col("ny")) * similarity - 1e-6
+    if words:
+        apart = sum((F.bit_count(F.col(f"x{word}").bitwiseXOR(F.col(f"y{word}"))) for word in words), F.lit(0))
+        enough &= apart * (1 + similarity) <= (F.col("nx") + F.col("ny")) * (1 - similarity) + 1e-6
     pairs = odd.join(other, "key").where("cx != cy and (cy = main or x < y)").where(enough)
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bound, bucket_candidates, clean_text, component_sizes, components, rarest_buckets, small_side, stored
+from .common import (
+    bound, bucket_candidates, clean_text, component_sizes, components, forget_shuffles, free, parity, rarest_buckets, small_side, stored,
+)
 
 CHAIN = 2
 SIMILARITY = 0.8
@@ -163,31 +165,50 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     likeness cannot avoid) are candidates; sizes prune, then Jaccard is exact. Every set pair of the
     likeness ends in one component.
     """
-    rows = stored(docs.select(F.col(key).alias("doc"), signatures(clean_text(text)).alias("signature")).select(
+    spark = docs.sparkSession
+    signed = stored(docs.select(F.col(key).alias("doc"), signatures(clean_text(text)).alias("signature")).select(
         "doc", F.xxhash64("signature").alias("id"), "signature"), "spot-sets")
-    classes = stored(rows.groupBy("id").agg(F.min("doc").alias("least"), F.first("signature").alias("signature")), "spot-classes")
+    classes = stored(signed.groupBy("id").agg(F.min("doc").alias("least"), F.first("signature").alias("signature")), "spot-classes")
+    rows = stored(signed.select("doc", "id"), "spot-rows")
+    free(signed)
+    forget_shuffles(spark)
     sets = classes.where(F.size("signature") > 0)
+    parities = stored(sets.select("id", *parity(F.col("signature"))), "spot-parities")
     sized = rarest_buckets(sets.select("id", F.col("signature").alias("members")), similarity)
     span = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(similarity)) + F.lit(1e-9)).cast("int")
     buckets = sized.select("id", "key", "n", "rest", F.explode(F.array(span, span + 1)).alias("span")).select(
         F.xxhash64("key", "span").alias("key"), "id", "n", "rest").distinct()
     buckets = stored(buckets, "spot-buckets")
-    edges = stored(_compared(bucket_candidates(buckets, None, similarity), sets, similarity), "spot-edges")
-    known = component_sizes(components(edges, "spot-components"))
-    more = stored(_compared(bucket_candidates(buckets, known, similarity), sets, similarity), "spot-edges")
+    forget_shuffles(spark)
+    edges = _compared(bucket_candidates(buckets, None, similarity), sets, similarity)
+    found = components(edges, "spot-components")
+    known = component_sizes(found)
+    more = _compared(bucket_candidates(buckets, known, similarity, parities), sets, similarity)
+    free(buckets, parities, found, known)
     linked = components(edges.unionByName(more), "spot-components")
     rooted = classes.select("id", "least").join(linked.withColumnRenamed("node", "id"), "id", "left").select(
         "id", "least", F.coalesce("component", "id").alias("component"))
     roots = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     named = rooted.join(roots, "component").select("id", "component_id")
-    return rows.select("doc", "id").join(named, "id").select(F.col("doc").alias(key), F.col("id").alias("set_id"), "component_id")
+    near = stored(rows.join(named, "id").select(F.col("doc").alias(key), F.col("id").alias("set_id"), "component_id"), "spot-near")
+    free(rows, classes, edges, more)
+    forget_shuffles(spark)
+    return near
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) of the pairs whose sizes allow the likeness and whose Jaccard has it."""
-    sets = small_side(sets.select("id", "signature"), 50_000)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
+    """Edges (u, v) of the pairs whose sizes allow the likeness and whose Jaccard has it. A written table."""
+    pairs = stored(pairs, "spot-pairs")
+    forget_shuffles(pairs.sparkSession)
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = stored(ids, "spot-wanted")
+    # the sets of no pair stay where they are
+    wanted = sets.select("id", "signature").join(small_side(ids), "id", "left_semi")
+    both = pairs.join(wanted.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(
+        wanted.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
     smaller, larger = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    return both.where((smaller >= F.lit(similarity) * larger) & (likeness(F.col("sa"), F.col("sb")) >= similarity)).select(
-        F.col("a").alias("u"), F.col("b").alias("v"))
+    alike = both.where((smaller >= F.lit(similarity) * larger) & (likeness(F.col("sa"), F.col("sb")) >= similarity))
+    edges = stored(alike.select(F.col("a").alias("u"), F.col("b").alias("v")), "spot-edges")
+    free(pairs, ids)
+    forget_shuffles(pairs.sparkSession)
+    return edges
