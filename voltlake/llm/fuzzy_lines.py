@@ -1,12 +1,16 @@
 """Near-duplicate lines: MinHash candidates, exact Jaccard verification, one line kept per component.
 
 A line's shingles are all its windows of ``WIDTH`` characters, one at every position, lower-cased (a shorter
-line is one shingle). Its signature is the bottom of their hashes: the ``BOTTOM`` smallest, of which each
-``RUN`` in a row make a band key, and each two in a row as well where a line has less than ``FEW`` shingles.
-Lines of Jaccard 0.8 share a key with a chance of about 0.98. Lines that share a key are compared by the
-whole sets of their shingles. Everything is DataFrame expressions. Equal lines are one line from the start: each
-distinct text is signed once and has a number; occurrences find theirs by two 64-bit hashes. Tables and shuffles
-of a step are deleted once the next has been written.
+line is one shingle). Its signature is the bottom of their hashes. Among the ``LONG_BOTTOM`` smallest, ``LONG_RUN``
+in a row make a band key; the ``STARTS`` of these whose first hash has the least lower half are taken, spread as they
+are they fail apart from each other. A line of less than ``LONG`` shingles has a key of each ``RUN`` in a row of
+its ``BOTTOM`` smallest instead, one of less than ``FEW`` of each two as well; lines up to ``LONG`` / 0.8, which may
+resemble shorter ones, have both. Lines of Jaccard 0.8 share a key with a chance of 0.99 (drawn at random, 3,000
+pairs for each of eight lengths), and lines that are not alike hardly ever share one of ``LONG_RUN`` hashes. Lines
+that share a key are compared by the whole sets of their shingles. Everything is DataFrame expressions. Equal lines
+are one line from the start: each distinct text is signed once and has a number; occurrences find theirs by two
+64-bit hashes. Texts are not kept: those of lines that share a key are taken from the documents again. Tables and
+shuffles of a step are deleted once the next has been written.
 """
 
 from __future__ import annotations
@@ -14,12 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, bucket_candidates, component_sizes, components, forget_shuffles, free, small_side, stored
+from .common import bound, bucket_candidates, component_sizes, components, forget_shuffles, free, parity, small_side, stored
 
 WIDTH = 5
 BOTTOM = 20
 RUN = 4
 FEW = 16
+LONG = 64
+LONG_BOTTOM = 64
+LONG_RUN = 6
+STARTS = 18
 SIMILARITY = 0.8
 MIN_CHARS = 4
 
@@ -28,9 +36,9 @@ def _shingles(line: str) -> Column:
     """Hashes of the windows at every character (four bytes each), each once."""
     def windows(chars: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.octet_length(chars) - (4 * WIDTH - 1), F.lit(1)), F.lit(4))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(chars, i, F.lit(4 * WIDTH)))))
+        return F.transform(starts, lambda i: F.xxhash64(F.substring(chars, i, F.lit(4 * WIDTH))))
 
-    return bound(F.encode(F.lower(line), "UTF-32"), windows)
+    return F.array_distinct(bound(F.encode(F.lower(line), "UTF-32"), windows))
 
 
 def _runs(least: Column, length: int) -> Column:
@@ -41,15 +49,33 @@ def _runs(least: Column, length: int) -> Column:
     )
 
 
-def _signature(shingles: Column) -> Column:
-    """n, the number of shingles, and keys, of runs among the smallest hashes."""
-    def signed(own: Column) -> Column:
-        keys = bound(F.slice(F.sort_array(own), 1, BOTTOM), lambda least: F.when(
-            F.size(least) < FEW, F.array_union(_runs(least, RUN), _runs(least, 2)),
-        ).otherwise(_runs(least, RUN)))
-        return F.struct(F.size(own).alias("n"), keys.alias("keys"))
-
-    return bound(shingles, signed)
+def _spread_runs(least: Column) -> Column:
+    """Keys of ``LONG_RUN`` hashes in a row, for the ``STARTS`` starts of the least lower halves."""
+    starts = F.transform(
+        F.slice(least, 1, F.greatest(F.size(least) - (LONG_RUN - 1), F.lit(1))),
+        lambda h, i: F.shiftleft(h, 32).bitwiseOR(i.cast("long")),
+    )
+    return bound(least, lambda own: F.transform(F.slice(F.sort_array(starts), 1, STARTS), lambda start: bound(
+        start.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int"),
+        lambda i: F.xxhash64(*[F.get(own, i + k) for k in range(LONG_RUN)]),
+    )))
+
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``line`` replaced by keys, of runs among the smallest of its shingles' hashes."""
+    # one step each outside of lambdas, where sets and sorting of longs are compiled
+    shingled = lines.withColumn("own", _shingles("line")).drop("line")
+    rest = [c for c in shingled.columns if c != "own"]
+    sized = shingled.select(*rest, F.size("own").alias("n"), F.slice(F.sort_array("own"), 1, LONG_BOTTOM).alias("least"))
+    few = bound(F.slice("least", 1, BOTTOM), lambda least: F.when(
+        F.size(least) < FEW, F.array_union(_runs(least, RUN), _runs(least, 2)),
+    ).otherwise(_runs(least, RUN)))
+    none = F.array().cast("array<bigint>")
+    keys = F.concat(
+        F.when(F.col("n") * F.lit(SIMILARITY) <= LONG, few).otherwise(none),
+        F.when(F.col("n") >= LONG, _spread_runs(F.col("least"))).otherwise(none),
+    )
+    return sized.select(*rest, "n", F.array_distinct(keys).alias("keys"))
 
 
 def _row(text: str) -> Column:
@@ -81,20 +107,30 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     )
 
 
-def _linked(texts: DataFrame, similarity: float) -> DataFrame:
-    """Components (node, component) of the numbers of the distinct lines ``texts`` (id, line) that are near copies."""
-    spark = texts.sparkSession
-    signature = _signature(_shingles("line")).alias("signature")
-    signed = stored(texts.select("id", signature).select("id", "signature.n", "signature.keys"), "line-signatures")
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and line of the ``wanted`` (id, h1, h2), from the occurrences ``lines``."""
+    found = lines.select("line", *_hashes()).join(small_side(wanted), ["h1", "h2"])
+    return found.groupBy("id").agg(F.first("line").alias("line"))
+
+
+def _linked(signed: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Components (node, component) of the numbers of the distinct lines ``signed`` (id, h1, h2, n, keys) that are near copies."""
+    spark = signed.sparkSession
     members = signed.select("id", "n", F.explode("keys").alias("key"))
     crowded = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     keys = stored(crowded, "line-keys")
-    buckets = stored(members.join(small_side(keys), "key").distinct().withColumn("rest", F.col("n")), "line-buckets")
-    free(signed, keys)
+    forget_shuffles(spark)
+    buckets = stored(members.join(small_side(keys), "key").withColumn("rest", F.col("n")), "line-buckets")
+    free(keys)
+    forget_shuffles(spark)
+    wanted = stored(signed.select("id", "h1", "h2").join(small_side(buckets.select("id").distinct()), "id", "left_semi"), "line-wanted")
+    texts = stored(_texts(lines, wanted), "line-texts")
+    parities = stored(texts.select("id", _shingles("line").alias("own")).select("id", *parity(F.col("own"))), "line-parities")
+    free(wanted)
     forget_shuffles(spark)
 
     def alike(known: DataFrame | None) -> DataFrame:
-        pairs = stored(bucket_candidates(buckets, known, similarity), "line-pairs")
+        pairs = stored(bucket_candidates(buckets, known, similarity, parities), "line-pairs")
         forget_shuffles(spark)
         edges = stored(_verified(pairs, texts, similarity), "line-edges")
         free(pairs)
@@ -105,7 +141,7 @@ def _linked(texts: DataFrame, similarity: float) -> DataFrame:
     found = components(first, "line-components")
     known = component_sizes(found)
     more = alike(known)
-    free(buckets, found, known)
+    free(buckets, found, known, texts, parities)
     linked = components(first.unionByName(more), "line-components")
     free(first, more)
     return linked
@@ -120,12 +156,14 @@ def repeated_lines(
     """
     lines = _occurrences(docs, text, key, min_chars)
     distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
-    texts = stored(distinct.select(F.monotonically_increasing_id().alias("id"), *_hashes(), "copies", "line"), "line-texts")
+    numbered = distinct.select(F.monotonically_increasing_id().alias("id"), *_hashes(), "copies", "line")
+    signed = stored(_signed(numbered), "line-signatures")
     forget_shuffles(docs.sparkSession)
-    linked = _linked(texts.select("id", "line"), similarity)
-    groups = texts.join(linked, texts.id == linked.node, "left").where("copies > 1 or component is not null")
+    linked = _linked(signed, lines, similarity)
+    groups = signed.drop("keys").join(linked, signed.id == linked.node, "left").where("copies > 1 or component is not null")
     groups = stored(groups.select("h1", "h2", F.coalesce("component", "id").alias("group")), "line-groups")
-    free(texts, linked)
+    free(signed, linked)
+    forget_shuffles(docs.sparkSession)
     grouped = lines.select("doc", "row", "place", *_hashes()).join(small_side(groups), ["h1", "h2"])
     grouped = stored(grouped.select("doc", "row", "place", "group"), "line-repeats")
     # the first key of each group, then its first row, then the place there: plain minima, combined before the shuffle
@@ -137,6 +175,7 @@ def repeated_lines(
     dropped = grouped.join(kept, "group").where("doc != kept_doc or row != kept_row or place != kept_place")
     drops = stored(dropped.groupBy("doc", "row").agg(F.sort_array(F.collect_set("place")).alias("places")), "line-drops")
     free(groups, grouped)
+    forget_shuffles(docs.sparkSession)
     return drops
 
 
@@ -144,12 +183,12 @@ def _kept(docs: DataFrame, text: str, key: str, similarity: float, min_chars: in
     """doc (the row as it is), lines and the places that stay (kept)."""
     drops = repeated_lines(docs, text, key, similarity, min_chars).select(
         F.col("doc").alias("drop_doc"), F.col("row").alias("drop_row"), "places")
-    rows = docs.select(
-        F.struct("*").alias("doc"), F.col(key).alias("key"), _row(text).alias("row"),
-        F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"),
-    )
+    rows = docs.select(F.struct("*").alias("doc"), F.col(key).alias("key"), _row(text).alias("row"))
+    # the text is split behind the join, so that it travels once
+    joined = rows.join(drops, (F.col("key") == F.col("drop_doc")) & (F.col("row") == F.col("drop_row")), "left")
+    split = joined.select("doc", "places", F.split(F.coalesce(F.col("doc")[text], F.lit("")), "\n").alias("lines"))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
-    return rows.join(drops, (F.col("key") == F.col("drop_doc")) & (F.col("row") == F.col("drop_row")), "left").select(
+    return split.select(
         "doc", "lines", F.when(F.col("places").isNull(), every).otherwise(F.array_except(every, "places")).alias("kept"),
     )
 
