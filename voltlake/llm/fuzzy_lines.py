@@ -5,8 +5,8 @@ line is one shingle). Its signature is the bottom of their hashes. Among the ``L
 in a row make a band key; the ``STARTS`` of these whose first hash has the least lower half are taken, spread as they
 are they fail apart from each other. A line of less than ``LONG`` shingles has a key of each ``RUN`` in a row of
 its ``BOTTOM`` smallest instead, one of less than ``FEW`` of each two as well; lines up to ``LONG`` / 0.8, which may
-resemble shorter ones, have both. Lines of Jaccard 0.8 share a key with a chance of 0.99 (drawn at random, 3,000
-pairs for each of eight lengths), and lines that are not alike hardly ever share one of ``LONG_RUN`` hashes. Lines
+resemble shorter ones, have both. Lines of Jaccard 0.8 share a key with a chance of 0.99 (by drawing pairs
+at random), and lines that are not alike hardly ever share one of ``LONG_RUN`` hashes. Lines
 that share a key are compared by the whole sets of their shingles. Everything is DataFrame expressions. Equal lines
 are one line from the start: each distinct text is signed once and has a number; occurrences find theirs by two
 64-bit hashes. Texts are not kept: those of lines that share a key are taken from the documents again. Tables and
@@ -27,7 +27,7 @@ FEW = 16
 LONG = 64
 LONG_BOTTOM = 64
 LONG_RUN = 6
-STARTS = 18
+STARTS = 22
 SIMILARITY = 0.8
 MIN_CHARS = 4
 
