@@ -25,7 +25,7 @@ BOTTOM = 20
 RUN = 4
 FEW = 16
 LONG = 64
-LONG_BOTTOM = 64
+LONG_BOTTOM = 100
 LONG_RUN = 6
 STARTS = 22
 SIMILARITY = 0.8
