@@ -37,12 +37,22 @@ def shared_folder(spark: SparkSession) -> str:
 _PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
+#: With this setting Spark deletes the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written to the shared folder and read back: the lineage ends there, so a lost executor
-    costs no more than the tasks that read it. Tables that no later result reads are given to :func:`free`."""
+    costs no more than the tasks that read it, and the shuffle files of the write are deleted with its end.
+    Tables that no later result reads are given to :func:`free`."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(frame.schema).parquet(path)
     _PLACES[back] = path
     return back
@@ -57,15 +67,6 @@ def free(*tables: DataFrame) -> None:
             place.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Let the executors delete the shuffle files of finished steps.
-
-    Spark deletes them when the driver's garbage collector meets what stood for them, which a driver with
-    little to do may not run for a long time.
-    """
-    spark._jvm.System.gc()
-
-
 def clean_text(text: str = "text") -> Column:
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(text), F.lit(""))
@@ -115,7 +116,6 @@ def rarest_buckets(sets: DataFrame, similarity: float) -> DataFrame:
     """
     each = sets.select("id", F.explode("members").alias("key"))
     frequency = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "set-members")
-    forget_shuffles(sets.sparkSession)
     order = each.join(small_side(frequency), "key").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"),
     )
@@ -147,6 +147,39 @@ def parity(members: Column) -> list[Column]:
     return [word(number) for number in range(PARITY_WORDS)]
 
 
+def parities(sets: DataFrame, words: int) -> DataFrame:
+    """id and the ``words`` (a power of two) words of the bitmap that :func:`parity` describes, of ``sets`` (id, members).
+
+    For large sets, whose bitmaps take more words: generated code, combined in the task that has the set.
+    """
+    each = sets.select("id", F.explode("members").alias("h")).select(
+        "id", F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(words - 1).cast("long")).alias("word"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63).cast("long")).cast("int")).alias("bit"),
+    )
+    none = F.lit(0).cast("long")
+    return each.groupBy("id").agg(*[
+        F.bit_xor(F.when(F.col("word") == number, F.col("bit")).otherwise(none)).alias(f"p{number}") for number in range(words)
+    ])
+
+
+def _may_be_alike(words: list[str], a: str, b: str, total: Column, similarity: float) -> Column:
+    """Whether the bitmaps with names led by ``a`` and ``b`` differ in few enough bits for sets of ``total`` members together."""
+    apart = sum((F.bit_count(F.col(f"{a}{word}").bitwiseXOR(F.col(f"{b}{word}"))) for word in words), F.lit(0))
+    return apart * (1 + similarity) <= total * (1 - similarity) + 1e-6
+
+
+def _mixed(buckets: DataFrame, known: DataFrame) -> DataFrame:
+    """The entries of buckets of several components, with their component and the bucket's largest one (main)."""
+    marked = buckets.join(known.withColumnRenamed("node", "id"), "id", "left").select(
+        "key", "id", "n", "rest", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"),
+    )
+    order = F.shiftleft(F.col("size").cast("long"), 20).bitwiseOR(F.xxhash64("component").bitwiseAND(F.lit((1 << 20) - 1)))
+    mixed = marked.groupBy("key").agg(
+        F.max_by("component", order).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+    ).where("lo < hi").select("key", "main")
+    return marked.join(mixed, "key")
+
+
 def bucket_candidates(
     buckets: DataFrame, known: DataFrame | None, similarity: float, parities: DataFrame | None = None,
 ) -> DataFrame:
@@ -155,22 +188,20 @@ def bucket_candidates(
     First (``known`` is None) every id meets the least one of its bucket. Then, with the components of
     what that verified, ids of different components meet; the bucket's largest component is not compared
     with itself, and a bucket of one component not at all. ``parities`` (id and the words of :func:`parity` for every
-    id, where n is the size of the same set) drop pairs there that differ in too many members to be alike, and no other.
+    id, where n is the size of the same set) drop pairs that differ in too many members to be alike, and no other.
     """
+    words = [] if parities is None else [c for c in parities.columns if c != "id"]
     if known is None:
         least = buckets.groupBy("key").agg(F.min(F.struct("id", "n", "rest")).alias("one")).select(
             "key", F.col("one.id").alias("b"), F.col("one.n").alias("nb"), F.col("one.rest").alias("rb"))
         enough = F.least("rest", "rb") * (1 + similarity) >= (F.col("n") + F.col("nb")) * similarity - 1e-6
-        return buckets.join(least, "key").where("id != b").where(enough).select(F.col("id").alias("a"), "b").distinct()
-    marked = buckets.join(known.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", "n", "rest", F.coalesce("component", "id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"),
-    )
-    order = F.shiftleft(F.col("size").cast("long"), 20).bitwiseOR(F.xxhash64("component").bitwiseAND(F.lit((1 << 20) - 1)))
-    mixed = marked.groupBy("key").agg(
-        F.max_by("component", order).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-    ).where("lo < hi").select("key", "main")
-    marked = marked.join(mixed, "key")
-    words = [] if parities is None else [f"p{number}" for number in range(PARITY_WORDS)]
+        pairs = buckets.join(least, "key").where("id != b").where(enough)
+        if not words:
+            return pairs.select(F.col("id").alias("a"), "b").distinct()
+        one = pairs.select("id", "b", (F.col("n") + F.col("nb")).alias("total")).distinct().join(parities, "id")
+        two = parities.select(F.col("id").alias("b"), *[F.col(word).alias(f"y{word}") for word in words])
+        return one.join(two, "b").where(_may_be_alike(words, "", "y", F.col("total"), similarity)).select(F.col("id").alias("a"), "b")
+    marked = _mixed(buckets, known)
     if words:
         marked = marked.join(parities, "id")
     odd = marked.where("component != main").select(
@@ -184,12 +215,34 @@ def bucket_candidates(
     # of two sets this alike, the smaller rest at their first common member holds the common part
     enough = F.least("rx", "ry") * (1 + similarity) >= (F.col("nx") + F.col("ny")) * similarity - 1e-6
     if words:
-        apart = sum((F.bit_count(F.col(f"x{word}").bitwiseXOR(F.col(f"y{word}"))) for word in words), F.lit(0))
-        enough &= apart * (1 + similarity) <= (F.col("nx") + F.col("ny")) * (1 - similarity) + 1e-6
+        enough &= _may_be_alike(words, "x", "y", F.col("nx") + F.col("ny"), similarity)
     pairs = odd.join(other, "key").where("cx != cy and (cy = main or x < y)").where(enough)
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
+#: Ids of a bucket that meet each other in one draw of :func:`drawn_candidates`, on average.
+DRAWN = 4
+
+
+def drawn_candidates(buckets: DataFrame, known: DataFrame, similarity: float, parities: DataFrame) -> DataFrame:
+    """Pairs (a, b) to verify between the two steps of :func:`bucket_candidates`, some for each entry of a bucket.
+
+    The ids of a bucket of several components are dealt by their hashes into groups of about ``DRAWN``, and those of other
+    components meet in their group. That joins nearly all of a large group of alike ids, whose links would else all
+    come up, with the square of its size, when ids of different components meet. What it misses is left to that step.
+    """
+    marked = _mixed(buckets, known)
+    entries = marked.groupBy("key").agg(F.count(F.lit(1)).alias("entries"))
+    deal = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("entries") / DRAWN)).alias("deal")
+    words = [c for c in parities.columns if c != "id"]
+    dealt = marked.join(entries, "key").select("key", deal, "id", "n", "rest", "component").join(parities, "id")
+    other = dealt.select("key", "deal", *[F.col(c).alias(f"y{c}") for c in ("id", "n", "rest", "component", *words)])
+    enough = F.least("rest", "yrest") * (1 + similarity) >= (F.col("n") + F.col("yn")) * similarity - 1e-6
+    enough &= _may_be_alike(words, "", "y", F.col("n") + F.col("yn"), similarity)
+    pairs = dealt.join(other, ["key", "deal"]).where("id > yid and component != ycomponent").where(enough)
+    return pairs.select(F.col("id").alias("a"), F.col("yid").alias("b")).distinct()
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     """Each link once, as (larger, smaller)."""
     return (

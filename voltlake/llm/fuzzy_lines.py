@@ -9,8 +9,8 @@ resemble shorter ones, have both. Lines of Jaccard 0.8 share a key with a chance
 at random), and lines that are not alike hardly ever share one of ``LONG_RUN`` hashes. Lines
 that share a key are compared by the whole sets of their shingles. Everything is DataFrame expressions. Equal lines
 are one line from the start: each distinct text is signed once and has a number; occurrences find theirs by two
-64-bit hashes. Texts are not kept: those of lines that share a key are taken from the documents again. Tables and
-shuffles of a step are deleted once the next has been written.
+64-bit hashes. Texts are not kept: those of lines that share a key are taken from the documents again. Tables of
+a step are deleted once the next has been written.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, bucket_candidates, component_sizes, components, forget_shuffles, free, parity, small_side, stored
+from .common import bound, bucket_candidates, component_sizes, components, free, parities, small_side, stored
 
 WIDTH = 5
 BOTTOM = 20
@@ -28,6 +28,8 @@ LONG = 64
 LONG_BOTTOM = 100
 LONG_RUN = 6
 STARTS = 22
+#: Lines have some hundreds of shingles, of which pairs of one template differ in a fourth and more: too many for fewer bits.
+PARITY_WORDS = 16
 SIMILARITY = 0.8
 MIN_CHARS = 4
 
@@ -115,33 +117,28 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _linked(signed: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """Components (node, component) of the numbers of the distinct lines ``signed`` (id, h1, h2, n, keys) that are near copies."""
-    spark = signed.sparkSession
     members = signed.select("id", "n", F.explode("keys").alias("key"))
-    crowded = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    # the keys of a line are distinct, so a key that comes twice has two lines
+    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     keys = stored(crowded, "line-keys")
-    forget_shuffles(spark)
     buckets = stored(members.join(small_side(keys), "key").withColumn("rest", F.col("n")), "line-buckets")
     free(keys)
-    forget_shuffles(spark)
     wanted = stored(signed.select("id", "h1", "h2").join(small_side(buckets.select("id").distinct()), "id", "left_semi"), "line-wanted")
     texts = stored(_texts(lines, wanted), "line-texts")
-    parities = stored(texts.select("id", _shingles("line").alias("own")).select("id", *parity(F.col("own"))), "line-parities")
+    marks = stored(parities(texts.select("id", _shingles("line").alias("members")), PARITY_WORDS), "line-parities")
     free(wanted)
-    forget_shuffles(spark)
 
     def alike(known: DataFrame | None) -> DataFrame:
-        pairs = stored(bucket_candidates(buckets, known, similarity, parities), "line-pairs")
-        forget_shuffles(spark)
+        pairs = stored(bucket_candidates(buckets, known, similarity, marks), "line-pairs")
         edges = stored(_verified(pairs, texts, similarity), "line-edges")
         free(pairs)
-        forget_shuffles(spark)
         return edges
 
     first = alike(None)
     found = components(first, "line-components")
     known = component_sizes(found)
     more = alike(known)
-    free(buckets, found, known, texts, parities)
+    free(buckets, found, known, texts, marks)
     linked = components(first.unionByName(more), "line-components")
     free(first, more)
     return linked
@@ -158,12 +155,10 @@ def repeated_lines(
     distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("copies"))
     numbered = distinct.select(F.monotonically_increasing_id().alias("id"), *_hashes(), "copies", "line")
     signed = stored(_signed(numbered), "line-signatures")
-    forget_shuffles(docs.sparkSession)
     linked = _linked(signed, lines, similarity)
     groups = signed.drop("keys").join(linked, signed.id == linked.node, "left").where("copies > 1 or component is not null")
     groups = stored(groups.select("h1", "h2", F.coalesce("component", "id").alias("group")), "line-groups")
     free(signed, linked)
-    forget_shuffles(docs.sparkSession)
     grouped = lines.select("doc", "row", "place", *_hashes()).join(small_side(groups), ["h1", "h2"])
     grouped = stored(grouped.select("doc", "row", "place", "group"), "line-repeats")
     # the first key of each group, then its first row, then the place there: plain minima, combined before the shuffle
@@ -175,7 +170,6 @@ def repeated_lines(
     dropped = grouped.join(kept, "group").where("doc != kept_doc or row != kept_row or place != kept_place")
     drops = stored(dropped.groupBy("doc", "row").agg(F.sort_array(F.collect_set("place")).alias("places")), "line-drops")
     free(groups, grouped)
-    forget_shuffles(docs.sparkSession)
     return drops
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_candidates, component_sizes, components, small_side, stored
+from .common import bucket_candidates, component_sizes, components, free, small_side, stored
 
 BITS = 64
 PRINT_WIDTH = 3
@@ -387,7 +387,8 @@ def _alike(
     """Edges (u, v) of the pairs (a, b) of set ids whose whole sets, made again from one row of each, are alike."""
     pairs = stored(pairs, "copy-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = small_side(stored(classes.join(ids, "id").select("id", "least"), "copy-wanted"))
+    chosen = stored(classes.join(ids, "id").select("id", "least"), "copy-wanted")
+    wanted = small_side(chosen)
     texts = docs.join(wanted, F.col(key).eqNullSafe(F.col("least")), "left_semi")
     # a key may have other rows, with other sets
     sets = _shingle_sets(texts, text, width).join(wanted.select("id"), "id", "left_semi")
@@ -397,8 +398,10 @@ def _alike(
     counted = both.select(
         "a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("total"),
     )
-    return stored(counted.where(F.col("n") >= F.lit(similarity) * (F.col("total") - F.col("n")) - 1e-9).select(
+    edges = stored(counted.where(F.col("n") >= F.lit(similarity) * (F.col("total") - F.col("n")) - 1e-9).select(
         F.col("a").alias("u"), F.col("b").alias("v")), "copy-edges")
+    free(pairs, chosen, sets)
+    return edges
 
 
 def deduplicate(

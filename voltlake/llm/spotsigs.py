@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import (
-    bound, bucket_candidates, clean_text, component_sizes, components, forget_shuffles, free, parity, rarest_buckets, small_side, stored,
+    bound, bucket_candidates, clean_text, component_sizes, components, free, parity, rarest_buckets, small_side, stored,
 )
 
 CHAIN = 2
@@ -165,13 +165,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     likeness cannot avoid) are candidates; sizes prune, then Jaccard is exact. Every set pair of the
     likeness ends in one component.
     """
-    spark = docs.sparkSession
     signed = stored(docs.select(F.col(key).alias("doc"), signatures(clean_text(text)).alias("signature")).select(
         "doc", F.xxhash64("signature").alias("id"), "signature"), "spot-sets")
     classes = stored(signed.groupBy("id").agg(F.min("doc").alias("least"), F.first("signature").alias("signature")), "spot-classes")
     rows = stored(signed.select("doc", "id"), "spot-rows")
     free(signed)
-    forget_shuffles(spark)
     sets = classes.where(F.size("signature") > 0)
     parities = stored(sets.select("id", *parity(F.col("signature"))), "spot-parities")
     sized = rarest_buckets(sets.select("id", F.col("signature").alias("members")), similarity)
@@ -179,7 +177,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     buckets = sized.select("id", "key", "n", "rest", F.explode(F.array(span, span + 1)).alias("span")).select(
         F.xxhash64("key", "span").alias("key"), "id", "n", "rest").distinct()
     buckets = stored(buckets, "spot-buckets")
-    forget_shuffles(spark)
     edges = _compared(bucket_candidates(buckets, None, similarity), sets, similarity)
     found = components(edges, "spot-components")
     known = component_sizes(found)
@@ -192,14 +189,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     named = rooted.join(roots, "component").select("id", "component_id")
     near = stored(rows.join(named, "id").select(F.col("doc").alias(key), F.col("id").alias("set_id"), "component_id"), "spot-near")
     free(rows, classes, edges, more)
-    forget_shuffles(spark)
     return near
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (u, v) of the pairs whose sizes allow the likeness and whose Jaccard has it. A written table."""
     pairs = stored(pairs, "spot-pairs")
-    forget_shuffles(pairs.sparkSession)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     ids = stored(ids, "spot-wanted")
     # the sets of no pair stay where they are
@@ -210,5 +205,4 @@ def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     alike = both.where((smaller >= F.lit(similarity) * larger) & (likeness(F.col("sa"), F.col("sb")) >= similarity))
     edges = stored(alike.select(F.col("a").alias("u"), F.col("b").alias("v")), "spot-edges")
     free(pairs, ids)
-    forget_shuffles(pairs.sparkSession)
     return edges
