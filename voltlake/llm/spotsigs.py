@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import (
-    bound, bucket_candidates, clean_text, component_sizes, components, free, parity, rarest_buckets, small_side, stored,
+    bound, bucket_candidates, clean_text, component_sizes, components, drawn_candidates, free, parity, rarest_buckets, small_side, stored,
 )
 
 CHAIN = 2
@@ -145,14 +145,18 @@ def edited_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 def full_report(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """:func:`edited_report` with set_id and component_id of :func:`near_duplicates`.
 
-    They meet on (``key``, set_id), which spreads groups of equal texts over the tasks; rows that agree in both have
-    one component, so repeated rows, rows of one key with other texts and null keys each come back once.
+    Only rows whose component has another key than their own are looked up, by (``key``, set_id), which spreads groups of
+    equal texts over the tasks if they are too many to be broadcast; rows that agree in both have one component, so repeated
+    rows, rows of one key with other texts and null keys each come back once.
     """
-    near = near_duplicates(docs, text, key, similarity).groupBy(key, "set_id").agg(F.first("component_id").alias("component_id"))
-    near = near.withColumnsRenamed({key: "near_key", "set_id": "near_set"})
+    near = near_duplicates(docs, text, key, similarity)
+    moved = near.where(~F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key, "set_id").agg(F.first("component_id").alias("component_id"))
+    moved = stored(moved.withColumnsRenamed({key: "near_key", "set_id": "near_set", "component_id": "near_component"}), "spot-moved")
+    free(near)
     report = edited_report(docs, text, key)
     same = F.col(key).eqNullSafe(F.col("near_key")) & (F.col("set_id") == F.col("near_set"))
-    return report.join(near, same).drop("near_key", "near_set")
+    found = report.join(small_side(moved), same, "left")
+    return found.select(*report.columns, F.coalesce("near_component", key).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -180,15 +184,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     edges = _compared(bucket_candidates(buckets, None, similarity), sets, similarity)
     found = components(edges, "spot-components")
     known = component_sizes(found)
+    between = _compared(drawn_candidates(buckets, known, similarity, parities), sets, similarity)
+    free(found, known)
+    before = edges.unionByName(between)
+    found = components(before, "spot-components")
+    known = component_sizes(found)
     more = _compared(bucket_candidates(buckets, known, similarity, parities), sets, similarity)
     free(buckets, parities, found, known)
-    linked = components(edges.unionByName(more), "spot-components")
+    linked = components(before.unionByName(more), "spot-components")
     rooted = classes.select("id", "least").join(linked.withColumnRenamed("node", "id"), "id", "left").select(
         "id", "least", F.coalesce("component", "id").alias("component"))
     roots = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     named = rooted.join(roots, "component").select("id", "component_id")
     near = stored(rows.join(named, "id").select(F.col("doc").alias(key), F.col("id").alias("set_id"), "component_id"), "spot-near")
-    free(rows, classes, edges, more)
+    free(rows, classes, edges, between, more)
     return near
 
 
