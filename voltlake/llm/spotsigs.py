@@ -167,20 +167,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     (1 / similarity) ** r on, and a set can only resemble sets of its own range and the next ones on
     either side. In each range, classes that share one of the rarest signatures (as many as a set of that
     likeness cannot avoid) are candidates; sizes prune, then Jaccard is exact. Every set pair of the
-    likeness ends in one component.
+    likeness ends in one component. Between these steps a class goes by a number, which ascends with the rows.
     """
     signed = stored(docs.select(F.col(key).alias("doc"), signatures(clean_text(text)).alias("signature")).select(
         "doc", F.xxhash64("signature").alias("id"), "signature"), "spot-sets")
-    classes = stored(signed.groupBy("id").agg(F.min("doc").alias("least"), F.first("signature").alias("signature")), "spot-classes")
+    classes = signed.groupBy("id").agg(F.min("doc").alias("least"), F.first("signature").alias("signature"))
+    classes = stored(classes.withColumn("number", F.monotonically_increasing_id()), "spot-classes")
     rows = stored(signed.select("doc", "id"), "spot-rows")
     free(signed)
-    sets = classes.where(F.size("signature") > 0)
+    sets = classes.where(F.size("signature") > 0).select(F.col("number").alias("id"), "signature")
     parities = stored(sets.select("id", *parity(F.col("signature"))), "spot-parities")
     sized = rarest_buckets(sets.select("id", F.col("signature").alias("members")), similarity)
     span = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(similarity)) + F.lit(1e-9)).cast("int")
     buckets = sized.select("id", "key", "n", "rest", F.explode(F.array(span, span + 1)).alias("span")).select(
         F.xxhash64("key", "span").alias("key"), "id", "n", "rest").distinct()
     buckets = stored(buckets, "spot-buckets")
+    free(sized)
     edges = _compared(bucket_candidates(buckets, None, similarity), sets, similarity)
     found = components(edges, "spot-components")
     known = component_sizes(found)
@@ -192,8 +194,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     more = _compared(bucket_candidates(buckets, known, similarity, parities), sets, similarity)
     free(buckets, parities, found, known)
     linked = components(before.unionByName(more), "spot-components")
-    rooted = classes.select("id", "least").join(linked.withColumnRenamed("node", "id"), "id", "left").select(
-        "id", "least", F.coalesce("component", "id").alias("component"))
+    rooted = classes.select("id", "number", "least").join(linked.withColumnRenamed("node", "number"), "number", "left").select(
+        "id", "least", F.coalesce("component", "number").alias("component"))
     roots = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     named = rooted.join(roots, "component").select("id", "component_id")
     near = stored(rows.join(named, "id").select(F.col("doc").alias(key), F.col("id").alias("set_id"), "component_id"), "spot-near")
