@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,15 @@ def free(*tables: DataFrame) -> None:
             place.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver collect its garbage and give memory back.
+
+    A loop of queries leaves hundreds of plans. By itself the driver's heap grows to its bound before they go, and with
+    them the broadcasts that only they hold; one collection takes some tenths of a second.
+    """
+    spark._jvm.System.gc()
+
+
 def clean_text(text: str = "text") -> Column:
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(text), F.lit(""))
@@ -84,15 +93,15 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     its smallest one. Both are an aggregate with map-side combine and a join on the node, which AQE
     splits where one node has a large share of the edges. Rounds end when the edges no longer change;
     each is written, so the plan stays flat, and then the one before is deleted. Self-loops, repeated and null edges are ignored; nodes
-    without another node do not appear in the result.
+    without another node do not appear in the result. The plans of the rounds are garbage of the driver, which goes at the end.
     """
-    edges = stored(_ordered(edges), name)
-    mark = _mark(edges)
+    edges, mark = _marked(_ordered(edges), name)
     for _ in range(max_rounds):
-        before, edges = edges, stored(_small_star(_large_star(edges)), name)
+        before, last = edges, mark
+        edges, mark = _marked(_small_star(_large_star(edges)), name)
         free(before)
-        last, mark = mark, _mark(edges)
         if mark == last:
+            collect_garbage(edges.sparkSession)
             nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return nodes.unionByName(roots)
@@ -260,10 +269,13 @@ def _ordered(edges: DataFrame) -> DataFrame:
     )
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-    ).first())
+def _marked(edges: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """``edges`` written, and their number and sum of hashes, taken while they are written."""
+    mark = Observation()
+    table = stored(edges.observe(
+        mark, F.count(F.lit(1)).alias("edges"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes"),
+    ), name)
+    return table, mark.get
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
