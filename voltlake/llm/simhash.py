@@ -322,9 +322,35 @@ def _rare_first(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.n
     return own[np.lexsort((own, np.where(common[at] == own, counts[at], 0)))]
 
 
+def set_parity(own: np.ndarray) -> np.ndarray:
+    """The words of 64 bits of a set's bitmap, in which each member flips one bit: a power of two of bits, as many as members or more.
+
+    Two sets differ in at least as many members as their bitmaps differ in bits, and of bitmaps of different lengths the
+    longer one folds (by exclusive or of its parts) to what it would be in the shorter length.
+    """
+    bits = 1 << max(6, (len(own) - 1).bit_length())
+    odd = np.bincount(own & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    """In how many bits two parities differ, in the length of the shorter one."""
+    words = F.least(F.size(a), F.size(b))
+
+    def folded(parity: Column, at: Column) -> Column:
+        places = F.sequence(at, F.size(parity) - 1, words)
+        return F.aggregate(places, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(F.get(parity, k)))
+
+    return F.aggregate(
+        F.sequence(F.lit(0), words - 1), F.lit(0),
+        lambda apart, at: apart + F.bit_count(folded(a, at).bitwiseXOR(folded(b, at))),
+    )
+
+
 def _prefixes(docs: DataFrame, text: str, key: str, width: int, similarity: float, common: tuple) -> DataFrame:
-    """``key``, id and size n of the shingle set, fp, the text's fingerprint as of :func:`fingerprints`, and keys: its rarest shingles, which two alike sets cannot both avoid."""
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, id long, n int, fp long, keys array<long>"
+    """``key``, id and size n of the shingle set, fp, the text's fingerprint as of :func:`fingerprints`, the set's
+    parity, and keys: its rarest shingles, which two alike sets cannot both avoid."""
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, id long, n int, fp long, parity array<long>, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,8 +361,8 @@ def _prefixes(docs: DataFrame, text: str, key: str, width: int, similarity: floa
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([_set_id(own) for own in sets], pa.int64()),
                 pa.array([len(own) for own in sets], pa.int32()),
-                pa.array(prints), _lists(keys),
-            ], names=[key, "id", "n", "fp", "keys"])
+                pa.array(prints), _lists([set_parity(own) for own in sets]), _lists(keys),
+            ], names=[key, "id", "n", "fp", "parity", "keys"])
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -346,30 +372,40 @@ def near_copies(
     sample_rows: int = 10_000, most_common: int = 200_000, radius: int = 3,
 ) -> DataFrame:
     """Per row of ``docs``: ``key`` and component_id, the smallest ``key`` reachable over texts whose sets of
-    ``width``-word shingles have at least this Jaccard likeness.
+    ``width``-word shingles have at least this Jaccard likeness. A written table.
 
     Equal sets are one class, and texts without a word are alike. Repeated rows come back repeated. Classes whose
     fingerprints are within ``radius`` bits are compared first; pairs farther apart come from the rarest shingles.
     ``sample_rows`` and ``most_common`` bound what the order of the shingles is learned from, not what is found.
     """
     common = _common_shingles(docs, text, key, width, sample_rows, most_common)
-    rows = stored(_prefixes(docs, text, key, width, similarity, common), "copy-prefixes")
-    classes = stored(rows.groupBy("id").agg(F.min(key).alias("least"), F.min("fp").alias("fp")), "copy-classes")
-    close = _alike(_close_sets(classes, radius), docs, classes, text, key, width, similarity)
-    members = rows.select("id", "n", F.posexplode("keys").alias("place", "key"))
+    signed = stored(_prefixes(docs, text, key, width, similarity, common), "copy-prefixes")
+    rows = stored(signed.select(key, "id"), "copy-rows")
+    # all rows of one id have the same n and parity
+    classes = stored(signed.groupBy("id").agg(
+        F.min(key).alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("parity").alias("parity"),
+    ), "copy-classes")
+    members = signed.select("id", "n", F.posexplode("keys").alias("place", "key"))
     crowded = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    crowded = small_side(stored(crowded, "copy-keys"))
-    buckets = members.join(crowded, "key").select("key", "id", "n", (F.col("n") - F.col("place")).alias("rest"))
+    crowded = stored(crowded, "copy-keys")
+    buckets = members.join(small_side(crowded), "key").select("key", "id", "n", (F.col("n") - F.col("place")).alias("rest"))
     buckets = stored(buckets.distinct(), "copy-buckets")
+    free(signed, crowded)
+    close = _alike(_close_sets(classes, radius), docs, classes, text, key, width, similarity)
     first = _alike(bucket_candidates(buckets, None, similarity), docs, classes, text, key, width, similarity)
-    first = first.unionByName(close)
-    known = component_sizes(components(first, "copy-components"))
+    before = first.unionByName(close)
+    found = components(before, "copy-components")
+    known = component_sizes(found)
     more = _alike(bucket_candidates(buckets, known, similarity), docs, classes, text, key, width, similarity)
-    found = components(first.unionByName(more), "copy-components").withColumnRenamed("node", "id")
-    rooted = classes.join(found, "id", "left").select("id", "least", F.coalesce("component", "id").alias("component"))
+    free(buckets, found, known)
+    found = components(before.unionByName(more), "copy-components")
+    rooted = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", "least", F.coalesce("component", "id").alias("component"))
     roots = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     named = rooted.join(roots, "component").select("id", "component_id")
-    return rows.select(key, "id").join(named, "id").select(key, "component_id")
+    near = stored(rows.join(named, "id").select(key, "component_id"), "copy-near")
+    free(rows, classes, close, first, more, found)
+    return near
 
 
 def _close_sets(classes: DataFrame, radius: int) -> DataFrame:
@@ -384,8 +420,16 @@ def _close_sets(classes: DataFrame, radius: int) -> DataFrame:
 def _alike(
     pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, key: str, width: int, similarity: float,
 ) -> DataFrame:
-    """Edges (u, v) of the pairs (a, b) of set ids whose whole sets, made again from one row of each, are alike."""
-    pairs = stored(pairs, "copy-pairs")
+    """Edges (u, v) of the pairs (a, b) of set ids whose whole sets, made again from one row of each, are alike.
+
+    The parities in ``classes`` drop pairs that differ in too many members first, and no others: there are many times more
+    pairs that share a rare shingle than alike ones, and a set takes 64 times the room of its parity. A written table.
+    """
+    one, two = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
+    total = F.col("na") + F.col("nb")
+    near = pairs.join(one, "a").join(two, "b").where(
+        _bits_apart(F.col("pa"), F.col("pb")) * (1 + similarity) <= total * (1 - similarity) + 1e-6)
+    pairs = stored(near.select("a", "b"), "copy-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     chosen = stored(classes.join(ids, "id").select("id", "least"), "copy-wanted")
     wanted = small_side(chosen)
@@ -408,5 +452,7 @@ def deduplicate(
     docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = COPY_WIDTH, similarity: float = COPY_SIMILARITY,
 ) -> DataFrame:
     """``docs`` with the smallest ``key`` of each component of near copies kept; columns and order of columns as given."""
-    gone = near_copies(docs, text, key, width, similarity).where(F.col(key) != F.col("component_id")).select(key)
-    return docs.join(gone.distinct(), key, "left_anti").select(*docs.columns)
+    near = near_copies(docs, text, key, width, similarity)
+    gone = stored(near.where(F.col(key) != F.col("component_id")).select(key).distinct(), "copy-gone")
+    free(near)
+    return docs.join(small_side(gone), key, "left_anti").select(*docs.columns)
