@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_candidates, component_sizes, components, free, small_side, stored
+from .common import bucket_candidates, collect_garbage, component_sizes, components, free, small_side, stored
 
 BITS = 64
 PRINT_WIDTH = 3
@@ -391,6 +391,7 @@ def near_copies(
     buckets = members.join(small_side(crowded), "key").select("key", "id", "n", (F.col("n") - F.col("place")).alias("rest"))
     buckets = stored(buckets.distinct(), "copy-buckets")
     free(signed, crowded)
+    collect_garbage(docs.sparkSession)
     close = _alike(_close_sets(classes, radius), docs, classes, text, key, width, similarity)
     first = _alike(bucket_candidates(buckets, None, similarity), docs, classes, text, key, width, similarity)
     before = first.unionByName(close)
@@ -445,6 +446,7 @@ def _alike(
     edges = stored(counted.where(F.col("n") >= F.lit(similarity) * (F.col("total") - F.col("n")) - 1e-9).select(
         F.col("a").alias("u"), F.col("b").alias("v")), "copy-edges")
     free(pairs, chosen, sets)
+    collect_garbage(docs.sparkSession)
     return edges
 
 
